@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op3_urls, op9_chat
+from . import op1_quality, op2_repeats, op3_urls, op6_jaccard, op9_chat
 
 QUERIES = {
     "op1_quality_rules": op1_quality.op1_quality_rules,
+    "op2_suffix_dedup": op2_repeats.op2_suffix_dedup,
     "op3_url_filter": op3_urls.op3_url_filter,
+    "op6_jaccard_join": op6_jaccard.op6_jaccard_join,
     "op9_chat_format": op9_chat.op9_chat_format,
 }
 

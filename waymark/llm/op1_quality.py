@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, join_lookup, let, settle, table
+from .common import WHITE, join_lookup, let, settle_table, table
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -73,10 +73,11 @@ def text_stats(text: Column) -> Column:
     return F.struct(words.alias("w"), word_chars.alias("word_chars"), symbols.alias("n_symbols"), dup_lines.alias("n_dup_lines"))
 
 
-def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, the base statistics and ``base_failed`` of every document."""
-    s = docs.select("doc_id", F.col(host).cast("string").alias("host"), text_stats(F.col("text")).alias("s"))
-    flat = s.select("doc_id", "host", "s.w.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.w.n_repeat_words")
+def document_stats(docs: DataFrame, host: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, host, the base statistics and ``base_failed`` of every document; with ``carry`` also ``row``, all its columns."""
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    s = docs.select("doc_id", F.col(host).cast("string").alias("host"), text_stats(F.col("text")).alias("s"), *row)
+    flat = s.select("doc_id", "host", "s.w.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.w.n_repeat_words", *(["row"] if carry else []))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return flat.withColumn("base_failed", failed)
 
@@ -96,9 +97,9 @@ def host_verdicts(stats: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> tup
     return hosts.select("host", shrunk.alias("host_rate"), (shrunk <= max_host_rate).alias("host_ok")), k
 
 
-def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Every document with base statistics, ``host_rate`` and ``kept``."""
-    stats = settle(document_stats(docs, host))  # small rows; the texts are read once
+def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE, carry: bool = False) -> DataFrame:
+    """Every document with base statistics, ``host_rate`` and ``kept`` (and ``row``, see ``document_stats``)."""
+    stats = settle_table(document_stats(docs, host, carry))  # the texts are read once, verdicts need the narrow columns
     hosts, k = host_verdicts(stats, max_host_rate)
     joined = join_lookup(stats, hosts, ["host"], k, F.col("doc_id"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("host_ok")

@@ -46,6 +46,8 @@ REACH = LENGTH - GRAM
 HALF = REACH // 2
 #: Bits of the fixed-size filter of ids that tells which texts must travel.
 FILTER_BITS = 1 << 23
+#: Texts sampled at a time; the arrays alive at once take some 100 bytes a byte of text.
+SAMPLE_BYTES = 2 << 20
 _SLICES = 16
 _NO_ID = np.iinfo(np.int64).max
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -168,7 +170,7 @@ def _first_of(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _sampler(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SAMPLE_BYTES):
                 buf, at = text_bytes(part.column("text"))
                 ids = _ids(part.column("id"))
                 sums = rolling(buf)
@@ -308,16 +310,16 @@ def _having(bits: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch
             ids = _ids(batch.column("id"))
             kept = batch.filter(pa.array(have[_doc_bucket(ids, FILTER_BITS)]))
             bucket = _doc_bucket(_ids(kept.column("id")), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), kept.column("id"), kept.column("text")], ["bucket", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *kept.columns], ["bucket", *kept.schema.names])
 
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 _OUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _result(ids: pa.Array, buf: np.ndarray, at: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
+def _result(part: pa.RecordBatch, buf: np.ndarray, at: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
     rows = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         cut = gone[a:b]
@@ -325,7 +327,9 @@ def _result(ids: pa.Array, buf: np.ndarray, at: np.ndarray, gone: np.ndarray, wi
         spans = int(np.count_nonzero(np.diff(cut.astype(np.int8), prepend=0) == 1))
         rows.append((b - a, int(np.count_nonzero(cut)), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
     columns = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_OUT)[1:], strict=True))], schema=_OUT)
+    arrays = [part.column("id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_FIELDS)[1:], strict=True))]
+    row = [part.column("row")] if "row" in part.schema.names else []
+    return pa.RecordBatch.from_arrays(arrays + row, [*_FIELDS.names, *["row"] * len(row)])
 
 
 def _untouched(bits: np.ndarray, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -335,7 +339,7 @@ def _untouched(bits: np.ndarray, with_text: bool) -> Callable[[Iterator[pa.Recor
             rest = batch.filter(pa.array(~have[_doc_bucket(_ids(batch.column("id")), FILTER_BITS)]))
             for part in pieces(rest, "text"):
                 buf, at = text_bytes(part.column("text"))
-                yield _result(part.column("id"), buf, at, np.zeros(len(buf), bool), with_text)
+                yield _result(part, buf, at, np.zeros(len(buf), bool), with_text)
 
     return run
 
@@ -357,21 +361,27 @@ def _cut(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 start, end, check = start[inside], end[inside], c["check"][k][inside]
                 same = (spans_hash(sums, start, end) & np.uint64(0xFFFFFFFF)) == check  # spans of another text of this id
                 depth = np.bincount(start[same], minlength=len(buf) + 1) - np.bincount(end[same], minlength=len(buf) + 1)
-                out.append(_result(part.column("id"), buf, at, np.cumsum(depth)[: len(buf)] > 0, with_text))
-        return pa.Table.from_batches(out, schema=_OUT)
+                out.append(_result(part, buf, at, np.cumsum(depth)[: len(buf)] > 0, with_text))
+        if not out:
+            out.append(_result(texts.slice(0, 0).combine_chunks().to_batches()[0] if texts.to_batches() else pa.RecordBatch.from_pylist([], texts.schema), *text_bytes(pa.array([], pa.string())), np.zeros(0, bool), with_text))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row.
 
-    ``kept_text`` leaves out a character of which a byte was removed.
+    ``kept_text`` leaves out a character of which a byte was removed.  With
+    ``carry``, column ``row`` has all columns of the row but ``text``.
     """
     spark = docs.sparkSession
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows_sql = "kind int, bucket int, payload binary"
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    row = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *row)
+    texts = rows.select("id", "text")
+    row_type = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
     sampled = texts.mapInArrow(_sampler(buckets), rows_sql)
     matched = settle_table(sampled.groupBy("kind", "bucket").applyInArrow(_match_triples(buckets), rows_sql))
     asked = matched.where(F.col("kind") == _ASK)
@@ -380,9 +390,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     partial = settle_table(contexts.groupBy("bucket").applyInArrow(_match_windows(buckets), rows_sql))
     covered = matched.where(F.col("kind") == _COVER).unionByName(partial)
     bits = _id_filter(covered, _COVERED)
-    touched = texts.mapInArrow(_having(bits, buckets), "bucket int, id long, text string")
-    cut = touched.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut(with_text), _OUT_SQL)
-    return cut.unionByName(texts.mapInArrow(_untouched(bits, with_text), _OUT_SQL))
+    touched = rows.mapInArrow(_having(bits, buckets), "bucket int, id long, text string" + row_type)
+    cut = touched.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut(with_text), _OUT_SQL + row_type)
+    return cut.unionByName(rows.mapInArrow(_untouched(bits, with_text), _OUT_SQL + row_type))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,72 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Stages, each on what the one before kept:
+
+1. language ID: documents without letters, or whose language is unclear
+   (score under ``MIN_SCORE``), go;
+2. quality rules: documents that fail themselves or by their host go;
+3. n-gram Jaccard join: of each group of near copies (five-word shingles,
+   similarity 0.8) the document with the lowest id stays;
+4. suffix-array dedup: passages of 50 bytes or more that a document with a
+   smaller id has are cut from the text; a document with nothing left goes;
+5. best-fit packing: the rest becomes token pieces in sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from waymark.llm import op1_quality
+from waymark.llm import common, op1_quality, op2_repeats, op4_packing, op6_jaccard, op7_language
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES = []
+MIN_SCORE = 0.3
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def _ready(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    common.importable(spark)
+    return docs.select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = op7_language.identify(_ready(spark, docs), with_spans=False, carry=True)
+    return found.where((F.col("lang_pred") != op7_language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_quality.judge(_ready(spark, docs), carry=True).where("kept").select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _ready(spark, docs)
+    groups = op6_jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # repeated rows of one id
+    return kept.withColumn("_again", again).where("doc_id IS NULL OR _again = 1").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = op2_repeats.remove_repeats(_ready(spark, docs), with_text=True, carry=True)
+    kept = cut.where("n_removed < n_bytes OR n_bytes = 0")
+    return kept.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op4_packing.pack_documents(_ready(spark, docs))
+
+
+STAGES = [("language", language), ("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("packing", packing)]
+
+#: Tokens, suffixes and trained models can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.settle_table(docs)
     return docs

@@ -40,16 +40,13 @@ from pyspark.sql import functions as F
 
 from .arrays import mix, pieces, powers, rolling, spans_hash, text_bytes
 from .common import settle_table, table
+from .idfilter import having, id_filter, ids_of, passes, place
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 HALF = REACH // 2
-#: Bits of the fixed-size filter of ids that tells which texts must travel.
-FILTER_BITS = 1 << 23
 #: Texts sampled at a time; the arrays alive at once take some 100 bytes a byte of text.
 SAMPLE_BYTES = 2 << 20
-_SLICES = 16
-_NO_ID = np.iinfo(np.int64).max
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 _SAMPLE, _COVER, _ASK = 0, 1, 2
 #: Fields of packed entries: name, bytes kept of a little-endian value, and its type.
@@ -105,21 +102,13 @@ def _to_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], schema=_ROWS)
 
 
-def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
 def _gram_bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
     return (gram % np.uint64(buckets)).astype(np.int64)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-
-
 def _cover_rows(doc, start, end, check, buckets: int) -> list[tuple[int, int, bytes]]:
     columns = {"doc": doc, "start": start, "end": end, "check": check}
-    return _by_bucket(_COVER, _COVERED, columns, _doc_bucket(doc, buckets))
+    return _by_bucket(_COVER, _COVERED, columns, place(doc, buckets))
 
 
 def sample(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +161,7 @@ def _sampler(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             for part in pieces(batch, "text", SAMPLE_BYTES):
                 buf, at = text_bytes(part.column("text"))
-                ids = _ids(part.column("id"))
+                ids = ids_of(part.column("id"))
                 sums = rolling(buf)
                 pos, gram, row = sample(buf, at, sums)
                 left, right = _context(pos, row, at)
@@ -208,7 +197,7 @@ def _match_triples(buckets: int) -> Callable[[pa.Table], pa.Table]:
             low, high = _first_of(e[side], e["gram"], doc=e["doc"])
             undecided |= (low != high) & (e[side] > 0)
         asked = {c: e[c][undecided] for c in ("gram", "doc", "pos")}
-        rows += _by_bucket(_ASK, _ASKED, asked, _doc_bucket(asked["doc"], buckets))
+        rows += _by_bucket(_ASK, _ASKED, asked, place(asked["doc"], buckets))
         return pa.Table.from_batches([_to_batch(rows)])
 
     return run
@@ -224,7 +213,7 @@ def _fetch(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for batch in texts.combine_chunks().to_batches():
             for part in pieces(batch, "text"):
                 buf, at = text_bytes(part.column("text"))
-                ids, sums = _ids(part.column("id")), rolling(buf)
+                ids, sums = ids_of(part.column("id")), rolling(buf)
                 a, b = np.searchsorted(sorted_doc, ids), np.searchsorted(sorted_doc, ids, "right")
                 row = np.repeat(np.arange(len(ids)), b - a)
                 k = order[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]).astype(np.int64)] if len(row) else np.zeros(0, np.int64)
@@ -274,42 +263,16 @@ def _match_windows(buckets: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _filter_slices(fields) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            doc = _unpack(fields, batch.column("payload").to_pylist())["doc"]
-            bits[_doc_bucket(doc, FILTER_BITS)] = True
-        parts = np.packbits(bits).reshape(_SLICES, -1)
-        used = [k for k in range(_SLICES) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
-
-    return run
-
-
-def _union_slices(group: pa.Table) -> pa.Table:
-    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
-    return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-
-def _id_filter(packed: DataFrame, fields) -> np.ndarray:
-    """A bit array of ``FILTER_BITS`` bits (1 MB whatever the input) with those of all packed ids set."""
-    slices = packed.select("payload").mapInArrow(_filter_slices(fields), "slice int, bits binary").groupBy("slice").applyInArrow(_union_slices, "slice int, bits binary")
-    whole = np.zeros((_SLICES, FILTER_BITS // 8 // _SLICES), np.uint8)
-    for r in slices.collect():
-        whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return whole.reshape(-1)
+def _packed_ids(fields) -> Callable[[pa.RecordBatch], np.ndarray]:
+    return lambda batch: _unpack(fields, batch.column("payload").to_pylist())["doc"]
 
 
 def _having(bits: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows whose id may be in the filter, with their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(bits).astype(bool)
-        for batch in batches:
-            ids = _ids(batch.column("id"))
-            kept = batch.filter(pa.array(have[_doc_bucket(ids, FILTER_BITS)]))
-            bucket = _doc_bucket(_ids(kept.column("id")), buckets)
+        for kept in having(bits)(batches):
+            bucket = place(ids_of(kept.column("id")), buckets)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *kept.columns], ["bucket", *kept.schema.names])
 
     return run
@@ -334,9 +297,8 @@ def _result(part: pa.RecordBatch, buf: np.ndarray, at: np.ndarray, gone: np.ndar
 
 def _untouched(bits: np.ndarray, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            rest = batch.filter(pa.array(~have[_doc_bucket(_ids(batch.column("id")), FILTER_BITS)]))
+            rest = batch.filter(pa.array(~passes(bits, ids_of(batch.column("id")))))
             for part in pieces(rest, "text"):
                 buf, at = text_bytes(part.column("text"))
                 yield _result(part, buf, at, np.zeros(len(buf), bool), with_text)
@@ -352,7 +314,7 @@ def _cut(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for batch in texts.combine_chunks().to_batches():
             for part in pieces(batch, "text"):
                 buf, at = text_bytes(part.column("text"))
-                ids, sums = _ids(part.column("id")), rolling(buf)
+                ids, sums = ids_of(part.column("id")), rolling(buf)
                 a, b = np.searchsorted(sorted_doc, ids), np.searchsorted(sorted_doc, ids, "right")
                 row = np.repeat(np.arange(len(ids)), b - a)
                 k = order[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]).astype(np.int64)] if len(row) else np.zeros(0, np.int64)
@@ -385,11 +347,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, carry: bool = False)
     sampled = texts.mapInArrow(_sampler(buckets), rows_sql)
     matched = settle_table(sampled.groupBy("kind", "bucket").applyInArrow(_match_triples(buckets), rows_sql))
     asked = matched.where(F.col("kind") == _ASK)
-    wanted = texts.mapInArrow(_having(_id_filter(asked, _ASKED), buckets), "bucket int, id long, text string")
+    wanted = texts.mapInArrow(_having(id_filter(asked, _packed_ids(_ASKED)), buckets), "bucket int, id long, text string")
     contexts = wanted.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(buckets), rows_sql)
     partial = settle_table(contexts.groupBy("bucket").applyInArrow(_match_windows(buckets), rows_sql))
     covered = matched.where(F.col("kind") == _COVER).unionByName(partial)
-    bits = _id_filter(covered, _COVERED)
+    bits = id_filter(covered, _packed_ids(_COVERED))
     touched = rows.mapInArrow(_having(bits, buckets), "bucket int, id long, text string" + row_type)
     cut = touched.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut(with_text), _OUT_SQL + row_type)
     return cut.unionByName(rows.mapInArrow(_untouched(bits, with_text), _OUT_SQL + row_type))

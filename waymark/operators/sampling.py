@@ -1,0 +1,132 @@
+"""Frame selection, caps and leak-free splits.
+
+Ranks are taken within a source or class, so no window is without a key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _stride(n: Column, sample: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(n / sample))
+
+
+def _every(rows: DataFrame, rank: Column, n: Column, sample: int) -> DataFrame:
+    """Rows at rank 0, s, 2s .. with s = max(1, n // sample), ``sample`` of them at most."""
+    r = rows.withColumn("_r", rank).withColumn("_s", _stride(n, sample))
+    return r.where((F.col("_r") % F.col("_s") == 0) & (F.floor(F.col("_r") / F.col("_s")) < sample)).drop("_r", "_s")
+
+
+def top_frames(visible: DataFrame, n_tags: DataFrame, sample: int, top_n: int = 1000, share: float = 0.8) -> DataFrame:
+    """Of frames showing at least ``share`` of the tags (or else the ``top_n`` fullest), an even sample by fullness.
+
+    ``visible`` has (source, frame, n_visible), ``n_tags`` (source, n_tags).
+    """
+    w = Window.partitionBy("source")
+    v = visible.join(n_tags, "source").withColumn("_good", F.col("n_visible") >= F.floor(F.col("n_tags") * F.lit(share)))
+    v = v.withColumn("_enough", F.sum(F.col("_good").cast("int")).over(w) >= sample)
+    pool = v.where(F.col("_good") | ~F.col("_enough"))
+    order = w.orderBy(F.col("n_visible").desc(), "frame")
+    pool = pool.withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") < top_n)
+    pool = pool.withColumn("_n", F.count("*").over(w))
+    return _every(pool, F.col("_k"), F.when(F.col("_n") <= sample, F.lit(sample)).otherwise(F.col("_n")), sample).select("source", "frame", "n_visible")
+
+
+def uniform_frames(frames: DataFrame, sample: int) -> DataFrame:
+    w = Window.partitionBy("source")
+    ranked = frames.withColumn("_k", F.row_number().over(w.orderBy("frame")) - 1).withColumn("_n", F.count("*").over(w))
+    return _every(ranked, F.col("_k"), F.col("_n"), sample).drop("_k", "_n")
+
+
+def mixed_frames(visible: DataFrame, n_tags: DataFrame, sample: int, top_n: int = 1000, share: float = 0.8) -> DataFrame:
+    """Half by fullness, half evenly from the other frames; a sample of one is uniform."""
+    half = sample // 2
+    rest = visible
+    if half:
+        top = top_frames(visible, n_tags, half, top_n, share)
+        rest = visible.join(top.select("source", "frame"), ["source", "frame"], "left_anti")
+    even = uniform_frames(rest.select("source", "frame", "n_visible"), sample - half)
+    return top.unionByName(even) if half else even
+
+
+def best_worst(counts: DataFrame, total: int, best_share: float) -> DataFrame:
+    """The fullest ``round(total * share)`` frames and the emptiest non-zero ones; ties by frame."""
+    n_best = round(total * best_share)
+    w = Window.partitionBy("source")
+    best = counts.withColumn("_k", F.row_number().over(w.orderBy(F.col("n_visible").desc(), "frame"))).where(F.col("_k") <= n_best)
+    worst = counts.where("n_visible > 0").withColumn("_k", F.row_number().over(w.orderBy("n_visible", "frame"))).where(F.col("_k") <= total - n_best)
+    return best.unionByName(worst).select("source", "frame").distinct()
+
+
+def stride_frames(sources: DataFrame, total: int) -> DataFrame:
+    """Of sources with ``n_frames``: frames 0, s, 2s .., ``total`` at most."""
+    s = sources.where((F.col("n_frames") > 0) & (F.lit(total) > 0)).withColumn("_s", _stride(F.col("n_frames"), max(total, 1)))
+    frames = s.select("source", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"), "_s")
+    return frames.where((F.col("frame") % F.col("_s") == 0) & (F.col("frame") / F.col("_s") < total)).select("source", F.col("frame").cast("int").alias("frame"))
+
+
+ORDER = ("experiment", "frame", "crop_idx")
+
+
+def single_label(crops: DataFrame) -> DataFrame:
+    """Crops with exactly one true id: tag_id and ass_type."""
+    return crops.where(F.size("gt_ids") == 1).withColumns({"tag_id": F.get("gt_ids", F.lit(0)), "ass_type": F.get("gt_ass_types", F.lit(0))}).drop("gt_ids", "gt_ass_types")
+
+
+def experiment_split(records: DataFrame, share: float) -> DataFrame:
+    """``part`` of whole experiments: the last ones by name are for validation, one at least stays in training.
+
+    The list of experiments (one row each) is what the window ranks.
+    """
+    names = records.select("experiment").distinct()
+    n = names.count()
+    n_val = 0 if n < 2 else min(n - 1, max(1, round(share * n)))
+    held = names.orderBy(F.col("experiment").desc()).limit(n_val).withColumn("_held", F.lit(True))
+    return records.join(held, "experiment", "left").withColumn("part", F.when(F.col("_held"), "val").otherwise("train")).drop("_held")
+
+
+def tail_split(records: DataFrame, share: float, by: str = "tag_id") -> DataFrame:
+    """``part`` within each class: the last ``share`` in time order is for validation; a class of one stays in training."""
+    w = Window.partitionBy(by)
+    r = records.withColumns({"_k": F.row_number().over(w.orderBy(*ORDER)), "_n": F.count("*").over(w)})
+    n_val = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share)).cast("long")))
+    return r.withColumn("part", F.when(F.col("_k") > F.col("_n") - n_val, "val").otherwise("train")).drop("_k", "_n")
+
+
+def stride_cap(records: DataFrame, cap: int, by: str = "tag_id") -> DataFrame:
+    """At most ``cap`` records a class, evenly spread in time order (positions round(i (n - 1) / (cap - 1)), halves to even)."""
+    w = Window.partitionBy(by)
+    r = records.withColumns({"_k": (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("long"), "_n": F.count("*").over(w)})
+    if cap <= 1:
+        return r.where(F.col("_k") < max(cap, 0)).drop("_k", "_n")
+    # a position is picked if a step near it rounds to it
+    guess = F.floor(F.col("_k") * (cap - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    hit = F.lit(False)
+    for d in (0, 1):
+        i = guess + d
+        hit = hit | ((i <= cap - 1) & (F.bround(i * (F.col("_n") - 1) / F.lit(float(cap - 1))) == F.col("_k")))
+    return r.where((F.col("_n") <= cap) | hit).drop("_k", "_n")
+
+
+def crop_dataset(crops: DataFrame, min_count: int, share: float, train_types=(1, 2, 3), val_types=(1,), cap: int | None = None) -> DataFrame:
+    """Records of frequent classes with ``part``, by provenance and capped in training.
+
+    Classes missing on either side of the experiment split are split by their tail.
+    """
+    records = single_label(crops)
+    records = records.withColumn("_n", F.count("*").over(Window.partitionBy("tag_id"))).where(F.col("_n") >= min_count).drop("_n")
+    parted = experiment_split(records, share)
+    sides = F.size(F.collect_set("part").over(Window.partitionBy("tag_id")))
+    parted = parted.withColumn("_sides", sides).cache()
+    both = parted.where("_sides = 2").drop("_sides")
+    alone = tail_split(parted.where("_sides < 2").drop("_sides", "part"), share)
+    every = both.unionByName(alone)
+    train = every.where((F.col("part") == "train") & F.col("ass_type").isin(list(train_types)))
+    val = every.where((F.col("part") == "val") & F.col("ass_type").isin(list(val_types)))
+    return (stride_cap(train, cap) if cap else train).unionByName(val)
+
+
+def class_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("part", "tag_id", "ass_type").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ def merge_attributes(attributes: DataFrame) -> DataFrame:
     sources = sorted(r["source"] for r in attributes.select("source").distinct().collect())  # the list of recordings
     per = attributes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("source", "value"))).alias("m"))
     listed = per.select("key", F.transform(F.array(*[F.lit(s) for s in sources]), lambda s: F.try_element_at("m", s)).alias("values"))
-    same = F.forall("values", lambda v: v.eqNullSafe(F.get("values", F.lit(0))))
+    same = F.size(F.array_distinct("values")) <= 1
     return listed.select("key", F.when(same, F.get("values", F.lit(0))).alias("value"), F.when(~same, F.col("values")).alias("values"), (~same).alias("varies"))
 
 

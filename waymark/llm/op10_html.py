@@ -46,7 +46,7 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|mai
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 #: Weights of the classifier, in hundredths; positive means content.
-BIAS, IN_ARTICLE, IN_MAIN, IN_BOILER, IN_HEADER, LINKS, LONG, SENTENCE, HEADING = -150, 500, 300, -1200, -700, -400, 200, 50, 50
+BIAS, UNMARKED, IN_ARTICLE, IN_MAIN, IN_BOILER, IN_HEADER, LINKS, LONG, SENTENCE, HEADING = -150, -30, 500, 300, -1200, -700, -400, 200, 50, 50
 #: Smoothness: neighbours under one parent, other neighbours, and the next block of the same parent.
 SAME_PARENT, NEXT, SIBLING = 60, 10, 40
 _HIDE, _ARTICLE, _MAIN, _ASIDES, _HEADER = 1, 2, 4, 8, 16
@@ -135,8 +135,9 @@ def blocks(page: str) -> list[tuple[str, int, int, str, float]]:
     return out
 
 
-def score(text: str, flags: int, tag: str, links: float) -> int:
-    s = BIAS + min(LONG, len(text)) + int(LINKS * links)
+def score(text: str, flags: int, tag: str, links: float, marked: bool = True) -> int:
+    """Of a block; ``marked``: the page marks its article or main part, which the others then aren't."""
+    s = (BIAS if marked else UNMARKED) + min(LONG, len(text)) + int(LINKS * links)
     if flags & _ARTICLE:
         s += IN_ARTICLE
     if flags & _MAIN:
@@ -227,7 +228,8 @@ def _flow(near: dict[int, dict[int, int]], own: list[int]) -> set[int]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    own = [score(text, flags, tag, links) for text, flags, _, tag, links in found]
+    marked = any(flags & (_ARTICLE | _MAIN) for _, flags, _, _, _ in found)
+    own = [score(text, flags, tag, links, marked) for text, flags, _, tag, links in found]
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for k, block in enumerate(found):

@@ -135,6 +135,8 @@ class Model:
 
     def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores [token, language] and letters of each token; distinct words are scored once and kept for a while."""
+        if not self.languages:
+            return np.zeros((len(tokens), 0), np.float32), np.zeros(len(tokens), np.int64)
         if len(self._known) > _KNOWN_WORDS:
             self._known, self._table, self._letters = {}, self._table[:0], self._letters[:0]
         new = list(set(tokens).difference(self._known))

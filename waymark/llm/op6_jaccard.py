@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .arrays import pieces, shingle_sets
 from .common import settle, settle_table, table
 from .components import components
+from .idfilter import having, id_filter
 
 WIDTH, PERCENT = 4, 85
 TILE = 4096
@@ -194,7 +195,10 @@ def _within_bound(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of whole texts."""
+    """The pairs (a, b) that link, by exact intersection of whole texts; ``pairs`` is read twice."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bits = id_filter(both, lambda batch: batch.column("id").to_numpy())
+    texts = texts.mapInArrow(having(bits), "id long, text string")  # texts of no pair needn't travel
     for side in "ba":  # a is the pivot of many: join it last, on its own
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return pairs.mapInArrow(_exact(width, percent), "a long, b long").distinct()
@@ -232,6 +236,10 @@ def link_table(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
 
     rows = tiles.join(joined.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "in_short", "g", F.coalesce("component", "id").alias("comp"))
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi")
+    by_size = Window.partitionBy("token").orderBy("n")
+    smaller = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False))
+    larger = F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    mixed = mixed.withColumn("fits", smaller | larger).where("fits")  # else no size on the tile allows a link
     rows = _cut_tiles(mixed.select("token", "id", "n", "in_short", "g", "comp"), percent)
     rows = rows.join(reps.select("id", "bits"), "id").repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS, "n", "id")
     pairs = rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()

@@ -15,9 +15,12 @@ from waymark.operators import sampling as sa
 
 def test_index_specs():
     assert sources.parse_indices("0-2, 7,1") == [0, 1, 2, 7]
-    for bad in ("x", "3-1", "1,,2"):
+    for bad in ("x", "3-1", ","):
         with pytest.raises(ValueError):
             sources.parse_indices(bad)
+    with pytest.raises(ValueError):
+        sources.parse_indices("4", count=4)
+    assert sources.parse_bool("Yes") and not sources.parse_bool("off") and sources.parse_ids("1, 2,") == [1, 2]
 
 
 def test_names():
@@ -101,3 +104,72 @@ def test_streams(spark, tmp_path):
     got = {(r["tag_id"], r["frame"]): r["step"] for r in spark.sql("SELECT * FROM steps").collect()}
     assert got[2, 0] is None and got[2, 3] == 2.0 and got[1, 4] == 1.0
     assert sum(r["n_detections"] for r in spark.sql("SELECT * FROM windows").collect()) == 10
+
+
+def test_discovery_and_sinks(spark, tmp_path):
+    for name in ("a.mp4", ".b.mp4", "sub/c.avi", "t_tags.parquet/x", "t_tags_yolo.parquet/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert [p.rsplit("/", 1)[1] for p in sources.find_videos(spark, str(tmp_path))] == ["a.mp4", "c.avi"]
+    assert sources.find_tables(spark, str(tmp_path), "tags") == ["t_tags"]
+    sources.save_sidecar(None, "source string, frame int", spark, str(tmp_path / "empty"))
+    assert spark.read.parquet(str(tmp_path / "empty")).columns == ["source", "frame"]
+    df = spark.range(3)
+    assert sources.snapshot(df, str(tmp_path / "snap"), "one").count() == 3 and sources.snapshot(df, None, "one") is df
+    lines = spark.createDataFrame([("train", "p1", "0 1"), ("train", "p1", "0 0"), ("val", "p2", "0 2")], "part string, name string, line string")
+    sources.write_labels(lines, str(tmp_path / "labels"))
+    assert spark.read.text(str(tmp_path / "labels")).where("name = 'p1'").count() == 2
+    (tmp_path / "t.csv").write_text("number,value,params_a\n0,0.5,2\n1,,x\n")
+    rows = sources.read_trials(spark, str(tmp_path / "t.csv"), ["a"]).orderBy("number").collect()
+    assert rows[0]["params_a"] == 2.0 and rows[1]["value"] is None
+    assert ev.top_trials(sources.read_trials(spark, str(tmp_path / "t.csv"), ["a"])).count() == 1
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = [("v", "t", f, c, "x", 0, 0, 9, 9, [c], [1]) for f in range(2) for c in range(3)]
+    df = spark.createDataFrame(rows, "video_key string, tag_family string, frame int, crop_idx int, crop_file string, crop_x1 int, crop_y1 int, crop_x2 int, crop_y2 int, gt_ids array<long>, gt_ass_types array<int>")
+    sources.write_manifest(df, str(tmp_path / "m"))
+    assert sorted(map(tuple, sources.read_manifest(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_seeded_split():
+    train, val = sa.seeded_split([f"n{k}" for k in range(10)], 0.3)
+    assert len(val) == 3 and sorted(train + val) == sorted(f"n{k}" for k in range(10)) and (train, val) == sa.seeded_split([f"n{k}" for k in range(10)], 0.3)
+
+
+def test_image_kernels():
+    import numpy as np
+
+    from waymark.functions import images
+
+    a = np.random.default_rng(42).integers(0, 256, (20, 30), dtype=np.uint8)
+    assert (images.invert(images.invert(a)) == a).all() and (abs(images.gamma(a, 1.0).astype(int) - a) <= 1).all()
+    for out in (images.tone(a, "sqrt"), images.tone(a, "tuning_log"), images.contrast(a, 2.0), images.sharpen(a)):
+        assert out.dtype == np.uint8 and out.shape == a.shape
+    flat = np.full((9, 9), 128, np.uint8)
+    assert (images.sharpen(flat) == 128).all() and (images.contrast(flat, 3.0) == 128).all()
+    assert images.strip(a, [(0, 0, 4, 5), (10, 2, 13, 4)]).shape == (5, 7)
+
+
+def test_observe_with_fakes(spark):
+    import numpy as np
+
+    from waymark.plans.observe import ObserveParams, observe
+
+    image = np.zeros((60, 100), np.uint8)
+    image[10:20, 10:20], image[30:40, 60:70] = 200, 90
+
+    def detector(frame):
+        assert frame.shape == (60, 100)
+        return [(10, 10, 20, 20, 0.9), (11, 10, 20, 20, 0.5), (60, 30, 70, 40, 0.8), (0, 0, 5, 5, 0.01)]
+
+    def decoder(strip):
+        ys, xs = np.nonzero(strip == 200)
+        square = lambda y, x: [(x.min(), y.min()), (x.max(), y.min()), (x.max(), y.max()), (x.min(), y.max())]
+        return [(7, square(ys, xs)), (999, square(ys, xs))], [square(*np.nonzero(strip == 90))]
+
+    frames = spark.createDataFrame([("s", f, bytearray(image.tobytes()), 100, 60) for f in range(2)], "source string, frame int, image binary, width int, height int")
+    d, b, q = observe(frames, detector, decoder, ObserveParams())
+    assert {(r["frame"], r["tag_id"], r["center_x"], r["center_y"], r["c0x"]) for r in d.collect()} == {(f, 7, 14.5, 14.5, 10.0) for f in range(2)}
+    assert sorted((r["frame"], r["decoded"], r["tag_id"]) for r in b.collect()) == [(f, x, t) for f in range(2) for x, t in ((False, -1), (True, 7))]
+    assert {(r["center_x"], r["center_y"]) for r in q.collect()} == {(64.5, 34.5)}

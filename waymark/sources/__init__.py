@@ -20,17 +20,34 @@ VIDEO_SUFFIXES = (".mp4", ".avi", ".mkv", ".mov", ".m4v")
 SIDECARS = ("_yolo", "_quads", "_clean")
 
 
-def parse_indices(spec: str) -> list[int]:
-    """Sorted distinct numbers of a spec such as ``0-4,10``."""
+def parse_indices(spec: str, count: int | None = None) -> list[int]:
+    """Sorted distinct numbers of a spec such as ``0-4,10``; with ``count`` they must be below it."""
     found: set[int] = set()
-    for part in spec.split(","):
-        m = re.fullmatch(r"\s*(\d+)(?:\s*-\s*(\d+))?\s*", part)
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        m = re.fullmatch(r"(\d+)(?:\s*-\s*(\d+))?", part)
         if not m or (m[2] and int(m[2]) < int(m[1])):
             raise ValueError(f"not an index or range: {part!r}")
         found.update(range(int(m[1]), int(m[2] or m[1]) + 1))
+    if not found:
+        raise ValueError("no indices given")
+    if count is not None and max(found) >= count:
+        raise ValueError(f"indices end at {count - 1}, not {max(found)}")
     return sorted(found)
 
 
+def parse_bool(text: str) -> bool:
+    word = text.strip().lower()
+    if word in ("true", "1", "yes", "on"):
+        return True
+    if word in ("false", "0", "no", "off"):
+        return False
+    raise ValueError(f"not a truth value: {text!r}")
+
+
+def parse_ids(text: str) -> list[int]:
+    return [int(x) for x in text.split(",") if x.strip()]
+
+
 def dataname(name: str) -> str:
     return name if name.startswith("_") else f"_{name}"
 
@@ -111,3 +128,59 @@ def preset_of_trial(row: dict) -> str:
     """A trial's ``params_*`` as preset JSON: nulls left out, whole floats as integers."""
     values = {k.removeprefix("params_"): v for k, v in row.items() if k.startswith("params_") and v is not None and v == v}
     return json.dumps({k: int(v) if isinstance(v, float) and v.is_integer() else v for k, v in sorted(values.items())})
+
+
+def find_tables(spark: SparkSession, folder: str, suffix: str | None = None) -> list[str]:
+    """Raw tables of a folder, by base name."""
+    names = (n.removesuffix(".parquet") for n in list_folder(spark, folder) if n.endswith(".parquet"))
+    return [n for n in names if is_raw(n, suffix)]
+
+
+def find_videos(spark: SparkSession, path: str) -> list[str]:
+    """Videos of a folder and of its folders, one level down; or the one that the path names."""
+    if is_video(path):
+        return [path]
+    found = []
+    for name in list_folder(spark, path):
+        below = [f"{path}/{name}"] if is_video(name) else [f"{path}/{name}/{n}" for n in list_folder(spark, f"{path}/{name}") if is_video(n)] if "." not in name else []
+        found += below
+    return found
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Encoded images of a folder: source (its stem) and content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,tif,tiff,bmp}").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("source"), "path", "content")
+
+
+def save_sidecar(df: DataFrame | None, schema, spark: SparkSession, path: str) -> None:
+    """A sidecar table; its columns are there even if nothing was found."""
+    (spark.createDataFrame([], schema) if df is None else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def snapshot(df: DataFrame, folder: str | None, label: str) -> DataFrame:
+    """Write a plan's state for debugging, if there is a folder, and go on from what was written."""
+    if not folder:
+        return df
+    df.write.mode("overwrite").parquet(f"{folder}/{label}.parquet")
+    return df.sparkSession.read.parquet(f"{folder}/{label}.parquet")
+
+
+def write_manifest(crops: DataFrame, path: str) -> None:
+    """One JSON document a video: its frames with their crops."""
+    crop = F.struct("crop_idx", "crop_file", F.array("crop_x1", "crop_y1", "crop_x2", "crop_y2").alias("bbox_xyxy"), "gt_ids", "gt_ass_types")
+    frames = crops.groupBy("video_key", "tag_family", "frame").agg(F.array_sort(F.collect_list(crop)).alias("crops"))
+    frame = F.struct(F.col("frame").alias("frame_idx"), "crops")
+    frames.groupBy("video_key", "tag_family").agg(F.array_sort(F.collect_list(frame)).alias("frames")).write.mode("overwrite").json(path)
+
+
+def write_labels(lines: DataFrame, path: str) -> None:
+    """Label lines (part, name, line): a text file a picture, under ``part=.../name=...``."""
+    per = lines.groupBy("part", "name").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("value"))
+    per.repartition("part", "name").write.mode("overwrite").partitionBy("part", "name").text(path)
+
+
+def read_trials(spark: SparkSession, path: str, parameters: list[str]) -> DataFrame:
+    """Trials: number, value and the named ``params_*`` as numbers where they are."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(F.col("number").cast("int"), F.expr("try_cast(value AS DOUBLE)").alias("value"), *[F.expr(f"try_cast(`params_{p}` AS DOUBLE)").alias(f"params_{p}") for p in parameters])

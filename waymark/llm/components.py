@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by hooking to the lowest neighbour and jumping to its parent."""
 
 from __future__ import annotations
 
@@ -10,29 +10,28 @@ from .common import settle
 MAX_ROUNDS = 60
 
 
-def _to_lowest(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the lowest of u and its neighbours; partial sums first, so a hub costs no task its all."""
-    lowest = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(lowest, "u")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every linked node, the component being its lowest node.
 
-    Self-links, repeated links and nulls are ignored.
+    Each round a node keeps the edge to its lowest neighbour below it, its parent;
+    its other such neighbours are tied to that parent instead; and every edge then
+    moves up to the parent of its lower end.  The table never grows, and stars,
+    which most groups of copies are, are done in one round.  Self-links, repeated
+    links and nulls are ignored.
     """
     edges = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
     for _ in range(MAX_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = _to_lowest(large)
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
-        edges = settle(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(state):
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        several = low.where("m < x").select("u", "m")
+        tied = edges.join(several, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        parents = low.select("u", F.col("m").alias("v"))
+        every = parents.withColumn("moved", F.lit(False)).unionByName(tied)
+        up = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        jumped = every.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("moved") | F.col("w").isNotNull()).alias("moved"))
+        state = settle(jumped)
+        edges = state.select("u", "v")
+        if state.where("moved").isEmpty():
             break
-        seen = tuple(state)
     else:
         raise RuntimeError(f"components are not stable after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -7,8 +7,9 @@ A document is the set of its distinct word shingles.  Two documents link when
 2. Tiles: a class is put on the tile of each shingle in its prefix (the lowest
    hashes).  Linked sets share a shingle of the smaller one's short prefix and
    the larger one's long prefix, so no link is lost.  Tiles of one class go.
-3. Stars: on each tile every class is paired with one pivot.  Verified stars
-   join groups of near copies in linear work.
+3. Stars: on each tile every class is paired with the lowest id, as copies
+   mostly follow their original.  Verified stars join groups of near copies in
+   linear work.
 4. Tiles again, sorted by size: classes not yet in one component are compared
    if their sizes allow a link.  Hashed bitmaps (a power of two of bits, twice
    the set size or more) bound the overlap from above by their bit counts.
@@ -43,7 +44,7 @@ from .idfilter import having, id_filter
 
 WIDTH, PERCENT = 4, 85
 TILE = 4096
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 16 << 20
 _FEATURES = "id long, n long, digest binary, long_prefix array<long>, short int, bits binary"
 
 
@@ -222,7 +223,7 @@ def link_table(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     on_tile = on_tile.withColumns({
         "g": F.count("*").over(w),
         "useful": F.max("in_short").over(w),
-        "pivot": F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"), F.col("n").alias("n"))).over(w),
+        "pivot": F.min(F.struct("id", "n")).over(w),
     }).where("g > 1 and useful")
     tiles = settle_table(on_tile.select("token", "id", "n", "in_short", "g", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
 

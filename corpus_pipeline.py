@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm import common, op1_quality, op2_repeats, op4_packing, op6_jaccard, op7_language
+from waymark.llm import common, idfilter, op1_quality, op2_repeats, op4_packing, op6_jaccard, op7_language
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.3
@@ -40,11 +40,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _ready(spark, docs)
-    groups = op6_jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = common.settle(op6_jaccard.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT))
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # repeated rows of one id
-    return kept.withColumn("_again", again).where("doc_id IS NULL OR _again = 1").select(*COLUMNS)
+    repeated = groups.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")  # rows of one id
+    bits = idfilter.id_filter(others.unionByName(repeated), lambda batch: idfilter.ids_of(batch.column("doc_id")))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = rows.schema
+    clear = rows.mapInArrow(idfilter.having(bits, "doc_id", keep=False), schema)  # surely neither: they needn't travel
+    kept = rows.mapInArrow(idfilter.having(bits, "doc_id"), schema).join(others, "doc_id", "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    first = kept.withColumn("_again", again).where("doc_id IS NULL OR _again = 1")
+    return clear.select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

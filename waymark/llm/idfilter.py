@@ -60,11 +60,11 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def having(bits: np.ndarray, column: str = "id") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A kernel for ``mapInArrow`` that keeps the rows whose id may be in the filter."""
+def having(bits: np.ndarray, column: str = "id", keep: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel for ``mapInArrow``: the rows whose id may be in the filter, or with ``keep=False`` the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits, ids_of(batch.column(column)))))
+            yield batch.filter(pa.array(passes(bits, ids_of(batch.column(column))) == keep))
 
     return run

@@ -5,8 +5,8 @@ A document is the set of its distinct word shingles.  Two documents link when
 
 1. Documents of one set form a class; its lowest id stands for it.
 2. Tiles: a class is put on the tile of each shingle in its prefix (the lowest
-   hashes).  Linked sets share a shingle of the smaller one's short prefix and
-   the larger one's long prefix, so no link is lost.  Tiles of one class go.
+   hashes).  Linked sets share one there, so no link is lost; the shingle's place
+   bounds the size of a partner.  Tiles of one class go.
 3. Stars: on each tile every class is paired with the lowest id, as copies
    mostly follow their original.  Verified stars join groups of near copies in
    linear work.
@@ -45,7 +45,7 @@ from .idfilter import having, id_filter
 WIDTH, PERCENT = 4, 85
 TILE = 4096
 _BLOCK_BYTES = 16 << 20
-_FEATURES = "id long, n long, digest binary, long_prefix array<long>, short int, bits binary"
+_FEATURES = "id long, n long, digest binary, long_prefix array<long>, bits binary"
 
 
 def _need(a, b, percent: int):
@@ -62,20 +62,18 @@ def _bitmap(hashes: np.ndarray) -> bytes:
 
 def _features(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("long_prefix", pa.list_(pa.int64())), ("short", pa.int32()), ("bits", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("long_prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
                 size = [len(s) for s in sets]
                 reach = [n - -(-percent * n // 100) + 1 if n else 0 for n in size]
-                short = [n - _need(n, n, percent) + 1 if n else 0 for n in size]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
                         pa.array(size, pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[:k].view(np.int64) for s, k in zip(sets, reach, strict=True)], pa.list_(pa.int64())),
-                        pa.array(short, pa.int32()),
                         pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
                     ],
                     schema=schema,
@@ -124,7 +122,7 @@ def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def of(t: pa.Table) -> pa.RecordBatch:
         col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         tile = [col(c) for c in _TILE_KEYS]
-        ids, comp, size, short, band, block = (col(c) for c in ("id", "comp", "n", "in_short", "own_band", "block"))
+        ids, comp, size, cap, band, block, one, two = (col(c) for c in ("id", "comp", "n", "cap", "own_band", "block", "before1", "before2"))
         bits, at, n_words = _words_of(t.column("bits").combine_chunks())
         same = np.ones(max(t.num_rows - 1, 0), bool)
         for c in tile:
@@ -138,7 +136,9 @@ def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             lead, after = lead[near], after[near]  # sizes ascend: what is too large stays so
             if not len(lead):
                 break
-            new = (comp[lead] != comp[after]) & (short[lead] | ((size[lead] == size[after]) & short[after]))
+            new = (comp[lead] != comp[after]) & (size[after] <= cap[lead]) & (size[lead] <= cap[after])
+            for x in (one, two):  # a shared shingle just before this one: that tile has the pair
+                new &= (x[lead] != one[after]) & (x[lead] != two[after])
             cut = tile[1][lead] >= 0  # a tile of bands and blocks: its own pairs only
             new &= ~cut | ((np.minimum(band[lead], band[after]) == tile[1][lead]) & ((block[lead] != block[after]) | (tile[2][lead] == tile[3][lead])))
             i, j = lead[new], after[new]
@@ -215,19 +215,21 @@ def link_table(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     features = settle_table(texts.mapInArrow(_features(width, percent), _FEATURES))
     classes = settle(features.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = features.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    reps = settle_table(reps.select("id", "n", "long_prefix", "short", "bits"))
+    reps = settle_table(reps.select("id", "n", "long_prefix", "bits"))
 
-    prefix = reps.select("id", "n", "short", F.posexplode("long_prefix").alias("at", "token"))
+    prefix = reps.select("id", "n", F.posexplode("long_prefix").alias("at", "token"))
     w = Window.partitionBy("token")
-    on_tile = prefix.select("token", "id", "n", (F.col("at") < F.col("short")).alias("in_short"))
+    # after this shingle n - at are left, so a linked partner has at most ``cap``
+    cap = F.floor((F.col("n") - F.col("at")) * (100 + percent) / F.lit(percent)) - F.col("n")
+    on_tile = prefix.select("token", "id", "n", cap.cast("long").alias("cap"))
     on_tile = on_tile.withColumns({
         "g": F.count("*").over(w),
-        "useful": F.max("in_short").over(w),
-        "pivot": F.min(F.struct("id", "n")).over(w),
+        "useful": F.max(F.col("cap") >= F.col("n")).over(w),
+        "pivot": F.min(F.struct("id", "n", "cap")).over(w),
     }).where("g > 1 and useful")
-    tiles = settle_table(on_tile.select("token", "id", "n", "in_short", "g", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    tiles = settle_table(on_tile.select("token", "id", "n", "cap", "g", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.cap").alias("pivot_cap")))
 
-    sizes_fit = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    sizes_fit = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("pivot_n") <= F.col("cap")) & (F.col("n") <= F.col("pivot_cap"))
     stars = tiles.where(sizes_fit & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     stars = stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(_within_bound(percent), "a long, b long")
@@ -235,14 +237,17 @@ def link_table(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     star_links = settle(_verified(stars, texts, width, percent))
     joined = settle(components(star_links))
 
-    rows = tiles.join(joined.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "in_short", "g", F.coalesce("component", "id").alias("comp"))
+    rows = tiles.join(joined.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "cap", "g", F.coalesce("component", "id").alias("comp"))
     mixed = rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi")
-    by_size = Window.partitionBy("token").orderBy("n")
-    smaller = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False))
-    larger = F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    by_size = Window.partitionBy("token").orderBy("n", "id")
+    best = F.max("cap").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    smaller = F.coalesce((100 * F.lag("n").over(by_size) >= percent * F.col("n")) & (best >= F.col("n")), F.lit(False))
+    larger = F.coalesce((100 * F.col("n") >= percent * F.lead("n").over(by_size)) & (F.lead("n").over(by_size) <= F.col("cap")), F.lit(False))
     mixed = mixed.withColumn("fits", smaller | larger).where("fits")  # else no size on the tile allows a link
-    rows = _cut_tiles(mixed.select("token", "id", "n", "in_short", "g", "comp"), percent)
-    rows = rows.join(reps.select("id", "bits"), "id").repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS, "n", "id")
+    rows = _cut_tiles(mixed.select("token", "id", "n", "cap", "g", "comp"), percent).join(reps.select("id", "bits", "long_prefix"), "id")
+    at = F.array_position("long_prefix", F.col("token")).cast("int") - 1
+    before = {f"before{k}": F.coalesce(F.when(at >= k, F.get("long_prefix", at - k)), F.xxhash64("id", F.lit(k))) for k in (1, 2)}
+    rows = rows.withColumns(before).drop("long_prefix").repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS, "n", "id")
     pairs = rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more_links = _verified(settle(pairs.join(tried, ["a", "b"], "left_anti")), texts, width, percent)
@@ -263,7 +268,7 @@ def _cut_tiles(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("own_band", band).withColumn("block", F.when(large, F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")).otherwise(0))
     whole = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).alias("bi"), F.lit(0).alias("bj")))
     keyed = rows.withColumn("t", F.explode(F.when(large, split(F.col("block"))).otherwise(whole)))
-    return keyed.select("token", F.col("t.band").alias("band"), F.col("t.bi").alias("bi"), F.col("t.bj").alias("bj"), "id", "n", "in_short", "comp", "own_band", "block")
+    return keyed.select("token", F.col("t.band").alias("band"), F.col("t.bi").alias("bi"), F.col("t.bj").alias("bj"), "id", "n", "cap", "comp", "own_band", "block")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -17,6 +17,10 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: A side of at most this many rows (of fixed-width columns) may be broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Arrow batches on the way to Python hold about so many bytes, so that workers stay small whatever the rows' width.
+BATCH_BYTES = "8m"
+_SPARK_BATCH_BYTES = "67108864b"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _local_scratch: list[str] = []
 
@@ -28,7 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let local Python workers import this package, wherever the driver was started."""
+    """Let local Python workers import this package, wherever the driver was started, and bound their batches.
+
+    A session's own ``spark.sql.execution.arrow.maxBytesPerBatch`` stays as it is.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _SPARK_BATCH_BYTES) == _SPARK_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)

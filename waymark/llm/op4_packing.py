@@ -52,9 +52,8 @@ class Ids:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer, decoders
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -65,6 +64,15 @@ class Ids:
         self.marks = {m: np.array(self.encoding.encode_ordinary(m), np.uint32).tobytes() for m in ".,"}
         self.memo = Memo(self._work)
 
+    @property
+    def library(self):
+        """The tokenizers library with this file, loaded when a text needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _work(self, word: str) -> bytes:
         if word[-1:] in (".", ",") and word[:-1].isalpha():  # the file's pattern parts letters from marks
             return self.memo[word[:-1]] + self.marks[word[-1]]

@@ -208,15 +208,18 @@ def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True,
 
     With ``carry``, column ``row`` has all columns of the row.
     """
-    row = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None).cast("struct<none:int>")
-    given = docs.withColumn("_row", row).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("row"))
-    row_type = given.schema["row"].dataType.simpleString()
+    id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    row = [F.struct(*[text if c == "text" else docs[c] for c in docs.columns]).alias("row")] if carry else []
+    given = docs.select(id_, (_remainder() == 2).alias("held_out"), *(row or [text]))  # a text goes to Python once
+    row_type = f", row {given.schema['row'].dataType.simpleString()}" if carry else ""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            if carry:
+                batch = batch.append_column("text", batch.column("row").field("text"))
             for part in pieces(batch, "text"):
                 texts = [(t.as_py() or "").split() for t in part.column("text")]
                 scores, letters = model.of_tokens([w for t in texts for w in t])
@@ -237,9 +240,7 @@ def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True,
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + (", spans array<struct<begin:int,end:int,lang:string>>" if with_spans else "")
-    schema += f", row {row_type}" if carry else ""
-    given = given.select("doc_id", (_remainder() == 2).alias("held_out"), "text", *(["row"] if carry else []))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema + row_type)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

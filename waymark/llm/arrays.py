@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in pieces of about this many bytes, to bound memory.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -62,7 +62,7 @@ class Ids:
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in plain}
         self.encoding = tiktoken.Encoding("of_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.marks = {m: np.array(self.encoding.encode_ordinary(m), np.uint32).tobytes() for m in ".,"}
-        self.memo = Memo(self._work)
+        self.memo = Memo(self._work, limit=100_000)
 
     @property
     def library(self):

@@ -38,7 +38,7 @@ MIN_SCRIPT_SHARE = 0.05
 #: A word, such as a key or an address, counts for no more than this.
 MAX_LOSS, MAX_LETTERS = 8.0, 15
 UNKNOWN = "und"
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 100_000
 
 #: Script ranges (first code point, last, script); letters elsewhere have script 0.
 SCRIPTS = (

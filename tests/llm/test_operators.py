@@ -124,6 +124,29 @@ def test_op2_on_random_bytes_and_shared_ids(spark):
     assert sorted(tuple(r)[:5] for r in got.collect()) == brute_repeats(rows)
 
 
+def test_op2_hot_grams_meet_by_window(spark, monkeypatch):
+    monkeypatch.setattr(op2_repeats, "HOT_ENTRIES", 40)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(130)
+    common = ["", "", "shared start of the context ", "other"]
+    rows = [(rng.randint(0, 900), noise(rng.randint(0, 60)) + rng.choice(common) + passage[rng.choice([0, 0, 0, 7, 40]) : rng.choice([130, 130, 95])] + rng.choice(common) + noise(rng.randint(0, 60))) for _ in range(400)]
+    rows += [(5, passage + "\n" + passage), (None, passage), (900, noise(300)), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hot = op2_repeats.hot_grams(docs)
+    assert len(hot)
+    got = op2_repeats.remove_repeats(docs)
+    high = lambda r: (10**6 if r[0] is None else r[0], *r[1:5])
+    assert sorted(high(r) for r in got.collect()) == brute_repeats([high(r) for r in rows])
+    # no bucket sees all documents of the passage: its widest task has an entry a document only for windows of its own hash
+    sampled = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(op2_repeats._sampler(256, hot), "kind int, bucket int, payload binary")
+    width = {op2_repeats._SAMPLE: sum(f[1] for f in op2_repeats._ENTRY), op2_repeats._WINDOW: sum(f[1] for f in op2_repeats._HOT)}
+    most = Counter()
+    for r in sampled.where(F.col("kind").isin(*width)).collect():
+        most[r["kind"], r["bucket"]] += len(r["payload"]) // width[r["kind"]]
+    assert max(most.values()) < 200 and any(kind == op2_repeats._WINDOW for kind, _ in most)
+
+
 PAGES = "page_id long, url string, html string, host string, rule string"
 URLS = [
     "https://a.example.org/es/1", "https://b.example.org/en/12?x", "HTTP://WWW.News.Example.ORG/en/2", "http://shop.example.com/de/3", "http://shop.example.com/fr/3#a", "http://shop.example.com/en/3",

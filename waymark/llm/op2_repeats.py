@@ -16,6 +16,12 @@ with a smaller id.  The method sorts sampled suffixes and compares neighbours:
    document, and neighbours compared.
 4. The spans found are joined back to the documents.
 
+Hot grams, of which a sample of the texts foretells over ``HOT_ENTRIES``, never
+meet by gram: each window whose lowest gram is hot goes to the bucket of its own
+hash, after the windows met in one piece of text are settled there.  So a line or
+passage that many documents have, each in a context of its own, costs a bucket one
+entry a piece for each window that is shared, and spreads those that aren't.
+
 Copies met within a task are settled there, so a text that makes up a third of
 all rows costs one entry a task and gram.  Between steps, entries travel as
 packed arrays, one row a task and bucket.  The full difference cover over all
@@ -47,11 +53,14 @@ REACH = LENGTH - GRAM
 HALF = REACH // 2
 #: Texts sampled at a time; the arrays alive at once take some 100 bytes a byte of text.
 SAMPLE_BYTES = 2 << 20
+#: Grams with more entries than this are hot, as far as a sample of about ``HOT_BYTES`` of text can tell from ``HOT_SEEN`` entries at least.
+HOT_ENTRIES, HOT_BYTES, HOT_SEEN = 5000, 64 << 20, 16
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-_SAMPLE, _COVER, _ASK = 0, 1, 2
+_SAMPLE, _COVER, _ASK, _WINDOW = 0, 1, 2, 3
 #: Fields of packed entries: name, bytes kept of a little-endian value, and its type.
 _ENTRY = (("gram", 5, np.uint64), ("triple", 7, np.uint64), ("doc", 8, np.int64), ("pos", 4, np.uint32), ("left", 1, np.uint8), ("right", 1, np.uint8), ("near_l", 1, np.uint8), ("near_r", 1, np.uint8))
 _COVERED = (("doc", 8, np.int64), ("start", 4, np.uint32), ("end", 4, np.uint32), ("check", 4, np.uint32))
+_HOT = (("name", 8, np.uint64), ("hot", 3, np.uint32), ("doc", 8, np.int64), ("start", 4, np.uint32))
 _ASKED = (("gram", 5, np.uint64), ("doc", 8, np.int64), ("pos", 4, np.uint32))
 _CONTEXT = (("gram", 5, np.uint64), ("doc", 8, np.int64), ("pos", 4, np.uint32), ("left", 1, np.uint8), ("right", 1, np.uint8))
 
@@ -111,13 +120,13 @@ def _cover_rows(doc, start, end, check, buckets: int) -> list[tuple[int, int, by
     return _by_bucket(_COVER, _COVERED, columns, place(doc, buckets))
 
 
-def sample(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the sampled grams, their hashes and their rows."""
+def _lowest(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all grams, the lowest of each window (0 where it isn't within a row), and the row of each byte."""
     n = len(buf)
-    if n < LENGTH:
-        none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    if n < LENGTH:
+        none = np.zeros(0, np.uint64)
+        return none, none, row
     begin = np.arange(n - GRAM + 1)
     gram = spans_hash(sums, begin, begin + GRAM)
     low = gram
@@ -125,12 +134,25 @@ def sample(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarra
         low = np.minimum(low[:-step], low[step:])
     low = np.minimum(low[: -(REACH - 15)], low[REACH - 15 :])  # of windows of 31 grams
     low[row[LENGTH - 1 :] != row[: n - LENGTH + 1]] = 0
+    return gram, low, row
+
+
+def _sampled(gram: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Positions of the grams that are the lowest of a window."""
+    if not len(low):
+        return np.zeros(0, np.int64)
     high = np.zeros(len(low) + 2 * REACH, np.uint64)
     high[REACH:-REACH] = low
     for step in (1, 2, 4, 8):
         high = np.maximum(high[:-step], high[step:])
     high = np.maximum(high[: -(REACH - 15)], high[REACH - 15 :])
-    pos = np.flatnonzero((high == gram) & (gram > 0))
+    return np.flatnonzero((high == gram) & (gram > 0))
+
+
+def sample(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the sampled grams, their hashes and their rows."""
+    gram, low, row = _lowest(buf, at, sums)
+    pos = _sampled(gram, low)
     return pos, gram[pos], row[pos].astype(np.int64)
 
 
@@ -156,14 +178,66 @@ def _first_of(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
-def _sampler(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "text", SAMPLE_BYTES):
+            buf, at = text_bytes(part.column("text"))
+            gram, n = np.unique(sample(buf, at, rolling(buf))[1] >> np.uint64(24), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
+def hot_grams(texts: DataFrame) -> np.ndarray:
+    """Sorted names of the hot grams; some hundred thousand at most, by the sample's size.  Results don't depend on which they are."""
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    share = min(1.0, HOT_BYTES / max(size, 1))
+    drawn = texts.select("text").sample(share, 7) if share < 1 else texts.select("text")
+    counts = drawn.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(HOT_SEEN, int(HOT_ENTRIES * share))).select("gram").toPandas()["gram"]
+    return np.sort(found.to_numpy(np.int64)).astype(np.uint64)
+
+
+def _among(gram: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each name is in the sorted ``hot``, and its place there."""
+    if not len(hot):
+        return np.zeros(len(gram), bool), np.zeros(len(gram), np.int64)
+    k = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
+    return hot[k] == gram, k
+
+
+def _hot_rows(low, row, at, ids, sums, hot: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Windows whose lowest gram is hot: spans of those that a smaller document of this piece has, and entries of the rest."""
+    begin = np.flatnonzero(low)
+    inside, place_of = _among(low[begin] >> np.uint64(24), hot)
+    begin, place_of = begin[inside], place_of[inside]
+    if not len(begin):
+        return []
+    name, of = spans_hash(sums, begin, begin + LENGTH), row[begin]
+    doc = ids[of]
+    copy = doc > _first_of(name, place_of, doc=doc)[0]
+    rows = []
+    if copy.any():
+        b, r = begin[copy], of[copy]
+        new = np.append(True, (np.diff(b) > 1) | (r[1:] != r[:-1]))  # windows one byte apart make one span
+        first = np.flatnonzero(new)
+        start, end, r = b[first], b[np.append(first[1:], len(b)) - 1] + LENGTH, r[first]
+        rows += _cover_rows(ids[r], start - at[r], end - at[r], spans_hash(sums, start, end) & np.uint64(0xFFFFFFFF), buckets)
+    k = ~copy
+    columns = {"name": name[k], "hot": place_of[k].astype(np.uint32), "doc": doc[k], "start": (begin[k] - at[of[k]]).astype(np.uint32)}
+    return rows + _by_bucket(_WINDOW, _HOT, columns, _gram_bucket(columns["name"], buckets))
+
+
+def _sampler(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", SAMPLE_BYTES):
                 buf, at = text_bytes(part.column("text"))
                 ids = ids_of(part.column("id"))
                 sums = rolling(buf)
-                pos, gram, row = sample(buf, at, sums)
+                gram, low, row = _lowest(buf, at, sums)
+                pos = _sampled(gram, low)
+                pos = pos[~_among(gram[pos] >> np.uint64(24), hot)[0]]
+                gram, hot_rows = gram[pos], _hot_rows(low, row, at, ids, sums, hot, buckets)
+                row = row[pos].astype(np.int64)
                 left, right = _context(pos, row, at)
                 whole = spans_hash(sums, pos - left, pos + GRAM + right)
                 triple = (whole ^ (left.astype(np.uint64) << np.uint64(48))) & np.uint64((1 << 56) - 1)
@@ -175,15 +249,20 @@ def _sampler(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 kept = ~copy
                 columns = {"gram": gram >> np.uint64(24), "triple": triple, "doc": doc, "pos": start, "left": left, "right": right, "near_l": near_l, "near_r": near_r}
                 rows += _by_bucket(_SAMPLE, _ENTRY, {c: v[kept] for c, v in columns.items()}, _gram_bucket(columns["gram"][kept], buckets))
-                yield _to_batch(rows)
+                yield _to_batch(rows + hot_rows)
 
     return run
 
 
 def _match_triples(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Sort one bucket's samples: covered spans of repeated triples, and requests for the undecided."""
+    """Sort one bucket's samples: covered spans of repeated triples, and requests for the undecided; or match its hot windows."""
 
     def run(group: pa.Table) -> pa.Table:
+        if group.num_rows and group.column("kind")[0].as_py() == _WINDOW:
+            w = _unpack(_HOT, group.column("payload").to_pylist())
+            copy = w["doc"] > _first_of(w["name"], w["hot"], doc=w["doc"])[0]
+            start = w["start"][copy].astype(np.int64)
+            return pa.Table.from_batches([_to_batch(_cover_rows(w["doc"][copy], start, start + LENGTH, w["name"][copy] & np.uint64(0xFFFFFFFF), buckets))])
         if not group.num_rows or group.column("kind")[0].as_py() != _SAMPLE:
             return group.select(_ROWS.names)
         e = _unpack(_ENTRY, group.column("payload").to_pylist())
@@ -344,7 +423,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, carry: bool = False)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *row)
     texts = rows.select("id", "text")
     row_type = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    sampled = texts.mapInArrow(_sampler(buckets), rows_sql)
+    sampled = texts.mapInArrow(_sampler(buckets, hot_grams(texts)), rows_sql)
     matched = settle_table(sampled.groupBy("kind", "bucket").applyInArrow(_match_triples(buckets), rows_sql))
     asked = matched.where(F.col("kind") == _ASK)
     wanted = texts.mapInArrow(_having(id_filter(asked, _packed_ids(_ASKED)), buckets), "bucket int, id long, text string")

@@ -300,6 +300,25 @@ def test_op7_spans_of_mixed_text(spark, docs):
     assert [s["lang"] for s in spans] == ["en", "de", "el"] and abs(spans[1]["begin"] - 40) <= 4
 
 
+@pytest.mark.parametrize(("lang", "letters", "end"), [("zh", "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出", "。"), ("th", "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอฮ", ""), ("ja", "のにはをたがでてとしれさあいうえおかきくけこ日本人大国", "、")])
+def test_op7_spans_of_scripts_without_spaces(spark, lang, letters, end):
+    rng = random.Random(9)
+    unspaced = lambda n: "".join(rng.choice(letters) + (end if k % 20 == 19 else "") for k in range(n))
+    rows = [(k, unspaced(200) if k % 2 else sentence(rng, ENGLISH, 60), lang if k % 2 else "en") for k in range(40)]
+    mixed = sentence(rng, ENGLISH, 30) + " " + unspaced(500) + " " + sentence(rng, ENGLISH, 30)
+    quoted = sentence(rng, ENGLISH, 60) + " " + letters[:2] + " " + sentence(rng, ENGLISH, 60)
+    docs = spark.createDataFrame([*rows, (100, mixed, None), (101, quoted, None)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in op7_language.identify(docs).where("doc_id >= 100").collect()}
+    assert found[100]["lang_pred"] == lang and found[101]["lang_pred"] == "en" and found[101]["score"] > 0.9
+    for k, text, chars in ((100, mixed, 500), (101, quoted, 2)):
+        words = op7_language.split_words(text)
+        assert "".join(words) == "".join(text.split())
+        assert [x["lang"] for x in found[k]["spans"]] == ["en", lang, "en"]
+        span = found[k]["spans"][1]
+        inner = "".join(words[span["begin"] : span["end"]])
+        assert abs(sum(c in letters for c in inner) - chars) == 0 and not any(c.isascii() for c in inner)
+
+
 def test_op8(spark, docs, empty):
     library = op8_pieces.codec(op8_pieces.default_model()).library
     text = dict(TEXTS)

@@ -1,7 +1,10 @@
 """Operator 7, language identification with spans.
 
-Words are scored per language by hashed character n-grams.  The script of a
-word narrows the languages that it may be in; Viterbi over the words, with a
+Words are scored per language by hashed character n-grams.  Words are
+runs without white space; in scripts that don't part words (Han, Kana, Thai, Lao,
+Tibetan, Burmese, Khmer) runs of one script are cut into words of ``RUN`` characters.
+The script of a word narrows the languages that it may be in: the others are no
+candidates for it, however few its letters; Viterbi over the words, with a
 penalty for each switch, labels spans of one language.  A document's language
 is the one with most letters; its score is the share of letters under that
 label times its posterior over the whole text.
@@ -20,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +42,10 @@ MIN_SCRIPT_SHARE = 0.05
 #: A word, such as a key or an address, counts for no more than this.
 MAX_LOSS, MAX_LETTERS = 8.0, 15
 UNKNOWN = "und"
+#: Characters of a word in a script without spaces; a cut of the text into words, not of the text.
+RUN = 4
+#: What a word takes from a language that its script excludes, on the way to spans.
+EXCLUDED = 1e4
 _KNOWN_WORDS = 100_000
 
 #: Script ranges (first code point, last, script); letters elsewhere have script 0.
@@ -53,6 +61,22 @@ _ENDS = np.array([s[1] for s in SCRIPTS])
 _OF = np.array([_NAMES.index(s[2]) for s in SCRIPTS])
 
 
+_UNSPACED = (
+    "\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", "\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f",  # Han, Kana
+    "\u0e00-\u0e7f", "\u0e80-\u0eff", "\u0f00-\u0fff", "\u1000-\u109f", "\u1780-\u17ff",  # Thai, Lao, Tibetan, Burmese, Khmer
+)
+_ANY_UNSPACED = re.compile(f"[{''.join(_UNSPACED)}]")
+_WORDS = re.compile("|".join([*(f"[{x}]{{1,{RUN}}}" for x in _UNSPACED), rf"[^\s{''.join(_UNSPACED)}]+"]))
+
+
+def split_words(text: str | None) -> list[str]:
+    """The words of a text, which spans count: runs without white space, cut further in scripts without spaces."""
+    words = (text or "").split()
+    if not text or text.isascii() or not _ANY_UNSPACED.search(text):
+        return words
+    return [part for w in words for part in (_WORDS.findall(w) if _ANY_UNSPACED.search(w) else (w,))]
+
+
 def _letters(token: str) -> str:
     token = token.lower()
     return token if token.isalpha() else "".join([c for c in token if c.isalpha()])
@@ -89,7 +113,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text"):
             tokens: dict[str, Counter] = {}
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text"), strict=True):
-                tokens.setdefault(lang, Counter()).update((text.as_py() or "").split())
+                tokens.setdefault(lang, Counter()).update(split_words(text.as_py()))
             for lang, counter in tokens.items():
                 words = [_letters(t) for t in counter]
                 times = np.fromiter(counter.values(), np.float64, len(counter))
@@ -122,7 +146,7 @@ class Model:
         allowed = scripts >= MIN_SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
         allowed[:, 0] = True
         allowed[:, ~(allowed & (scripts > 0)).any(0)] = True  # a script of no language narrows nothing
-        self.narrow = np.where(allowed.T, 0.0, -1e4).astype(np.float32)
+        self.narrow = np.where(allowed.T, 0.0, -EXCLUDED).astype(np.float32)
         self._known: dict[str, int] = {}
         self._table = np.zeros((0, len(self.languages)), np.float32)
         self._letters = np.zeros(0, np.int64)
@@ -134,7 +158,7 @@ class Model:
         self.__dict__.update(state, _known={}, _table=np.zeros((0, len(state["languages"])), np.float32), _letters=np.zeros(0, np.int64))
 
     def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores [token, language] and letters of each token; distinct words are scored once and kept for a while."""
+        """Scores [token, language], -EXCLUDED where the script rules a language out, and letters of each token; distinct words are scored once and kept for a while."""
         if not self.languages:
             return np.zeros((len(tokens), 0), np.float32), np.zeros(len(tokens), np.int64)
         if len(self._known) > _KNOWN_WORDS:
@@ -144,7 +168,9 @@ class Model:
             ids, owner, script, letters = _grams([_letters(t) for t in new])
             scores = np.stack([np.bincount(owner, self.scores[ids, k], len(new)) for k in range(len(self.languages))], 1)
             scores += self.narrow[script]
-            scores = np.maximum(scores - scores.max(1, keepdims=True, initial=-np.inf), -MAX_LOSS)
+            scores -= scores.max(1, keepdims=True, initial=-np.inf)
+            out = (self.narrow[script] < 0) & (scores < 0)
+            scores = np.where(out, np.float32(-EXCLUDED), np.maximum(scores, -MAX_LOSS))
             scores = np.where(letters[:, None] > 0, scores, 0).astype(np.float32)
             letters = np.minimum(letters, MAX_LETTERS)
             self._known.update(zip(new, range(len(self._known), len(self._known) + len(new)), strict=True))
@@ -155,8 +181,8 @@ class Model:
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word when every switch costs ``penalty``."""
-    lead = int(scores.sum(0).argmax())
-    gain = np.cumsum(scores - scores[:, lead : lead + 1], axis=0)
+    lead = int(scores.sum(0, dtype=np.float64).argmax())
+    gain = np.cumsum(scores - scores[:, lead : lead + 1], axis=0, dtype=np.float64)
     floor = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
     if (gain - floor).max() <= penalty:  # no run of words gains a switch: one language is the best path
         return np.full(len(scores), lead)
@@ -181,7 +207,7 @@ def label(model: Model, tokens: list[str], scores: np.ndarray, letters: np.ndarr
     path = viterbi(scores, penalty)
     per = np.bincount(path, letters, len(model.languages))
     k = int(per.argmax())
-    total = scores.sum(0, dtype=np.float64)
+    total = np.maximum(scores, -MAX_LOSS).sum(0, dtype=np.float64)  # a few foreign words don't rule out the text's language
     posterior = 1 / np.exp(np.minimum(total - total[k], 700)).sum()
     spans = []
     if with_spans:
@@ -221,7 +247,7 @@ def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True,
             if carry:
                 batch = batch.append_column("text", batch.column("row").field("text"))
             for part in pieces(batch, "text"):
-                texts = [(t.as_py() or "").split() for t in part.column("text")]
+                texts = [split_words(t.as_py()) for t in part.column("text")]
                 scores, letters = model.of_tokens([w for t in texts for w in t])
                 found, at = [], 0
                 for t in texts:

@@ -122,6 +122,21 @@ def test_viterbi_is_the_best_path():
         assert value(path.tolist()) == pytest.approx(max(map(value, product(range(3), repeat=6))), abs=1e-4)
 
 
+def test_viterbi_leaves_out_the_lead_where_two_others_fit_better():
+    assert op7_language.viterbi(np.array([[8, -9, 0], [-9, 8, 0]], np.float32), 10.0).tolist() == [0, 1]
+    rng = np.random.default_rng(8)
+    unused = 0
+    for _ in range(60):
+        s = np.zeros((6, 3), np.float32)
+        s[:3, 0], s[3:, 0] = rng.uniform(1, 3, 3), rng.uniform(-5, -3, 3)
+        s[:3, 1], s[3:, 1] = rng.uniform(-5, -3, 3), rng.uniform(1, 3, 3)
+        path = op7_language.viterbi(s, 10.0).tolist()
+        value = lambda p: sum(float(s[t, k]) for t, k in enumerate(p)) - 10.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, B905, E731
+        assert value(path) == pytest.approx(max(map(value, product(range(3), repeat=6))), abs=1e-4)
+        unused += 2 not in path
+    assert 0 < unused
+
+
 def test_sampling_sees_every_match():
     """Two texts sharing a window sample the same gram in it, at the same place."""
     rng = random.Random(3)

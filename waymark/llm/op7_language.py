@@ -184,7 +184,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     lead = int(scores.sum(0, dtype=np.float64).argmax())
     gain = np.cumsum(scores - scores[:, lead : lead + 1], axis=0, dtype=np.float64)
     floor = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
-    if (gain - floor).max() <= penalty:  # no run of words gains a switch: one language is the best path
+    ends = gain.max() + (gain[-1] - np.vstack([gain[:1] * 0, gain[:-1]])).max()
+    # No run of words gains a switch, so the lead isn't left in between; a path without it has a switch less than runs,
+    # but its first and last run together gain no switch: one language is the best path.
+    if (gain - floor).max() <= penalty and ends <= penalty:
         return np.full(len(scores), lead)
     best, back = [0.0] * scores.shape[1], []
     for row in scores.tolist():

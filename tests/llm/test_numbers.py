@@ -113,6 +113,24 @@ def test_main_text(page, text):
         op10_html.main_text(page)
 
 
+ARTICLE = "<article><h1>Head</h1><p>A first paragraph of the article.</p><p>A second one, and its end.</p></article>"
+TEXT = "Head\nA first paragraph of the article.\nA second one, and its end."
+
+
+@pytest.mark.parametrize("wrapper", ['class="overflow-hidden"', 'aria-hidden="false"', 'class="has-sidebar"', 'class="content-sidebar-wrap"', 'data-x="hidden"', 'class="sidebar"', 'data-role="search"', 'style="x-display:none-y"'])
+def test_wrappers_keep_their_article(wrapper):
+    page = f"<body><div {wrapper}>{ARTICLE}</div><footer>f</footer></body>"
+    assert op10_html.main_text(page) == TEXT
+    main = page.replace("article>", "main>")
+    assert op10_html.main_text(main) == TEXT
+
+
+@pytest.mark.parametrize("part", ["hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; Display : none'", "class='x ad'", "id=site-footer", "class='cookie-banner'", "class='sidebar-inner'", "role=search", "class=post-comments"])
+def test_hidden_and_boilerplate_parts_are_left_out(part):
+    assert op10_html.main_text(f"<body><main>{ARTICLE}<div {part}><p>Not a part of the text.</p></div></main></body>") == TEXT
+    assert op10_html.main_text(f"<body>{ARTICLE}<div class=comments><article class=comment><p>A remark of a reader.</p></article></div></body>") == TEXT
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     for _ in range(60):

@@ -39,17 +39,33 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ENDS_PARAGRAPH = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ASIDE = frozenset("nav footer aside form menu dialog select button fieldset".split())
-_ROLES = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu)""", re.I)
-_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|nav\w*|menu\w*|breadcrumbs?|side|sidebar|footer|header|masthead|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|subscribe|newsletter|popup|modal|login|signup|search\w*)(?=$|[\s_-])", re.I)
+_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Of whole class names and ids: a boilerplate word, its place before it and the part of a layout after it.
+_BOILER = re.compile(
+    r"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|mobile|widget|post|entry|article)[_-]+)?"
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|nav\w*|menu\w*|breadcrumbs?|side|sidebar|footer|masthead|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|subscribe|newsletter|popup|modal|login|signup|search\w*)"
+    r"(?:[_-]+(?:wrap|wrapper|container|inner|area|section|block|box|bar|list|items?|links?|buttons?|icons?|menu|nav|posts?|articles?|form|banner|notice|consent|popup|modal|widgets?|unit|slot|\d+))*"
+    r"|(?:(?:site|page|global|main|top|mobile)[_-]+)?header(?:[_-]+(?:wrap|wrapper|container|inner|bar|menu|nav))*",
+    re.I,
+)
+_REMARK = re.compile(r"comments?(?:-body)?|reply|replies", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|main)(?=$|[\s_-])", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: Weights of the classifier, in hundredths; positive means content.
 BIAS, UNMARKED, IN_ARTICLE, IN_MAIN, IN_BOILER, IN_HEADER, LINKS, LONG, SENTENCE, HEADING = -150, -30, 500, 300, -1200, -700, -400, 200, 50, 50
 #: Smoothness: neighbours under one parent, other neighbours, and the next block of the same parent.
 SAME_PARENT, NEXT, SIBLING = 60, 10, 40
-_HIDE, _ARTICLE, _MAIN, _ASIDES, _HEADER = 1, 2, 4, 8, 16
+_HIDE, _ARTICLE, _MAIN, _ASIDES, _HEADER, _NAMED = 1, 2, 4, 8, 16, 32
+
+
+def _values(attributes: str) -> dict[str, str]:
+    """Attributes by lower-case name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), html.unescape(double or single or bare))
+    return found
 
 
 def _flags(tag: str, attributes: str, above: int) -> int:
@@ -64,17 +80,20 @@ def _flags(tag: str, attributes: str, above: int) -> int:
         flags |= _ASIDES
     elif tag == "header" and not above & _ARTICLE:
         flags |= _HEADER
-    if "=" in attributes or "hidden" in attributes:
-        if _ROLES.search(attributes):
+    if tag in ("article", "main"):
+        flags &= ~_NAMED  # the element says more than the class of a wrapper
+    if attributes and not attributes.isspace():
+        given = _values(attributes)
+        if not _ROLES.isdisjoint(given.get("role", "").lower().split()):
             flags |= _ASIDES
-        if _HIDDEN.search(attributes):
+        if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(given.get("style", "")):
             flags |= _HIDE
-        for name in _NAMED.findall(attributes):
-            name = name[0] or name[1] or name[2]
-            if tag not in ("body", "html", "article", "main") and _BOILER.search(name):
-                flags |= _ASIDES
-            elif _CONTENT.search(name):
-                flags |= _MAIN
+        names = f"{given.get('class', '')} {given.get('id', '')}".split()
+        boiler = _REMARK if tag == "article" else None if tag in ("body", "html", "main") else _BOILER
+        if boiler and any(boiler.fullmatch(name) for name in names):
+            flags |= _NAMED
+        elif any(_CONTENT.search(name) for name in names):
+            flags |= _MAIN
     return flags
 
 
@@ -142,7 +161,7 @@ def score(text: str, flags: int, tag: str, links: float, marked: bool = True) ->
         s += IN_ARTICLE
     if flags & _MAIN:
         s += IN_MAIN
-    if flags & _ASIDES:
+    if flags & (_ASIDES | _NAMED):
         s += IN_BOILER
     if flags & _HEADER:
         s += IN_HEADER

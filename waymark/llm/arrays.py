@@ -36,6 +36,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"][:n]
 
 
+def forget() -> None:
+    """Let the tables of powers go; they grow with the longest text."""
+    for k in _powers:
+        _powers[k] = np.ones(1, np.uint64)
+
+
 def rolling(buf: np.ndarray) -> np.ndarray:
     """Prefix sums s such that ``(s[b] - s[a]) * inverse**a`` is a hash of ``buf[a:b]``."""
     p, _ = powers(len(buf) + 1)

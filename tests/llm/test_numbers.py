@@ -243,6 +243,34 @@ def fibonacci_counts(n):
     return np.array(out)
 
 
+def test_repeats_become_back_references():
+    rng = np.random.default_rng(11)
+    line = b"This line stands here again and again.\n"
+    for data in (line * 40, b"x" + bytes(rng.integers(97, 123, 500).astype(np.uint8)) + b" " + line * 3 + bytes(rng.integers(97, 123, 300).astype(np.uint8)) + b"\n" + line * 130, b"ab " * 5000, (b"word " * 7 + b"end\n") * 60 + b"tail"):
+        payload = np.frombuffer(data + b"\0" * (-len(data) % 64), np.uint8)
+        assert webp.find_repeats(payload)
+        file = webp.encode_samples(payload.reshape(-1, 64))
+        assert len(file) < len(payload) / 3
+        assert ((webp.decode(file) >> 8) & 255).astype(np.uint8).tobytes() == payload.tobytes()
+        with pytest.raises(webp.WebPError):
+            webp.decode(file[: len(file) // 2])
+    v = np.arange(1, 1 << 20, 37)
+    prefix, extra, rest = webp.number_prefix(v)
+    assert (np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + rest) + 1 == v).all() and (extra == np.where(prefix < 4, 0, (prefix - 2) >> 1)).all()
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16])
+def test_few_colours_become_a_palette(colours):
+    rng = np.random.default_rng(colours)
+    samples = rng.integers(0, colours, (50, 65)).astype(np.uint8) * 13 + 7
+    out = webp.Writer()
+    webp.put_palette(out, np.unique(samples))
+    file = webp.encode_samples(samples)
+    assert ((webp.decode(file) >> 8) & 255 == samples).all()
+    if colours > 2:
+        assert len(file) < samples.size  # several to a pixel
+
+
 def test_code_lengths_fit():
     for limit, counts in ((15, fibonacci_counts(40)), (7, fibonacci_counts(19)), (15, np.ones(256, np.int64))):
         lengths = webp.code_lengths(counts, limit)

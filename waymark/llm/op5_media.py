@@ -1,10 +1,13 @@
 """Operator 5, media columns as lossless WebP.
 
-A payload of bytes is stored as an image of 8-bit samples (green channel) with
-prefix codes fitted to it; stored images are decoded to pixel arrays by
+A payload of bytes is stored as an image of 8-bit samples (green channel): repeats
+as back-references, few distinct bytes as a palette where that is smaller, and
+prefix codes fitted to the rest.  Stored images are decoded to pixel arrays by
 ``webp.decode``, which reads the whole lossless format: prefix codes and code
 groups, back-references, colour cache, and predictor, cross-colour,
-subtract-green and palette transforms.
+subtract-green and palette transforms.  The writer uses neither cache nor the
+other transforms: in an image of one channel a cached pixel costs what its
+literal does, and differences of letters take more bits than letters.
 
 Defined results: a null or empty text is 64 bytes of 0; equal texts have equal
 values; rows are treated one by one, so ties and repeated rows don't matter; an
@@ -19,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from . import webp
 from .arrays import pieces
 from .common import table
+from .worker import tidy
 
 UNIT = 64
 
@@ -78,6 +83,7 @@ def digests(docs: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     names = [c.split()[0] for c in _OUT.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -91,30 +97,33 @@ def digests(docs: DataFrame) -> DataFrame:
 def encode_column(docs: DataFrame, column: str = "text", media: str = "media") -> DataFrame:
     """``docs`` with the stored form of a text column in binary column ``media``."""
 
-    @F.udf("binary", useArrow=True)
-    def store(text):
-        return to_image(_payload((text or "").encode()))
+    @F.pandas_udf("binary")
+    def store(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: to_image(_payload((t or "").encode())))
 
-    return docs.withColumn(media, store(F.col(column).cast("string")))
+    return docs.withColumn(media, store(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
 
 def decode_images(images: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """key, width, height, pixels (array of 32-bit numbers as long) and error of each WebP file."""
+    """key, width, height, pixels (array of 32-bit numbers as long) and error of each WebP file.
 
+    Files are decoded and returned one by one, so a task holds one image (of at
+    most 16,384 pixels a side) and its pixels, whatever the batch.
+    """
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
         for batch in batches:
-            rows = []
-            for value in batch.column("media").to_pylist():
+            for k, file in enumerate(batch.column("media")):
                 try:
-                    if value is None:
+                    if not file.is_valid:
                         raise webp.WebPError("no file")
-                    pixels = webp.decode(value)
-                    rows.append((pixels.shape[1], pixels.shape[0], pixels.ravel().astype(np.int64), None))
+                    pixels = webp.decode(file.as_py())
+                    row = (pixels.shape[1], pixels.shape[0], pixels.ravel().astype(np.int64), None)
                 except webp.WebPError as e:
-                    rows.append((None, None, None, str(e)))
-            columns = zip(*rows, strict=True) if rows else ((),) * 4
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "width", "height", "pixels", "error"])
+                    row = (None, None, None, str(e))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds, strict=True))], ["key", "width", "height", "pixels", "error"])
 
     kind = images.schema[key].dataType.simpleString()
     rows = images.select(F.col(key).alias("key"), F.col(media).alias("media"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import components, op1_quality, op2_repeats, op3_urls, op4_packing, op5_media, op6_jaccard, op7_language, op8_pieces, op9_chat, op10_html, registry
+from waymark.llm import common, components, op1_quality, op2_repeats, op3_urls, op4_packing, op5_media, op6_jaccard, op7_language, op8_pieces, op9_chat, op10_html, registry
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, n string, bucket int, row string, host string, length int, token string, bits int, _salt int"
 ENGLISH = "the of and to in is that was for it with as his on be at by had not are but from or have an they which one you were".split()
@@ -133,7 +133,7 @@ def test_op2_hot_grams_meet_by_window(spark, monkeypatch):
     rows = [(rng.randint(0, 900), noise(rng.randint(0, 60)) + rng.choice(common) + passage[rng.choice([0, 0, 0, 7, 40]) : rng.choice([130, 130, 95])] + rng.choice(common) + noise(rng.randint(0, 60))) for _ in range(400)]
     rows += [(5, passage + "\n" + passage), (None, passage), (900, noise(300)), (901, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    hot = op2_repeats.hot_grams(docs)
+    hot = op2_repeats.hot_grams(docs, 60_000)
     assert len(hot)
     got = op2_repeats.remove_repeats(docs)
     high = lambda r: (10**6 if r[0] is None else r[0], *r[1:5])
@@ -239,9 +239,11 @@ def brute_groups(rows, width, percent):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("width", "percent", "tile"), [(4, 85, 4096), (5, 80, 4)])
-def test_op6(spark, monkeypatch, empty, width, percent, tile):
-    monkeypatch.setattr(op6_jaccard, "TILE", tile)
+@pytest.mark.parametrize(("width", "percent", "small"), [(4, 85, False), (5, 80, True)])
+def test_op6(spark, monkeypatch, empty, width, percent, small):
+    if small:  # tiles are cut, shingles common, bitmaps folded and pivots hot at this size already
+        for module, name, value in ((op6_jaccard, "TILE", 4), (op6_jaccard, "COMMON_ROWS", 5), (op6_jaccard, "COMMON_SEEN", 5), (op6_jaccard, "SHORT", 8), (common, "SPREAD_ROWS", 3)):
+            monkeypatch.setattr(module, name, value)
     rng = random.Random(5)
     rows = list(TEXTS)
     seed = sentence(rng, ENGLISH, 200).split()
@@ -252,12 +254,24 @@ def test_op6(spark, monkeypatch, empty, width, percent, tile):
     shared = sentence(rng, GERMAN, 60)
     rows += [(2000 + k, shared + " " + sentence(rng, [f"{w}{k}" for w in ENGLISH], 8 + 3 * k)) for k in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    if small:
+        texts = df.withColumnRenamed("doc_id", "id")
+        assert len(op6_jaccard.common_shingles(texts, width)) > 20
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op6_jaccard.near_groups(df, width, percent).collect()}
     assert got == brute_groups(rows, width, percent)
     assert len(rows) == op6_jaccard.near_groups(df, width, percent).count()
     assert op6_jaccard.near_groups(empty).count() == 0
 
 
+def test_op6_ids_with_two_texts_and_no_id(spark):
+    rng = random.Random(6)
+    one, two, three = (sentence(rng, ENGLISH, 80) for _ in range(3))
+    rows = [(5, one), (5, two), (7, two + " more"), (9, one + " more"), (None, one), (None, three), (None, None), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in op6_jaccard.near_groups(df).collect())
+    assert got == Counter([(5, 5), (5, 5), (7, 5), (9, 5), (None, 5), (None, None), (None, None), (11, 11)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5400)] + [(7, 7)]

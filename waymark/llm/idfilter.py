@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import mix
+from .worker import tidy
 
 FILTER_BITS = 1 << 23
 _SLICES = 16
@@ -30,6 +31,7 @@ def place(ids: np.ndarray, places: int) -> np.ndarray:
 
 
 def _slices(read: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
@@ -41,6 +43,7 @@ def _slices(read: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[Iterator[
     return run
 
 
+@tidy
 def _union(group: pa.Table) -> pa.Table:
     bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
     return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
@@ -63,6 +66,7 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def having(bits: np.ndarray, column: str = "id", keep: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A kernel for ``mapInArrow``: the rows whose id may be in the filter, or with ``keep=False`` the others."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(bits, ids_of(batch.column(column))) == keep))

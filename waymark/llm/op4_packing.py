@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import settle_table, table
 from .memo import Memo
+from .worker import tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT, END_ID = 1024, 2
@@ -110,6 +111,7 @@ def ids_of(path: str) -> Ids:
 def _pieces(path: str, limit: int):
     end = np.array([END_ID], np.uint32).tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ids_of(path)
         for batch in batches:
@@ -238,6 +240,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(order) - 1)
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrays import mix, pieces
 from .common import table
+from .worker import tidy
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16
@@ -106,6 +107,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.concatenate(ids), np.concatenate(owner), counts.argmax(1), size - 2
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language the weights of n-gram buckets, then of scripts."""
     sums: dict[str, np.ndarray] = {}
@@ -126,6 +128,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
 
 
+@tidy
 def _add(group: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x) for x in group.column("sums").to_pylist()], axis=0)
     return pa.table({"lang": group.column("lang")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
@@ -244,6 +247,7 @@ def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .memo import Memo
+from .worker import tidy
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -176,6 +177,7 @@ def codec(path: str) -> Codec:
 
 
 def _kernel(path: str, with_ids: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

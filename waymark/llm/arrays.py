@@ -21,9 +21,12 @@ _powers = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +49,10 @@ def rolling(buf: np.ndarray) -> np.ndarray:
     """Prefix sums s such that ``(s[b] - s[a]) * inverse**a`` is a hash of ``buf[a:b]``."""
     p, _ = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=sums[1:])
+    sums[1:] = buf
+    sums[1:] += np.uint64(1)
+    sums[1:] *= p[: len(buf)]
+    np.cumsum(sums, out=sums)
     return sums
 
 
@@ -55,6 +61,15 @@ def spans_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
+def grams_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """``spans_hash`` of all spans of ``size``, by position."""
+    n = len(sums) - size
+    x = sums[size:] - sums[:n]
+    x *= powers(len(sums))[1][:n]
+    x += np.uint64(size)
+    return mix(x)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows together, and where each row begins (with the end last); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

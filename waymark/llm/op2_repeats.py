@@ -44,15 +44,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import mix, pieces, powers, rolling, spans_hash, text_bytes
+from .arrays import grams_hash, mix, pieces, powers, rolling, spans_hash, text_bytes
 from .common import settle_table, table
 from .idfilter import having, id_filter, ids_of, passes, place
+from .worker import tidy
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 HALF = REACH // 2
 #: Texts sampled at a time; the arrays alive at once take some 100 bytes a byte of text.
-SAMPLE_BYTES = 2 << 20
+SAMPLE_BYTES = 512 << 10
+#: Entries of about so many bytes of text are settled and packed together: one row a bucket.
+PACK_BYTES = 4 << 20
+#: Bytes of text whose samples a bucket may hold: some 30 MB of entries.
+BUCKET_BYTES = 16 << 20
 #: Grams with more entries than this are hot, as far as a sample of about ``HOT_BYTES`` of text can tell from ``HOT_SEEN`` entries at least.
 HOT_ENTRIES, HOT_BYTES, HOT_SEEN = 5000, 64 << 20, 16
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -127,8 +132,7 @@ def _lowest(buf: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarr
     if n < LENGTH:
         none = np.zeros(0, np.uint64)
         return none, none, row
-    begin = np.arange(n - GRAM + 1)
-    gram = spans_hash(sums, begin, begin + GRAM)
+    gram = grams_hash(sums, GRAM)
     low = gram
     for step in (1, 2, 4, 8):
         low = np.minimum(low[:-step], low[step:])
@@ -178,6 +182,7 @@ def _first_of(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
+@tidy
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", SAMPLE_BYTES):
@@ -186,9 +191,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
 
-def hot_grams(texts: DataFrame) -> np.ndarray:
-    """Sorted names of the hot grams; some hundred thousand at most, by the sample's size.  Results don't depend on which they are."""
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def hot_grams(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted names of the hot grams of ``size`` bytes of text; some hundred thousand at most, by the sample's size.  Results don't depend on which they are."""
     share = min(1.0, HOT_BYTES / max(size, 1))
     drawn = texts.select("text").sample(share, 7) if share < 1 else texts.select("text")
     counts = drawn.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -204,52 +208,81 @@ def _among(gram: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hot[k] == gram, k
 
 
-def _hot_rows(low, row, at, ids, sums, hot: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+def _hot_windows(low, row, at, ids, sums, hot: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Windows whose lowest gram is hot: spans of those that a smaller document of this piece has, and entries of the rest."""
     begin = np.flatnonzero(low)
     inside, place_of = _among(low[begin] >> np.uint64(24), hot)
     begin, place_of = begin[inside], place_of[inside]
-    if not len(begin):
-        return []
     name, of = spans_hash(sums, begin, begin + LENGTH), row[begin]
     doc = ids[of]
     copy = doc > _first_of(name, place_of, doc=doc)[0]
-    rows = []
-    if copy.any():
-        b, r = begin[copy], of[copy]
-        new = np.append(True, (np.diff(b) > 1) | (r[1:] != r[:-1]))  # windows one byte apart make one span
-        first = np.flatnonzero(new)
-        start, end, r = b[first], b[np.append(first[1:], len(b)) - 1] + LENGTH, r[first]
-        rows += _cover_rows(ids[r], start - at[r], end - at[r], spans_hash(sums, start, end) & np.uint64(0xFFFFFFFF), buckets)
+    b, r = begin[copy], of[copy]
+    new = np.ones(len(b), bool)
+    new[1:] = (np.diff(b) > 1) | (r[1:] != r[:-1])  # windows one byte apart make one span
+    first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], [True] * min(len(b), 1)))
+    start, end, r = b[first], b[last] + LENGTH, r[first]
+    spans = {"doc": ids[r], "start": start - at[r], "end": end - at[r], "check": spans_hash(sums, start, end) & np.uint64(0xFFFFFFFF)}
     k = ~copy
-    columns = {"name": name[k], "hot": place_of[k].astype(np.uint32), "doc": doc[k], "start": (begin[k] - at[of[k]]).astype(np.uint32)}
-    return rows + _by_bucket(_WINDOW, _HOT, columns, _gram_bucket(columns["name"], buckets))
+    return spans, {"name": name[k], "hot": place_of[k].astype(np.uint32), "doc": doc[k], "start": (begin[k] - at[of[k]]).astype(np.uint32)}
+
+
+def _piece_entries(part: pa.RecordBatch, hot: np.ndarray) -> dict[int, dict[str, np.ndarray]]:
+    """By kind the entries of one piece of text."""
+    buf, at = text_bytes(part.column("text"))
+    ids = ids_of(part.column("id"))
+    sums = rolling(buf)
+    gram, low, row = _lowest(buf, at, sums)
+    pos = _sampled(gram, low)
+    pos = pos[~_among(gram[pos] >> np.uint64(24), hot)[0]]
+    gram = gram[pos]
+    found = dict(zip((_COVER, _WINDOW), _hot_windows(low, row, at, ids, sums, hot), strict=True)) if len(hot) else {}
+    del low
+    row = row[pos].astype(np.int64)
+    left, right = _context(pos, row, at)
+    whole = spans_hash(sums, pos - left, pos + GRAM + right)
+    near = lambda ok, a, b: np.where(ok, spans_hash(sums, np.where(ok, a, 0), np.where(ok, b, HALF)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
+    found[_SAMPLE] = {
+        "gram": gram, "whole": whole, "doc": ids[row], "pos": (pos - at[row]).astype(np.uint32), "left": left.astype(np.uint8), "right": right.astype(np.uint8),
+        "near_l": near(left >= HALF, pos - HALF, pos), "near_r": near(right >= HALF, pos + GRAM, pos + GRAM + HALF),
+    }
+    return found
+
+
+def _packed(held: list[dict[int, dict[str, np.ndarray]]], buckets: int) -> pa.RecordBatch:
+    """Rows of the entries of several pieces; samples that a smaller document among them shares whole are settled here."""
+
+    def together(kind: int) -> dict[str, np.ndarray]:
+        parts = [h[kind] for h in held if kind in h]
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
+
+    spans, windows, e = together(_COVER), together(_WINDOW), together(_SAMPLE)
+    rows = _cover_rows(spans["doc"], spans["start"], spans["end"], spans["check"], buckets) if spans else []
+    if windows:
+        rows += _by_bucket(_WINDOW, _HOT, windows, _gram_bucket(windows["name"], buckets))
+    whole = e.pop("whole")
+    e["triple"] = (whole ^ (e["left"].astype(np.uint64) << np.uint64(48))) & np.uint64((1 << 56) - 1)
+    copy = e["doc"] > _first_of(e["triple"], e["gram"], doc=e["doc"])[0]
+    pos, left, right = (e[c][copy].astype(np.int64) for c in ("pos", "left", "right"))
+    rows += _cover_rows(e["doc"][copy], pos - left, pos + GRAM + right, whole[copy] & np.uint64(0xFFFFFFFF), buckets)
+    e = {c: v[~copy] for c, v in e.items()}
+    bucket = _gram_bucket(e["gram"], buckets)
+    e["gram"] = e["gram"] >> np.uint64(24)
+    return _to_batch(rows + _by_bucket(_SAMPLE, _ENTRY, e, bucket))
 
 
 def _sampler(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "text", SAMPLE_BYTES):
-                buf, at = text_bytes(part.column("text"))
-                ids = ids_of(part.column("id"))
-                sums = rolling(buf)
-                gram, low, row = _lowest(buf, at, sums)
-                pos = _sampled(gram, low)
-                pos = pos[~_among(gram[pos] >> np.uint64(24), hot)[0]]
-                gram, hot_rows = gram[pos], _hot_rows(low, row, at, ids, sums, hot, buckets)
-                row = row[pos].astype(np.int64)
-                left, right = _context(pos, row, at)
-                whole = spans_hash(sums, pos - left, pos + GRAM + right)
-                triple = (whole ^ (left.astype(np.uint64) << np.uint64(48))) & np.uint64((1 << 56) - 1)
-                near = lambda ok, a, b: np.where(ok, spans_hash(sums, np.where(ok, a, 0), np.where(ok, b, HALF)) % np.uint64(255) + np.uint64(1), np.uint64(0))
-                near_l, near_r = near(left >= HALF, pos - HALF, pos), near(right >= HALF, pos + GRAM, pos + GRAM + HALF)
-                doc, start = ids[row], (pos - at[row]).astype(np.uint32)
-                copy = doc > _first_of(triple, gram, doc=doc)[0]
-                rows = _cover_rows(doc[copy], (start - left)[copy], (start + GRAM + right)[copy], whole[copy], buckets)
-                kept = ~copy
-                columns = {"gram": gram >> np.uint64(24), "triple": triple, "doc": doc, "pos": start, "left": left, "right": right, "near_l": near_l, "near_r": near_r}
-                rows += _by_bucket(_SAMPLE, _ENTRY, {c: v[kept] for c, v in columns.items()}, _gram_bucket(columns["gram"][kept], buckets))
-                yield _to_batch(rows + hot_rows)
+                held.append(_piece_entries(part, hot))
+                size += part.column("text").nbytes
+                if size >= PACK_BYTES:
+                    yield _packed(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, buckets)
 
     return run
 
@@ -257,6 +290,7 @@ def _sampler(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch
 def _match_triples(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Sort one bucket's samples: covered spans of repeated triples, and requests for the undecided; or match its hot windows."""
 
+    @tidy
     def run(group: pa.Table) -> pa.Table:
         if group.num_rows and group.column("kind")[0].as_py() == _WINDOW:
             w = _unpack(_HOT, group.column("payload").to_pylist())
@@ -285,6 +319,7 @@ def _match_triples(buckets: int) -> Callable[[pa.Table], pa.Table]:
 def _fetch(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The bytes around the asked samples, by bucket of the gram."""
 
+    @tidy
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
         want = _unpack(_ASKED, asked.column("payload").to_pylist())
         order = np.argsort(want["doc"], kind="stable")
@@ -315,6 +350,7 @@ def _match_windows(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Sort the windows around one bucket's undecided samples; spans of those that a smaller document has."""
     span, fixed = REACH + GRAM + REACH, sum(f[1] for f in _CONTEXT)
 
+    @tidy
     def run(group: pa.Table) -> pa.Table:
         heads, around = [], []
         for payload in group.column("payload").to_pylist():
@@ -349,6 +385,7 @@ def _packed_ids(fields) -> Callable[[pa.RecordBatch], np.ndarray]:
 def _having(bits: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows whose id may be in the filter, with their bucket."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kept in having(bits)(batches):
             bucket = place(ids_of(kept.column("id")), buckets)
@@ -375,6 +412,7 @@ def _result(part: pa.RecordBatch, buf: np.ndarray, at: np.ndarray, gone: np.ndar
 
 
 def _untouched(bits: np.ndarray, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.filter(pa.array(~passes(bits, ids_of(batch.column("id")))))
@@ -386,6 +424,7 @@ def _untouched(bits: np.ndarray, with_text: bool) -> Callable[[Iterator[pa.Recor
 
 
 def _cut(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    @tidy
     def run(texts: pa.Table, covered: pa.Table) -> pa.Table:
         c = _unpack(_COVERED, covered.column("payload").to_pylist())
         order = np.argsort(c["doc"], kind="stable")
@@ -417,13 +456,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, carry: bool = False)
     ``carry``, column ``row`` has all columns of the row but ``text``.
     """
     spark = docs.sparkSession
-    buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows_sql = "kind int, bucket int, payload binary"
     row = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *row)
     texts = rows.select("id", "text")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     row_type = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    sampled = texts.mapInArrow(_sampler(buckets, hot_grams(texts)), rows_sql)
+    sampled = texts.mapInArrow(_sampler(buckets, hot_grams(texts, size)), rows_sql)
     matched = settle_table(sampled.groupBy("kind", "bucket").applyInArrow(_match_triples(buckets), rows_sql))
     asked = matched.where(F.col("kind") == _ASK)
     wanted = texts.mapInArrow(_having(id_filter(asked, _packed_ids(_ASKED)), buckets), "bucket int, id long, text string")

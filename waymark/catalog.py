@@ -101,7 +101,8 @@ jump AS (SELECT * EXCLUDE (distance) FROM jump0)""" + _interpolated("jump", "i2"
 
 
 def _grid(spark, d):
-    return tr.dense_grid(tr.resolve_duplicates(views.detections(spark, d)), views.N_FRAMES)
+    detections = views.detections(spark, d)
+    return tr.dense_grid(tr.resolve_duplicates(detections), views.N_FRAMES, detections)
 
 
 def _stamped(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME = ("source", "frame")
@@ -22,9 +22,11 @@ def valid_ids(decodes: DataFrame, highest: int, silenced: tuple[int, ...] = ())
     return kept.where(~F.col("tag_id").isin(list(silenced))) if silenced else kept
 
 
-def crop_layout(boxes: DataFrame, frame_width: int, frame_height: int, pad_ratio: float) -> DataFrame:
+def crop_layout(boxes: DataFrame, frame_width: int | Column, frame_height: int | Column, pad_ratio: float) -> DataFrame:
     """Padded, clamped integer crops, and where each starts in the frame's strip (in box order).
 
+    The frame's size is a number, or a column of ``boxes``.
+
     Padding is a share of the box, at most that share of the frame's median box;
     halves round to even.
     """

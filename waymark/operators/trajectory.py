@@ -32,7 +32,7 @@ def resolve_duplicates(detections: DataFrame) -> DataFrame:
     and tags without a single detection, take the lowest ``det_id``.
     """
     one = F.count("*").over(Window.partitionBy(*TRACK, "frame")) == 1
-    d = detections.withColumn("_one", one)
+    d = detections.repartition(*TRACK).withColumn("_one", one)  # else the count would be planned with an exchange of its own
     anchor = F.when(F.col("_one"), F.struct("frame", "center_x", "center_y"))
     d = d.withColumn("_p", F.last(anchor, True).over(_before("frame", "det_id"))).withColumn("_n", F.last(anchor, True).over(_after("frame", "det_id")))
 
@@ -46,18 +46,21 @@ def resolve_duplicates(detections: DataFrame) -> DataFrame:
     return best.where("_k = 1").drop("_one", "_p", "_n", "_d", "_k")
 
 
-def dense_grid(detections: DataFrame, n_frames: int | None = None) -> DataFrame:
+def dense_grid(detections: DataFrame, n_frames: int | None = None, raw: DataFrame | None = None) -> DataFrame:
     """A row for each frame of each tag; ``pos`` is its dense position.
 
     With ``n_frames`` the grid is 0 .. n_frames - 1 and later frames go;
-    without, it has the frames of the source with any detection.
+    without, it has the frames of the source with any detection.  ``raw``, the
+    detections before duplicates were resolved, has the same tags and frames:
+    read there, the plan of ``detections`` runs once.
     """
+    keys = detections if raw is None else raw
     values = [c for c in detections.columns if c not in ("source", "frame", "tag_id", "det_id")]
-    tags = detections.select(*TRACK).distinct()
+    tags = keys.select(*TRACK).distinct()
     if n_frames is not None:
         grid = tags.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1)))).withColumn("pos", F.col("frame"))
     else:
-        frames = detections.groupBy("source").agg(F.array_sort(F.collect_set("frame")).alias("_f"))
+        frames = keys.groupBy("source").agg(F.array_sort(F.collect_set("frame")).alias("_f"))
         grid = tags.join(frames, "source").select(*TRACK, F.posexplode("_f").alias("pos", "frame"))
     joined = grid.join(detections.select("source", "tag_id", "frame", *values), [*TRACK, "frame"], "left")
     return joined.select("source", "frame", "pos", "tag_id", *values)
@@ -86,14 +89,15 @@ def stamp_interpolated(cells: DataFrame) -> DataFrame:
 
 def interpolate(cells: DataFrame, limit: int) -> DataFrame:
     """Fill inner gaps linearly, up to ``limit`` cells from each end of a gap."""
-    out = cells
+    ends, filled = {}, {}
     for c in ("center_x", "center_y"):
         known = F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v")))
-        out = out.withColumn("_p", F.last(known, True).over(_before("pos"))).withColumn("_n", F.last(known, True).over(_after("pos")))
-        near = (F.col("pos") - F.col("_p.pos") <= limit) | (F.col("_n.pos") - F.col("pos") <= limit)
-        value = _line(F.col("_p.v"), F.col("_n.v"), F.col("pos"), F.col("_p.pos"), F.col("_n.pos"))
-        out = out.withColumn(c, F.when(F.col(c).isNull() & near, value).otherwise(F.col(c))).drop("_p", "_n")
-    return out
+        p, n = f"_p_{c}", f"_n_{c}"
+        ends |= {p: F.last(known, True).over(_before("pos")), n: F.last(known, True).over(_after("pos"))}
+        near = (F.col("pos") - F.col(f"{p}.pos") <= limit) | (F.col(f"{n}.pos") - F.col("pos") <= limit)
+        value = _line(F.col(f"{p}.v"), F.col(f"{n}.v"), F.col("pos"), F.col(f"{p}.pos"), F.col(f"{n}.pos"))
+        filled[c] = F.when(F.col(c).isNull() & near, value).otherwise(F.col(c))
+    return cells.withColumns(ends).withColumns(filled).drop(*ends)  # both axes in one window a direction
 
 
 def step_distance(cells: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ def observe(frames: DataFrame, detector: Callable, decoder: Callable, params: Ob
     """Detections, boxes (with ``decoded``) and lone quads of undecoded boxes."""
     size = frames.select("source", "frame", "width", "height")
     boxes = detect_boxes(frames, detector, params).cache()
-    w = size.agg(F.max("width").alias("w"), F.max("height").alias("h")).first()
-    layout = bx.crop_layout(boxes, w["w"] or 0, w["h"] or 0, params.pad_ratio).cache()
+    sized = boxes.join(size.withColumnsRenamed({"width": "_width", "height": "_height"}), ["source", "frame"])
+    layout = bx.crop_layout(sized, F.col("_width"), F.col("_height"), params.pad_ratio).drop("_width", "_height").cache()
     found = bx.decodes_to_boxes(decode_strips(frames, layout, decoder, params), layout)
     x, y = F.col("crop_x1") - F.col("strip_x"), F.col("crop_y1")
     placed = found.join(layout.select("source", "frame", "box_id", "crop_x1", "crop_y1", "strip_x"), ["source", "frame", "box_id"])

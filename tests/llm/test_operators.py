@@ -407,6 +407,17 @@ def test_pipeline_stages(spark, stages):
     check_packing(packed.collect(), kept)
 
 
+def test_near_copies_keep_one_fixed_row_of_an_id(spark):
+    rng = random.Random(9)
+    one, two, other = (sentence(rng, ENGLISH, 60) for _ in range(3))
+    low, high = sorted((one, two))
+    rows = [(1, high), (1, low), (2, low + " and more"), (3, high + " and more"), (4, other), (4, other), (None, low), (None, None), (6, None)]
+    full = spark.createDataFrame([(i, t, "en", "s", None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    for df in (full.repartition(3), full.orderBy(F.rand(3))):
+        got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, "nowhere").collect())
+        assert got == Counter([(1, low), (4, other), (None, low), (None, None), (6, None)])
+
+
 def test_pipeline_run(spark, docs, tmp_path):
     docs.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -1,7 +1,7 @@
 """Operator 3, URL filters by link-graph propagation; DataFrame functions only.
 
 Rules decide the urls they fit.  For the rest, hosts are scored on a graph of
-host edges: links found in the pages, plus an edge each way between a host and
+host edges: links (``href`` of ``a``) found in the pages, plus an edge each way between a host and
 the domain above it in the table (down to two labels).  Trust is a personalised
 PageRank from hosts with allowed pages, distrust the same on reversed edges
 from hosts with blocked pages.  A host is blocked if its share of distrust,
@@ -25,7 +25,7 @@ from .common import join_lookup, settle, table
 
 #: (host, path, verdict), longest rule first wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 ROUNDS, DAMPING, MAX_DISTRUST, SALTS, SETTLE_EVERY = 10, 0.85, 0.6, 8, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -52,10 +52,10 @@ from .worker import tidy
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 HALF = REACH // 2
-#: Texts sampled at a time; the arrays alive at once take some 100 bytes a byte of text.
-SAMPLE_BYTES = 512 << 10
+#: Texts sampled at a time: the arrays alive at once take some 100 bytes a byte of text, and should fit a cache.
+SAMPLE_BYTES = 128 << 10
 #: Entries of about so many bytes of text are settled and packed together: one row a bucket.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Bytes of text whose samples a bucket may hold: some 30 MB of entries.
 BUCKET_BYTES = 16 << 20
 #: Grams with more entries than this are hot, as far as a sample of about ``HOT_BYTES`` of text can tell from ``HOT_SEEN`` entries at least.

@@ -159,15 +159,17 @@ _PCT = "CASE WHEN {1} > 0 THEN round(100.0 * ({0}) / ({1}), 6) ELSE 0.0 END"
 
 
 @query(f"""WITH {_CLEAN}, a AS (
-  SELECT source, count(*) AS s, count(*) FILTER (was_original) AS g, count(*) FILTER (jump_deleted) AS j, count(*) FILTER (ass_type <> 0) AS final_count, count(*) FILTER (ass_type = 2) AS filled FROM fin GROUP BY source)
-SELECT source, s AS total_samples, g AS original_good_count, j AS original_bad_count, final_count, filled AS filled_count, s - g AS original_missing_count, g + j AS total_detections, s - g + j AS total_gaps,
+  SELECT source, count(*) AS s, count(*) FILTER (was_original) AS g, count(*) FILTER (jump_deleted) AS j, count(*) FILTER (ass_type <> 0) AS final_count, count(*) FILTER (ass_type = 2) AS filled FROM fin GROUP BY source),
+l AS (SELECT *, lag(ass_type) OVER o AS pt, frame - lag(frame) OVER o AS df, center_x - lag(center_x) OVER o AS ddx, center_y - lag(center_y) OVER o AS ddy FROM s0 WINDOW o AS (PARTITION BY source, tag_id ORDER BY pos)),
+mv AS (SELECT source, coalesce(quantile_cont(sqrt(ddx * ddx + ddy * ddy), 0.99) FILTER (ass_type = 1 AND pt = 1 AND df = 1), 'inf'::DOUBLE) AS mv FROM l GROUP BY source)
+SELECT source, round(mv, 6) AS max_move_px, s AS total_samples, g AS original_good_count, j AS original_bad_count, final_count, filled AS filled_count, s - g AS original_missing_count, g + j AS total_detections, s - g + j AS total_gaps,
        {_PCT.format('j', '(g + j)')} AS error_pct, {_PCT.format('j', 's')} AS original_bad_pct, {_PCT.format('s - g', 's')} AS original_missing_pct,
-       {_PCT.format('filled', 's')} AS filled_pct_of_total, {_PCT.format('filled', '(s - g + j)')} AS filled_pct_of_gaps FROM a""")
+       {_PCT.format('filled', 's')} AS filled_pct_of_total, {_PCT.format('filled', '(s - g + j)')} AS filled_pct_of_gaps FROM a JOIN mv USING (source)""")
 def quality_metrics(spark, d):
     _, m = clean(views.detections(spark, d), None, PARAMS)
     counts = ["total_samples", "original_good_count", "original_bad_count", "final_count", "filled_count", "original_missing_count", "total_detections", "total_gaps"]
     shares = ["error_pct", "original_bad_pct", "original_missing_pct", "filled_pct_of_total", "filled_pct_of_gaps"]
-    return _round(m.select("source", *counts, *shares), *shares)
+    return _round(m.select("source", "max_move_px", *counts, *shares), "max_move_px", *shares)
 
 
 @query(f"""WITH {_GRID}, l AS (SELECT *, lag(ass_type) OVER o AS pt, frame - lag(frame) OVER o AS df, center_x - lag(center_x) OVER o AS dx, center_y - lag(center_y) OVER o AS dy FROM s0 WINDOW o AS (PARTITION BY source, tag_id ORDER BY pos))
@@ -308,10 +310,20 @@ def quad_recovery(spark, d):
     return bx.lone_quads(quads, decoded)
 
 
-@query()
+_OVERLAP = "(least(b.x2, o.x2) - greatest(b.x1, o.x1)) * (least(b.y2, o.y2) - greatest(b.y1, o.y1))"
+
+
+@query(f"""WITH RECURSIVE {_BOX}, o AS (SELECT source, (frame // 50)::BIGINT AS frame, box_id, box_x1 AS x1, box_y1 AS y1, box_x2 AS x2, box_y2 AS y2, confidence, row_number() OVER (PARTITION BY source, frame // 50 ORDER BY confidence DESC, box_id) AS k FROM box),
+r AS (SELECT source, frame, 0::BIGINT AS k, []::STRUCT(box_id BIGINT, confidence DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept FROM (SELECT DISTINCT source, frame FROM o)
+  UNION ALL SELECT r.source, r.frame, r.k + 1, CASE WHEN len(list_filter(r.kept, lambda b: least(b.x2, o.x2) > greatest(b.x1, o.x1) AND least(b.y2, o.y2) > greatest(b.y1, o.y1)
+      AND {_OVERLAP} > 0.4 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_OVERLAP}))) > 0 THEN r.kept
+    ELSE list_append(r.kept, struct_pack(box_id := o.box_id, confidence := o.confidence::DOUBLE, x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2)) END
+  FROM r JOIN o ON o.source = r.source AND o.frame = r.frame AND o.k = r.k + 1),
+e AS (SELECT source, frame, unnest(kept[:300]) AS b FROM (SELECT *, row_number() OVER (PARTITION BY source, frame ORDER BY k DESC) AS z FROM r) WHERE z = 1)
+SELECT source, frame, b.box_id AS box_id, round(b.confidence, 6) AS confidence FROM e""")
 def nms(spark, d):
     crowded = views.boxes(spark, d).withColumn("frame", F.expr("frame DIV 50")).withColumn("class_id", F.lit(0))
-    return bx.suppress(crowded, 0.4).select("source", "frame", "box_id", "confidence")
+    return _round(bx.suppress(crowded, 0.4).select("source", "frame", "box_id", "confidence"), "confidence")
 
 
 @query(f"WITH {_BOX} SELECT source, frame, count(*) AS n_boxes FROM box GROUP BY source, frame")
@@ -421,6 +433,28 @@ def frames_mixed(spark, d):
     return sa.mixed_frames(*_visible(spark, d), SAMPLE)
 
 
+@query(f"""WITH {_BOX}, bc AS (SELECT source, frame, count(*) AS n_visible FROM box GROUP BY source, frame),
+p2 AS (SELECT source, frame, n_visible FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_visible DESC, frame) AS k FROM bc) WHERE k <= 200),
+tp AS {_strided('p2', 'n_visible DESC, frame', SAMPLE // 2)}, rs AS (SELECT bc.* FROM bc ANTI JOIN tp USING (source, frame))
+SELECT source, frame, n_visible AS n_boxes FROM (SELECT * FROM tp UNION ALL SELECT * FROM {_strided('rs', 'frame', SAMPLE - SAMPLE // 2)})""")
+def frames_by_boxes(spark, d):
+    return sa.frames_by_boxes(me.counts_per_frame(views.boxes(spark, d)), SAMPLE, 200)
+
+
+@query(f"""WITH {_DET}, f AS (SELECT *, frame - lag(frame) OVER (PARTITION BY source ORDER BY frame) AS step FROM (SELECT DISTINCT source, frame FROM det))
+SELECT source, frame, step IS NULL OR step > 2 AS seek, CASE WHEN step IS NULL OR step > 2 THEN 1 ELSE step END::INT AS n_reads FROM f""")
+def read_plan(spark, d):
+    return sa.read_plan(views.detections(spark, d).select("source", "frame"), 2)
+
+
+@query(f"""WITH {_GRID}, e AS (SELECT source, tag_id, ass_type, last_value(CASE WHEN ass_type = 1 THEN pos END IGNORE NULLS) OVER p AS a, last_value(CASE WHEN ass_type = 1 THEN pos END IGNORE NULLS) OVER n AS b FROM s0
+  WINDOW p AS (PARTITION BY source, tag_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY source, tag_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source, tag_id, count(a) AS n_prev, sum(a)::BIGINT AS sum_prev, count(b) AS n_next, sum(b)::BIGINT AS sum_next FROM e WHERE ass_type <> 1 GROUP BY source, tag_id""")
+def enclosing_originals(spark, d):
+    e = tr.enclosing_originals(_stamped(spark, d)).where("ass_type <> 1")
+    return e.groupBy("source", "tag_id").agg(*[f(c).alias(f"{n}_{k}") for k, c in (("prev", "prev_original"), ("next", "next_original")) for n, f in (("n", F.count), ("sum", F.sum))])
+
+
 @query(f"""WITH {_VISIBLE} SELECT source, frame FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_visible DESC, frame) AS k FROM vis) WHERE k <= 13
 UNION SELECT source, frame FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_visible, frame) AS k FROM vis WHERE n_visible > 0) WHERE k <= 27""")
 def best_worst(spark, d):
@@ -491,10 +525,18 @@ def image_counts(spark, d):
     return ev.image_counts(views.detections(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TRUTH}, hd AS (SELECT tag_id, 1 + 2 * (1.0::DOUBLE - count(*) FILTER (ass_type = 1) / count(*)) AS hard FROM gt GROUP BY tag_id),
+cg AS (SELECT source, frame, tag_id::BIGINT AS tag_id, hard, list(tag_id::BIGINT) OVER (PARTITION BY source, frame) AS ids FROM (SELECT DISTINCT source, frame, tag_id FROM gt) JOIN hd USING (tag_id)),
+st AS (SELECT 0 AS k, '' AS source, 0 AS frame, []::VARCHAR[] AS chosen, []::BIGINT[] AS seen
+  UNION ALL SELECT k + 1, source, frame, list_append(chosen, source || '/' || frame), list_concat(seen, ids) FROM (
+    SELECT k, source, frame, any_value(chosen) AS chosen, any_value(seen) AS seen, any_value(ids) AS ids,
+           row_number() OVER (ORDER BY round(sum(hard * CASE WHEN times >= 3 THEN 1 / (times + 1) WHEN times = 0 THEN 30.0 ELSE 10.0 END), 9) DESC, source, frame) AS r
+    FROM (SELECT st.k, cg.source, cg.frame, st.chosen, st.seen, cg.ids, cg.hard, len(list_filter(st.seen, lambda x: x = cg.tag_id)) AS times FROM st JOIN cg ON NOT list_contains(st.chosen, cg.source || '/' || cg.frame) WHERE st.k < 20)
+    GROUP BY k, source, frame) WHERE r = 1)
+SELECT source, frame, k AS place FROM st WHERE k > 0""")
 def set_cover(spark, d):
     chosen = ev.cover(_truth(spark, d), 20, 3)
-    return spark.createDataFrame(chosen, "source string, frame int")
+    return spark.createDataFrame([(s, f, k + 1) for k, (s, f) in enumerate(chosen)], "source string, frame int, place int")
 
 
 _RECORDS = _OBS + """,
@@ -556,3 +598,128 @@ UNION ALL SELECT b.source, b.frame, b.box_id, CASE WHEN EXISTS (SELECT 1 FROM u
 def debug_box_state(spark, d):
     cells = views.detections(spark, d).withColumn("ass_type", F.lit(3))
     return rec.box_states(views.boxes(spark, d), cells).select("source", "frame", "box_id", "state")
+
+
+@query(f"""WITH {_BOX} SELECT source, frame, box_id, round((box_x1 + box_x2) / 2, 6) AS mid_x, round(center_x - 7.0, 6) AS left_x, round(center_y + 5.0, 6) AS low_y, round(center_x * 0.025, 6) AS x_mm,
+ CASE WHEN box_id % 2 = 0 THEN 237 ELSE 999 END AS max_id, 'rec' || source || '__v' || frame AS video_key, printf('f%06d_c%03d', frame, box_id) AS crop_name FROM box""")
+def names_and_scale(spark, d):
+    x, y = F.col("center_x"), F.col("center_y")
+    x1, _, _, y2 = g.xywh_to_xyxy(x, y, F.lit(14.0), F.lit(10.0))
+    family = F.when(F.col("box_id") % 2 == 0, "tag36ARTag").otherwise("other")
+    names = {"video_key": g.video_key(F.concat(F.lit("rec"), "source"), F.concat(F.lit("v"), F.col("frame").cast("string"))), "crop_name": g.crop_name(F.col("frame"), F.col("box_id"))}
+    b = views.boxes(spark, d).withColumns({"mid_x": g.box_center(F.col("box_x1"), F.col("box_x2")), "left_x": x1, "low_y": y2, "x_mm": g.mm(x, F.lit(0.025)), "max_id": g.max_tag_id(family), **names})
+    return _round(b.select("source", "frame", "box_id", "mid_x", "left_x", "low_y", "x_mm", "max_id", *names), "mid_x", "left_x", "low_y", "x_mm")
+
+
+_CLOCK = "CASE WHEN {0} >= 3600 THEN printf('%02d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60) ELSE printf('%02d:%02d', {0} % 3600 // 60, {0} % 60) END"
+
+
+@query(f"""WITH {_OBS}, t AS (SELECT source, obs_id, obs_id / 7.0::DOUBLE AS sec, sqrt(obs_id::DOUBLE) + 0.013 AS el FROM obs),
+u AS (SELECT *, floor(sec)::BIGINT AS s, floor(el)::BIGINT AS e, obs_id / el AS rate, CASE WHEN 12000 > obs_id THEN floor((12000 - obs_id) / (obs_id / el))::BIGINT ELSE 0 END AS lf FROM t)
+SELECT source, obs_id, CASE WHEN sec < 60 THEN printf('%.1fs', sec) WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%dm %02ds', s // 60, s % 60) END AS took,
+ printf('%d/12000 [%s<%s, %.2fit/s]', obs_id, {_CLOCK.format('e')}, {_CLOCK.format('lf')}, rate) AS progress FROM u""")
+def time_texts(spark, d):
+    i = F.col("obs_id")
+    return views.observations(spark, d).select("source", "obs_id", g.duration_text(i / F.lit(7.0)).alias("took"), g.progress_line(i, F.lit(12000), F.sqrt(i.cast("double")) + 0.013).alias("progress"))
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT DISTINCT source, frame, crop_idx, tag_id FROM gt), q AS (SELECT DISTINCT source, frame, crop_idx, tag_id FROM dc),
+fr AS (SELECT DISTINCT source, frame, tag_id FROM gt), va AS (SELECT DISTINCT tag_id FROM gt WHERE ass_type = 1), k AS (SELECT source, frame, crop_idx, count(*) AS nt FROM t GROUP BY ALL),
+m AS (SELECT q.source, q.frame, q.crop_idx, count(*) AS nf, count(t.tag_id) AS nh, count(*) FILTER (fr.tag_id IS NULL AND va.tag_id IS NOT NULL) AS nn FROM q LEFT JOIN t ON t.source = q.source AND t.frame = q.frame AND t.crop_idx = q.crop_idx AND t.tag_id = q.tag_id
+  LEFT JOIN fr ON fr.source = q.source AND fr.frame = q.frame AND fr.tag_id = q.tag_id LEFT JOIN va ON va.tag_id = q.tag_id GROUP BY ALL),
+c AS (SELECT lay.source, lay.frame, coalesce(nt, 0) AS nt, coalesce(nf, 0) AS nf, coalesce(nh, 0) AS nh, coalesce(nn, 0) AS nn FROM lay LEFT JOIN k ON k.source = lay.source AND k.frame = lay.frame AND k.crop_idx = lay.box_id
+  LEFT JOIN m ON m.source = lay.source AND m.frame = lay.frame AND m.crop_idx = lay.box_id),
+s AS (SELECT source, count(*) FILTER (nt > 0) AS total_with_gt, coalesce(sum(nt), 0)::BIGINT AS total_gt_ids, coalesce(sum(nh) FILTER (nt > 0), 0)::BIGINT AS individual_found, count(*) FILTER (nt > 0 AND nh > 0) AS correct_detections,
+  count(*) FILTER (nt > 0 AND nh = nt) AS all_gt_found, coalesce(sum(nf - nh) FILTER (nt > 0), 0)::BIGINT AS false_positives, count(*) FILTER (nt = 0) AS total_no_gt, coalesce(sum(nf - nn) FILTER (nt = 0), 0)::BIGINT AS no_gt_hallucinations,
+  coalesce(sum(nn) FILTER (nt = 0), 0)::BIGINT AS no_gt_discoveries, count(DISTINCT frame) AS total_composites FROM c GROUP BY source)
+SELECT *, CASE WHEN total_with_gt > 0 THEN round(correct_detections / total_with_gt, 6) ELSE 0.0 END AS detection_rate, CASE WHEN total_with_gt > 0 THEN round(all_gt_found / total_with_gt, 6) ELSE 0.0 END AS all_gt_rate,
+ CASE WHEN total_gt_ids > 0 THEN round(individual_found / total_gt_ids, 6) ELSE 0.0 END AS individual_recall, CASE WHEN total_with_gt > 0 THEN round(false_positives / total_with_gt, 6) ELSE 0.0 END AS false_positive_rate FROM s""")
+def eval_counters(spark, d):
+    truth = _truth(spark, d)
+    t = ev.testset_counters(_crops(spark, d), truth, _scored(spark, d), truth.where("ass_type = 1"))
+    return _round(t, "detection_rate", "all_gt_rate", "individual_recall", "false_positive_rate")
+
+
+@query(f"WITH {_DET} SELECT sum(n)::BIGINT AS n_detections, sum(k)::BIGINT AS sum_distinct FROM (SELECT count(*) AS n, count(DISTINCT tag_id) AS k FROM det GROUP BY source, frame)")
+def detection_totals(spark, d):
+    return ev.detection_totals(views.detections(spark, d))
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT DISTINCT p.preset, source, frame, crop_idx, tag_id FROM gt, (VALUES ('all'), ('even')) p(preset)),
+q AS (SELECT DISTINCT p.preset, source, frame, crop_idx, tag_id FROM dc JOIN (VALUES ('all'), ('even')) p(preset) ON preset = 'all' OR decode_idx % 2 = 0),
+j AS (SELECT coalesce(t.preset, q.preset) AS preset, t.tag_id AS a, q.tag_id AS b FROM t FULL JOIN q ON t.preset = q.preset AND t.source = q.source AND t.frame = q.frame AND t.crop_idx = q.crop_idx AND t.tag_id = q.tag_id)
+SELECT preset, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS tp, count(*) FILTER (a IS NULL) AS fp, count(*) FILTER (b IS NULL) AS missed FROM j GROUP BY preset""")
+def compare_decodes(spark, d):
+    truth, found = _truth(spark, d), _scored(spark, d)
+    every, even = (ev.crop_results(truth, f).withColumn("preset", F.lit(n)) for n, f in (("all", found), ("even", found.where("decode_idx % 2 = 0"))))
+    return ev.compare_decodes(every.unionByName(even))
+
+
+@query(f"WITH {_TRUTH}, n AS (SELECT tag_id, count(DISTINCT source || '/' || frame) AS n FROM gt GROUP BY tag_id) SELECT min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS median, max(n) AS most FROM n")
+def id_coverage(spark, d):
+    return ev.id_coverage(_truth(spark, d).groupBy("tag_id").agg(F.countDistinct("source", "frame").alias("n")))
+
+
+def _manifest(spark, d):
+    truth = _truth(spark, d).groupBy("source", "frame", "crop_idx").agg(F.collect_set("tag_id").alias("gt_ids"))
+    crops = _crops(spark, d).join(truth, ["source", "frame", "crop_idx"], "left")
+    return crops.select(F.col("source").alias("video_key"), "frame", "crop_idx", "gt_ids", F.lit("tag36ARTag").alias("tag_family"), F.lit(None).cast("string").alias("gt_mode"))
+
+
+@query(f"WITH {_LAYOUT} SELECT count(DISTINCT source) AS n_videos, count(DISTINCT source || '/' || frame) AS n_composites, count(*) AS n_crops FROM lay")
+def manifest_totals(spark, d):
+    return ev.manifest_totals(_manifest(spark, d))
+
+
+@query(f"""WITH {_TRUTH} SELECT false AS yield_mode, 'tag36ARTag' AS tag_family, (SELECT count(*) FROM lay) AS n_crops, (SELECT count(*) FROM (SELECT DISTINCT source, frame, crop_idx FROM gt)) AS n_with_gt,
+ (SELECT string_agg(tag_id, ',' ORDER BY tag_id) FROM (SELECT DISTINCT tag_id FROM gt)) AS valid_ids""")
+def manifest_info(spark, d):
+    return ev.manifest_info(_manifest(spark, d)).withColumn("valid_ids", F.array_join("valid_ids", ","))
+
+
+_RUNS = _DET + """,
+runs AS (SELECT 'p' || frame % 3 AS preset, source, count(*) / 8.0::DOUBLE AS seconds, CASE WHEN count(*) % 3 = 0 THEN 'stopped' END AS error FROM det GROUP BY ALL)"""
+
+
+def _runs(spark, d):
+    n = views.detections(spark, d).groupBy(F.concat(F.lit("p"), (F.col("frame") % 3).cast("string")).alias("preset"), "source").count()
+    return n.select("preset", "source", (F.col("count") / F.lit(8.0)).alias("seconds"), F.when(F.col("count") % 3 == 0, "stopped").alias("error"))
+
+
+@query(f"WITH {_RUNS} SELECT count(*) FILTER (error IS NULL) AS n_succeeded, count(error) AS n_failed, sum(seconds) AS worker_seconds FROM runs")
+def run_summary(spark, d):
+    return ev.run_summary(_runs(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT preset, source, seconds, row_number() OVER (PARTITION BY preset ORDER BY seconds DESC, source)::INT AS rank FROM runs")
+def ranked_runtime(spark, d):
+    return ev.ranked_runtime(_runs(spark, d)).select("preset", "source", "seconds", "rank")
+
+
+@query("SELECT number, value FROM (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice::DOUBLE / 20000) END AS value FROM orders) WHERE value IS NOT NULL ORDER BY value DESC, number LIMIT 5")
+def top_trials(spark, d):
+    value = F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice").cast("double") / 20000).cast("double"))
+    return ev.top_trials(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("number"), value.alias("value")))
+
+
+_PRESETS = """pr AS (SELECT o_orderpriority AS preset, CASE WHEN o_custkey % 20 = 0 THEN '_note' ELSE 'k' || o_custkey % 20 END AS key, min(o_orderstatus || o_custkey % 3) AS value FROM orders
+  WHERE o_custkey % 20 < 12 AND (length(o_orderpriority) + o_custkey) % 3 <> 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PRESETS}, df AS (SELECT 'k' || k AS key, 'F0' AS value FROM range(16) r(k)), ks AS (SELECT DISTINCT key FROM pr WHERE key <> '_note' UNION SELECT key FROM df),
+j AS (SELECT p.preset, ks.key, coalesce(pr.value, df.value, '') AS v, pr.value IS NOT NULL AS explicit FROM ks CROSS JOIN (SELECT DISTINCT preset FROM pr) p LEFT JOIN pr ON pr.preset = p.preset AND pr.key = ks.key LEFT JOIN df ON df.key = ks.key)
+SELECT preset, key, v || CASE WHEN explicit THEN '*' ELSE '' END AS shown, explicit, min(v) OVER (PARTITION BY key) <> max(v) OVER (PARTITION BY key) AS differs FROM j""")
+def preset_table(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").where((F.col("o_custkey") % 20 < 12) & ((F.length("o_orderpriority") + F.col("o_custkey")) % 3 != 0))
+    key = F.when(F.col("o_custkey") % 20 == 0, "_note").otherwise(F.concat(F.lit("k"), (F.col("o_custkey") % 20).cast("string")))
+    value = F.min(F.concat("o_orderstatus", (F.col("o_custkey") % 3).cast("string")))
+    presets = o.groupBy(F.col("o_orderpriority").alias("preset"), key.alias("key")).agg(value.alias("value"))
+    return ev.preset_table(presets, spark.range(16).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("F0").alias("value")))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS preset, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT preset, 'recall' AS metric, (n % 97)::DOUBLE AS value FROM s UNION ALL SELECT preset, 'fp_rate', (n % 13)::DOUBLE FROM s UNION ALL SELECT preset, 'avg_ms', (n % 2)::DOUBLE FROM s)
+SELECT metric, preset, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'recall' THEN value ELSE -value END DESC, preset) AS k FROM m) WHERE k = 1""")
+def best_presets(spark, d):
+    n = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("preset")).count()
+    s = n.select("preset", *[(F.col("count") % m).cast("double").alias(k) for k, m in (("recall", 97), ("fp_rate", 13), ("avg_ms", 2))])
+    return ev.best_presets(s.unpivot("preset", ["recall", "fp_rate", "avg_ms"], "metric", "value").withColumn("place", F.col("preset")))

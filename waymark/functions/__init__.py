@@ -107,7 +107,32 @@ def video_key(parent: Column, stem: Column) -> Column:
 
 
 def crop_name(frame: Column, crop: Column) -> Column:
-    return F.concat(F.lit("f"), F.lpad(frame.cast("string"), 6, "0"), F.lit("_c"), F.lpad(crop.cast("string"), 3, "0"))
+    return F.format_string("f%06d_c%03d", frame, crop)
+
+
+def mm(pixels: Column, mm_per_px: Column) -> Column:
+    return pixels * mm_per_px
+
+
+def duration_text(seconds: Column) -> Column:
+    """``7.3s`` under a minute, else ``4m 05s`` or ``2h 04m 05s``."""
+    s = F.floor(seconds).cast("long")
+    h, m, rest = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60
+    minutes = F.format_string("%dm %02ds", m, rest)
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(h > 0, F.format_string("%dh %02dm %02ds", h, m, rest)).otherwise(minutes)
+
+
+def _clock(seconds: Column) -> Column:
+    s = F.greatest(F.floor(seconds).cast("long"), F.lit(0))
+    h, m = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long")
+    return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%02d:%02d", m, s % 60))
+
+
+def progress_line(current: Column, total: Column, elapsed: Column) -> Column:
+    """``current/total [elapsed<remaining, rate it/s]``; without elapsed time the rate is 0."""
+    rate = F.when(elapsed > 0, current / F.nullif(elapsed, F.lit(0.0))).otherwise(0.0)
+    left = F.when((rate > 0) & (total > current), (total - current) / F.nullif(rate, F.lit(0.0))).otherwise(0.0)
+    return F.format_string("%d/%d [%s<%s, %.2fit/s]", current, total, _clock(elapsed), _clock(left), rate)
 
 
 def duration(seconds: Column) -> Column:

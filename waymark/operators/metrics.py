@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.trajectory import move_limit
 from waymark.schema import BOX_INFERRED, CORNERS, INTERPOLATED, NONE, TRACK
 
 
@@ -16,7 +17,7 @@ def quality_metrics(cells: DataFrame) -> DataFrame:
     """One row a source, from final cells with ``was_original`` and the number of deletions ``n_deleted`` each.
 
     ``n_pruned``, ``n_rechained``, ``n_recovered`` and ``n_final_deleted`` are
-    taken if there; without boxes they are 0.
+    taken if there; without boxes they are 0.  ``max_move_px`` is taken from ``move_px``.
     """
     count = lambda c: F.sum(c.cast("long"))
     extra = {"yolo_pruned_count": "n_pruned", "yolo_rechained_count": "n_rechained", "long_gap_recovered_count": "n_recovered", "final_jump_deleted_count": "n_final_deleted"}
@@ -28,6 +29,7 @@ def quality_metrics(cells: DataFrame) -> DataFrame:
         count(F.col("ass_type") == INTERPOLATED).alias("filled_count"),
         count(F.col("ass_type") == BOX_INFERRED).alias("yolo_inferred_count"),
         *[(F.sum(F.col(c).cast("long")) if c in cells.columns else F.lit(0).cast("long")).alias(k) for k, c in extra.items()],
+        (move_limit() if "move_px" in cells.columns else F.lit(float("inf"))).alias("max_move_px"),
     )
     s, g, j = F.col("total_samples"), F.col("original_good_count"), F.col("original_bad_count")
     a = a.withColumn("original_missing_count", s - g).withColumn("total_detections", g + j)

@@ -53,6 +53,34 @@ def mixed_frames(visible: DataFrame, n_tags: DataFrame, sample: int, top_n: int
     return top.unionByName(even) if half else even
 
 
+def frames_by_boxes(counts: DataFrame, sample: int, top_n: int = 1000, strategy: str = "mixed") -> DataFrame:
+    """Frames chosen by their number of boxes (source, frame, n_boxes): fullest, even, or half of each.
+
+    Frames without boxes aren't there, so nothing asks for a share of the tags.
+    """
+    if strategy == "uniform":
+        return uniform_frames(counts, sample)
+    part = sample if strategy == "top" else sample // 2
+    w = Window.partitionBy("source")
+    pool = counts.withColumn("_k", F.row_number().over(w.orderBy(F.col("n_boxes").desc(), "frame")) - 1).where(F.col("_k") < top_n)
+    pool = pool.withColumn("_n", F.count("*").over(w))
+    top = _every(pool, F.col("_k"), F.col("_n"), max(part, 1)).where(F.lit(part > 0)).select(*counts.columns)
+    if strategy == "top":
+        return top
+    rest = counts.join(top.select("source", "frame"), ["source", "frame"], "left_anti").select(*counts.columns)
+    return top.unionByName(uniform_frames(rest, sample - part))
+
+
+def read_plan(frames: DataFrame, seek_gap: int = 30) -> DataFrame:
+    """How a reader reaches wanted frames (source, frame): by seeking, if it is the first or over ``seek_gap`` after the last, else by reading on.
+
+    ``n_reads`` counts the frames decoded on the way, the wanted one included.
+    """
+    step = F.col("frame") - F.lag("frame").over(Window.partitionBy("source").orderBy("frame"))
+    far = step.isNull() | (step > seek_gap)
+    return frames.select("source", "frame").distinct().withColumns({"seek": far, "n_reads": F.when(far, 1).otherwise(step)})
+
+
 def best_worst(counts: DataFrame, total: int, best_share: float) -> DataFrame:
     """The fullest ``round(total * share)`` frames and the emptiest non-zero ones; ties by frame."""
     n_best = round(total * best_share)

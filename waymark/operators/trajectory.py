@@ -134,13 +134,28 @@ def clear_corners(cells: DataFrame) -> DataFrame:
     return cells.withColumns({c: F.when(F.col("ass_type") == ORIGINAL, F.col(c)) for c in have})
 
 
-def max_move(cells: DataFrame) -> DataFrame:
-    """Per source the 99th percentile of steps between originals of consecutive frames; infinite if there are none."""
+def with_moves(cells: DataFrame) -> DataFrame:
+    """Column ``move_px``: the step between originals of consecutive frames, null elsewhere."""
     w = Window.partitionBy(*TRACK).orderBy("pos")
     both = (F.col("ass_type") == ORIGINAL) & (F.lag("ass_type").over(w) == ORIGINAL) & (F.col("frame") - F.lag("frame").over(w) == 1)
     dx, dy = (F.col(c) - F.lag(c).over(w) for c in ("center_x", "center_y"))
-    moves = cells.select("source", F.when(both, F.sqrt(dx * dx + dy * dy)).alias("move"))
-    return moves.groupBy("source").agg(F.coalesce(F.percentile("move", F.lit(0.99)), F.lit(float("inf"))).alias("max_move_px"))
+    return cells.withColumn("move_px", F.when(both, F.sqrt(dx * dx + dy * dy)))
+
+
+def move_limit() -> Column:
+    """Of ``move_px`` the 99th percentile; infinite if there are no moves."""
+    return F.coalesce(F.percentile("move_px", F.lit(0.99)), F.lit(float("inf")))
+
+
+def max_move(cells: DataFrame) -> DataFrame:
+    """:func:`move_limit` of each source."""
+    return with_moves(cells).groupBy("source").agg(move_limit().alias("max_move_px"))
+
+
+def enclosing_originals(cells: DataFrame) -> DataFrame:
+    """Cells with the positions of the nearest originals before and after them (``prev_original``, ``next_original``; null if none)."""
+    at = F.when(F.col("ass_type") == ORIGINAL, F.col("pos"))
+    return cells.withColumns({"prev_original": F.last(at, True).over(_before("pos")), "next_original": F.last(at, True).over(_after("pos"))})
 
 
 def gap_runs(cells: DataFrame, longer_than: int) -> DataFrame:

@@ -46,6 +46,7 @@ class CleanParams:
     min_gap: int = 10
     final_jump_pass: bool = False
     tag_mm: float = 0.4
+    fail_if_empty: bool = False
 
 
 class TrackingError(Exception):

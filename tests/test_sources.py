@@ -129,7 +129,18 @@ def test_manifest_round_trip(spark, tmp_path):
     rows = [("v", "t", f, c, "x", 0, 0, 9, 9, [c], [1]) for f in range(2) for c in range(3)]
     df = spark.createDataFrame(rows, "video_key string, tag_family string, frame int, crop_idx int, crop_file string, crop_x1 int, crop_y1 int, crop_x2 int, crop_y2 int, gt_ids array<long>, gt_ass_types array<int>")
     sources.write_manifest(df, str(tmp_path / "m"))
-    assert sorted(map(tuple, sources.read_manifest(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, df.collect()))
+    back = sources.read_manifest(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, back.drop("gt_mode").collect())) == sorted(map(tuple, df.collect()))
+    info = ev.manifest_info(back).first()
+    assert (info["yield_mode"], info["tag_family"], info["valid_ids"], info["n_crops"]) == (False, "t", [0, 1, 2], 6)
+    bare = df.withColumn("gt_ids", F.array().cast("array<bigint>"))
+    assert ev.manifest_info(bare.withColumn("gt_mode", F.lit(None).cast("string"))).first()["yield_mode"]
+    two = back.unionByName(back.withColumn("tag_family", F.lit("u")).withColumn("gt_mode", F.lit("yolo")))
+    info = ev.manifest_info(two).first()
+    assert info["yield_mode"] and info["tag_family"] is None
+    assert tuple(ev.manifest_totals(two).first()) == (1, 2, 12)
+    none = ev.manifest_info(back.where("false")).first()
+    assert not none["yield_mode"] and none["valid_ids"] == [] and none["n_crops"] == 0
 
 
 def test_seeded_split():
@@ -173,3 +184,103 @@ def test_observe_with_fakes(spark):
     assert {(r["frame"], r["tag_id"], r["center_x"], r["center_y"], r["c0x"]) for r in d.collect()} == {(f, 7, 14.5, 14.5, 10.0) for f in range(2)}
     assert sorted((r["frame"], r["decoded"], r["tag_id"]) for r in b.collect()) == [(f, x, t) for f in range(2) for x, t in ((False, -1), (True, 7))]
     assert {(r["center_x"], r["center_y"]) for r in q.collect()} == {(64.5, 34.5)}
+
+
+def touch(root, *names):
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("")
+
+
+def test_recordings_by_folder(spark, tmp_path):
+    rec_dir = str(tmp_path / "r")
+    for k, stem in enumerate(("b", "a")):
+        df = spark.createDataFrame([(0, k, 1.0, 2.5)], "frame int, tag_id long, center_x double, c0x double")
+        df.write.parquet(f"{rec_dir}/tracking/clean_data/{stem}_tags_clean.parquet")
+        df.write.parquet(f"{rec_dir}/tracking/clean_data/.{stem}_tags_clean.parquet")
+    got = sources.load_recording(spark, rec_dir, "tags")
+    assert sorted((r["source"], r["tag_id"]) for r in got.collect()) == [("a", 1), ("b", 0)]
+    assert sources.load_recording(spark, rec_dir, "_tags", video=-1).first()["source"] == "b"
+    one = sources.load_recording(spark, f"{rec_dir}/tracking/clean_data/a_tags_clean.parquet", "tags", corners=False)
+    assert one.first()["source"] == "a" and "c0x" not in one.columns
+    with pytest.raises(IndexError):
+        sources.load_recording(spark, rec_dir, "tags", video=2)
+    with pytest.raises(FileNotFoundError):
+        sources.load_recording(spark, rec_dir, "other")
+    assert sources.table_base("x/a.parquet") == "x/a" and sources.table_base("x/a.csv") == "x/a.csv"
+
+
+def test_corners_of_a_table(spark):
+    rows = [(3, *[1.0] * 8), (1, *[1.0] * 8), (3, *[2.0] * 8), (2, *[1.0] * 7, None), (4, *[float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "tag_id long, " + ", ".join(f"{c} double" for c in g.CORNERS))
+    assert sources.has_corners(df) and not sources.has_corners(df.drop("c2y"))
+    assert [r[0] for r in sources.corner_tags(df).collect()] == [1, 3]
+
+
+def test_experiments(spark, tmp_path):
+    touch(tmp_path, "r/v.mp4", "r/tracking/raw_data/v_tags.parquet", "r/tracking/raw_data/v_tags_yolo.parquet", "q/w.mkv", "q/tracking/raw_data/w_a.parquet", "q/tracking/raw_data/w_b.parquet", "none/x.txt")
+    r, q = str(tmp_path / "r"), str(tmp_path / "q")
+    assert sources.resolve_experiments(spark, [r]) == [("r", f"{r}/v.mp4", f"{r}/tracking/raw_data/v_tags.parquet")]
+    assert sources.resolve_experiments(spark, [q], suffix="_b")[0][2].endswith("w_b.parquet")
+    assert sources.resolve_experiments(spark, [q], with_tables=False)[0][2] is None
+    assert sources.resolve_experiments(spark, [], ["t.parquet:/x/y/z.mp4", ":z.mp4"]) == [("y", "/x/y/z.mp4", "t.parquet"), ("z", "z.mp4", None)]
+    for bad in ({}, {"suffix": "_c"}):
+        with pytest.raises(ValueError):
+            sources.resolve_experiments(spark, [q], **bad)
+    with pytest.raises(ValueError):
+        sources.resolve_experiments(spark, [str(tmp_path / "none")])
+    touch(tmp_path, "sets/b/manifest.json", "sets/a/manifest.json", "sets/c/crops/x.png")
+    assert sources.discover_test_sets(spark, str(tmp_path / "sets")) == ["a", "b"]
+    w = [f"{tmp_path}/no/m.pt", f"{tmp_path}/r/v.mp4", f"{tmp_path}/r/n.pt"]
+    assert sources.first_existing(spark, w) == w[1] and sources.first_existing(spark, w, "given") == "given" and sources.first_existing(spark, w[::2]) == w[2]
+
+
+def test_image_folders(spark, tmp_path):
+    touch(tmp_path, "i/a.PNG", "i/b.jpg", "m/a.png", "m/v.mp4", "e/x.txt")
+    assert [sources.is_image_input(spark, str(tmp_path / n)) for n in "ime"] == [True, False, False]
+    with pytest.raises(sources.TrackingError):
+        sources.read_images(spark, str(tmp_path / "e"))
+
+
+def test_dataset_and_trial_sinks(spark, tmp_path):
+    rows = [("train", "a", 1, 1), ("train", "a", 1, 3), ("train", "b", 2, 1), ("val", "c", 1, 1)]
+    doc = sources.write_dataset_manifest(spark.createDataFrame(rows, "part string, experiment string, tag_id long, ass_type int"), str(tmp_path / "d"), {"cap": 5})
+    assert doc["n_classes"] == 2 and doc["n_crops"] == {"train": 3, "val": 1} and doc["counts"]["train"] == {"1": 2, "2": 1}
+    assert doc["provenance"]["train"] == {"1": 2, "3": 1} and doc["experiments"] == {"train": ["a", "b"], "val": ["c"]}
+    assert spark.read.option("header", True).csv(str(tmp_path / "d/manifest")).count() == 4
+    assert json.loads(spark.read.text(str(tmp_path / "d/summary"), wholetext=True).first()[0]) == doc
+    trials = spark.createDataFrame([(0, 0.5, 2.0, 1.0), (1, None, 3.0, 1.0), (2, 0.5, 4.5, 1.0)], "number int, value double, params_k double, recall double")
+    assert sources.write_trials(trials, str(tmp_path / "t"), ("recall",)) == {"score": 0.5, "params": {"k": 2}, "metrics": {"recall": 1.0}}
+    assert sources.read_trials(spark, str(tmp_path / "t/trials"), ["k"]).count() == 3
+    assert sources.write_trials(trials.where("number = 1"), str(tmp_path / "u")) is None
+    sources.write_data_yaml(spark, str(tmp_path / "y"), "/data", ["tag"])
+    assert "  0: tag" in spark.read.text(str(tmp_path / "y"), wholetext=True).first()[0]
+
+
+def test_presets_of_a_folder(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"params": {"k": 1}}')
+    assert sources.load_preset(spark, "one", str(tmp_path)) == {"k": 1} == sources.load_preset(spark, str(tmp_path / "one.json"), str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        sources.load_preset(spark, "two", str(tmp_path))
+
+
+def test_colours_repeat():
+    a = sources.tag_colors([5, 9])
+    assert a == sources.tag_colors([5, 9]) and all(0 <= v < 255 for c in a.values() for v in c)
+
+
+def test_times_of_composites(spark):
+    c = spark.createDataFrame([("s", 2, 3, 1)], "source string, total_composites long, total_with_gt long, total_no_gt long")
+    t = spark.createDataFrame([("s", 0.1, 0.2), ("s", 0.1, 0.0)], "source string, preprocess_s double, detect_s double")
+    r = ev.with_times(c, t).first()
+    assert r["avg_preprocess_ms"] == pytest.approx(100) and r["avg_total_ms"] == pytest.approx(200) and r["avg_time_per_crop_ms"] == pytest.approx(100)
+
+
+def test_counters_without_rows(spark):
+    crops = spark.createDataFrame([("s", 0, 0)], "source string, frame int, crop_idx int")
+    ids = crops.withColumn("tag_id", F.lit(1).cast("long"))
+    r = ev.testset_counters(crops, ids.where("false"), ids, ids).first()
+    assert (r["total_no_gt"], r["no_gt_discoveries"], r["no_gt_hallucinations"], r["detection_rate"]) == (1, 1, 0, 0.0)
+    r = ev.testset_counters(crops, ids.where("false"), ids, ids.where("false")).first()
+    assert (r["no_gt_discoveries"], r["no_gt_hallucinations"]) == (0, 1)
+    assert ev.cover(ids.withColumn("ass_type", F.lit(1)).where("false"), 3, 2) == []

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from pathlib import PurePosixPath
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from waymark.schema import CORNERS, TrackingError
 
 VIDEO_SUFFIXES = (".mp4", ".avi", ".mkv", ".mov", ".m4v")
 SIDECARS = ("_yolo", "_quads", "_clean")
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")
+#: Table formats by their endings, in the order in which they are looked for.
+TABLE_SUFFIXES = (".parquet", ".zst.parquet")
 
 
 def parse_indices(spec: str, count: int | None = None) -> list[int]:
@@ -52,6 +57,11 @@ def dataname(name: str) -> str:
     return name if name.startswith("_") else f"_{name}"
 
 
+def table_base(path: str) -> str:
+    """A table's path without its ending; other paths stay as they are."""
+    return next((path.removesuffix(s) for s in sorted(TABLE_SUFFIXES, key=len, reverse=True) if path.endswith(s)), path)
+
+
 def is_raw(name: str, suffix: str | None = None) -> bool:
     """Whether a table's base name is a raw one (with that data name)."""
     return not name.startswith(".") and not name.endswith(SIDECARS) and (suffix is None or name.endswith(dataname(suffix)))
@@ -97,6 +107,44 @@ def load(spark: SparkSession, path: str, index: int | None = None, corners: bool
     return nulls_for_nan(df)
 
 
+def load_recording(spark: SparkSession, path: str, name: str, video: int | None = None, corners: bool = True) -> DataFrame:
+    """Cleaned cells of a recording's folder (or of one ``..._clean.parquet`` table), all its videos or the one at a place.
+
+    The videos are those with a table of that data name under
+    ``tracking/clean_data``, in name order, hidden files left out; ``source``
+    names them.  Only the tables asked for are read; which these are is found by
+    listing the folder, not by reading.
+    """
+    ending = f"{dataname(name)}_clean.parquet"
+    if path.endswith(".parquet"):
+        found = [path]
+    else:
+        folder = f"{path.rstrip('/')}/tracking/clean_data"
+        found = [f"{folder}/{n}" for n in list_folder(spark, folder) if n.endswith(ending)]
+    if not found:
+        raise FileNotFoundError(f"no table ending in {ending} under {path}")
+    if video is not None:
+        if not -len(found) <= video < len(found):
+            raise IndexError(f"there are {len(found)} videos, not one at {video}")
+        found = [found[video]]
+    parts = []
+    for p in found:
+        df = spark.read.parquet(p)
+        stem = PurePosixPath(p).name.removesuffix(ending) if p.endswith(ending) else table_base(PurePosixPath(p).name)
+        parts.append((df if corners else df.drop(*CORNERS)).withColumn("source", F.lit(stem)))
+    return nulls_for_nan(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def has_corners(df: DataFrame) -> bool:
+    return all(c in df.columns for c in CORNERS)
+
+
+def corner_tags(df: DataFrame) -> DataFrame:
+    """Ids that have all corners somewhere, in order."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in CORNERS])
+    return df.where(whole).select("tag_id").distinct().orderBy("tag_id")
+
+
 def save(df: DataFrame, path: str) -> None:
     """Corners as 32-bit floats, zstd, partitioned by source."""
     narrow = df.withColumns({c: F.col(c).cast("float") for c in CORNERS if c in df.columns})
@@ -110,13 +158,14 @@ def save_wide_csv(cells: DataFrame, path: str, tags: list[int], metrics: tuple[s
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Crops of test-set manifests, one row each: video_key, frame, crop_idx, bounds, gt_ids, gt_ass_types."""
+    """Crops of test-set manifests, one row each: video_key, tag_family, gt_mode, frame, crop_idx, bounds, gt_ids, gt_ass_types."""
     schema = "video_key string, gt_mode string, tag_family string, frames array<struct<frame_idx:int,composite_file:string,crops:array<struct<crop_idx:int,crop_file:string,bbox_xyxy:array<int>,gt_ids:array<bigint>,gt_ass_types:array<int>>>>>"
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    frames = doc.select("video_key", "tag_family", F.explode("frames").alias("f"))
-    c = frames.select("video_key", "tag_family", F.col("f.frame_idx").alias("frame"), F.explode("f.crops").alias("c"))
+    keys = ["video_key", "tag_family", "gt_mode"]
+    frames = doc.select(*keys, F.explode("frames").alias("f"))
+    c = frames.select(*keys, F.col("f.frame_idx").alias("frame"), F.explode("f.crops").alias("c"))
     bounds = [F.get("c.bbox_xyxy", F.lit(k)).alias(f"crop_{n}") for k, n in enumerate(("x1", "y1", "x2", "y2"))]
-    return c.select("video_key", "tag_family", "frame", "c.crop_idx", "c.crop_file", *bounds, "c.gt_ids", "c.gt_ass_types")
+    return c.select(*keys, "frame", "c.crop_idx", "c.crop_file", *bounds, "c.gt_ids", "c.gt_ass_types")
 
 
 def merge_preset(base: dict, preset: dict) -> dict:
@@ -124,6 +173,20 @@ def merge_preset(base: dict, preset: dict) -> dict:
     return base | preset.get("params", preset)
 
 
+def find_presets(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Paths of a folder's presets (JSON) by name."""
+    return {n.removesuffix(".json"): f"{folder}/{n}" for n in list_folder(spark, folder) if n.endswith(".json")}
+
+
+def load_preset(spark: SparkSession, name: str, folder: str) -> dict:
+    """A preset's settings, by its name in the folder or by path."""
+    known = find_presets(spark, folder)
+    path = known.get(name, name)
+    if path == name and not name.endswith(".json"):
+        raise FileNotFoundError(f"no preset {name!r}; there are {', '.join(known) or 'none'}")
+    return merge_preset({}, json.loads(spark.read.text(path, wholetext=True).first()["value"]))
+
+
 def preset_of_trial(row: dict) -> str:
     """A trial's ``params_*`` as preset JSON: nulls left out, whole floats as integers."""
     values = {k.removeprefix("params_"): v for k, v in row.items() if k.startswith("params_") and v is not None and v == v}
@@ -148,11 +211,75 @@ def find_videos(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Encoded images of a folder: source (its stem) and content."""
+    """Encoded images of a folder: source (its stem), path and content; an error if there are none."""
+    if not any(n.lower().endswith(IMAGE_SUFFIXES) for n in list_folder(spark, folder)):
+        raise TrackingError(f"no images in {folder}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,tif,tiff,bmp}").load(folder)
     return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("source"), "path", "content")
 
 
+def is_image_input(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds images and no videos."""
+    names = list_folder(spark, folder)
+    return any(n.lower().endswith(IMAGE_SUFFIXES) for n in names) and not any(map(is_video, names))
+
+
+def discover_test_sets(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders below that hold a manifest; a run that was stopped leaves none."""
+    return [n for n in list_folder(spark, folder) if "manifest.json" in list_folder(spark, f"{folder}/{n}")]
+
+
+def video_tables(spark: SparkSession, video: str) -> list[str]:
+    """Raw tables of a video in its recording."""
+    v = PurePosixPath(video)
+    folder = f"{video.rsplit('/', 1)[0]}/tracking/raw_data"
+    return [f"{folder}/{n}.parquet" for n in find_tables(spark, folder) if n.startswith(v.stem)]
+
+
+def pick_table(tables: list[str], suffix: str | None = None) -> str | None:
+    """The one table, or the one whose name has ``suffix``; none if there are none, an error if that leaves a choice."""
+    if len(tables) < 2:
+        return tables[0] if tables else None
+    names = [table_base(PurePosixPath(t).name) for t in tables]
+    fit = [t for t, n in zip(tables, names, strict=True) if suffix and suffix in n]
+    if len(fit) != 1:
+        raise ValueError(f"{len(fit) if suffix else len(tables)} tables fit, give a suffix that only one has: {', '.join(names)}")
+    return fit[0]
+
+
+def resolve_experiments(spark: SparkSession, recordings: list[str], explicit: list[str] = (), suffix: str | None = None, with_tables: bool = True) -> list[tuple[str, str, str | None]]:
+    """(name, video, table) of ``table:video`` specs, named by the video's folder, and of recordings by their first video."""
+    found = []
+    for spec in explicit:
+        table, _, video = spec.partition(":")
+        folder = PurePosixPath(video).parent.name
+        found.append((folder or PurePosixPath(video).stem, video, table if table and with_tables else None))
+    for recording in recordings:
+        videos = [n for n in list_folder(spark, recording) if is_video(n)]
+        if not videos:
+            raise ValueError(f"no video in {recording}")
+        video = f"{recording.rstrip('/')}/{videos[0]}"
+        found.append((PurePosixPath(recording).name, video, pick_table(video_tables(spark, video), suffix) if with_tables else None))
+    return found
+
+
+def first_existing(spark: SparkSession, candidates: list[str], given: str | None = None) -> str:
+    """``given`` if set, else the first candidate that exists, else the second (the first if alone), for errors to name."""
+    if given:
+        return given
+    for c in candidates:
+        folder, _, name = c.rpartition("/")
+        if name in list_folder(spark, folder or "."):
+            return c
+    return candidates[min(1, len(candidates) - 1)]
+
+
+def tag_colors(tags: list[int], seed: int = 42) -> dict[int, tuple[int, int, int]]:
+    """A colour for each tag in the order given, the same at each run."""
+    rng = np.random.default_rng(seed)
+    return {t: tuple(int(c) for c in rng.integers(0, 255, 3)) for t in tags}
+
+
 def save_sidecar(df: DataFrame | None, schema, spark: SparkSession, path: str) -> None:
     """A sidecar table; its columns are there even if nothing was found."""
     (spark.createDataFrame([], schema) if df is None else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -167,11 +294,54 @@ def snapshot(df: DataFrame, folder: str | None, label: str) -> DataFrame:
 
 
 def write_manifest(crops: DataFrame, path: str) -> None:
-    """One JSON document a video: its frames with their crops."""
+    """One JSON document a video (video_key, tag_family, and gt_mode if there): its frames with their crops."""
     crop = F.struct("crop_idx", "crop_file", F.array("crop_x1", "crop_y1", "crop_x2", "crop_y2").alias("bbox_xyxy"), "gt_ids", "gt_ass_types")
-    frames = crops.groupBy("video_key", "tag_family", "frame").agg(F.array_sort(F.collect_list(crop)).alias("crops"))
+    keys = [c for c in ("video_key", "tag_family", "gt_mode") if c in crops.columns]
+    frames = crops.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(crop)).alias("crops"))
     frame = F.struct(F.col("frame").alias("frame_idx"), "crops")
-    frames.groupBy("video_key", "tag_family").agg(F.array_sort(F.collect_list(frame)).alias("frames")).write.mode("overwrite").json(path)
+    frames.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("frames")).write.mode("overwrite").json(path)
+
+
+def write_dataset_manifest(records: DataFrame, path: str, params: dict | None = None) -> dict:
+    """A data set's records (part, experiment, tag_id, ass_type ..) as CSV, with a JSON summary, which is returned.
+
+    The summary has a count for each part, class, provenance and experiment, so
+    its size doesn't grow with the records.
+    """
+    records.write.mode("overwrite").option("header", True).csv(f"{path}/manifest")
+    n = records.groupBy("part", "tag_id", "ass_type").agg(F.count("*").alias("n")).collect()
+    sums: dict = {"n_crops": {}, "counts": {}, "provenance": {}}
+    for r in n:
+        sums["n_crops"][r["part"]] = sums["n_crops"].get(r["part"], 0) + r["n"]
+        for kind, key in (("counts", "tag_id"), ("provenance", "ass_type")):
+            of = sums[kind].setdefault(r["part"], {})
+            of[str(r[key])] = of.get(str(r[key]), 0) + r["n"]
+    names = sorted((r["part"], r["experiment"]) for r in records.select("part", "experiment").distinct().collect())
+    doc = {"n_classes": len({r["tag_id"] for r in n}), **sums, "experiments": {p: [e for q, e in names if q == p] for p in sums["n_crops"]}, "params": params or {}}
+    _write_text(records.sparkSession, json.dumps(doc, indent=2, sort_keys=True), f"{path}/summary")
+    return doc
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_data_yaml(spark: SparkSession, path: str, root: str, names: list[str]) -> None:
+    """The description that detector training reads: folders and class names."""
+    classes = "".join(f"\n  {k}: {n}" for k, n in enumerate(names))
+    _write_text(spark, f"path: {root}\ntrain: images/train\nval: images/val\nnames:{classes}", path)
+
+
+def write_trials(trials: DataFrame, path: str, metrics: tuple[str, ...] = ()) -> dict | None:
+    """All trials as CSV in order of their number, and the best one's score, params and metrics as JSON, which are returned."""
+    trials.orderBy("number").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/trials")
+    best = trials.where("value IS NOT NULL").orderBy(F.col("value").desc(), "number").first()
+    if best is None:
+        return None
+    row = best.asDict()
+    doc = {"score": row["value"], "params": json.loads(preset_of_trial(row)), "metrics": {m: row[m] for m in metrics}}
+    _write_text(trials.sparkSession, json.dumps(doc, indent=2, sort_keys=True), f"{path}/best_params")
+    return doc
 
 
 def write_labels(lines: DataFrame, path: str) -> None:

@@ -178,6 +178,18 @@ def test_op3_distrust_flows_back(spark):
     assert got["farm.net"]["verdict"] == "block" and got["fan.net"]["verdict"] == "allow" and got["fan.net"]["trust"] > 0
 
 
+def test_op3_climbs_all_domains(spark):
+    long = ".".join(["a"] * 200)  # no name in DNS
+    rows = [(1, "http://k.l.m.deep.net/1", ""), (2, "http://deep.net/2", ""), (3, f"http://{long}.other.net/", ""), (4, "http://other.net/", ""), (5, "http://a..b.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in op3_urls.filter_urls(pages, [("k.l.m.deep.net", "/", "block")]).collect()}
+    assert got[2]["verdict"] == "block" and got[2]["distrust"] > 0 and got[4]["distrust"] == 0 and len(got) == 5
+    hosts = spark.createDataFrame([("k.l.m.deep.net",), ("a..b.net",), (f"{long}.net",)], "host string")
+    edges = {(r["src"], r["dst"]) for r in op3_urls.host_edges(pages.where("false"), hosts).collect()}
+    up = {("k.l.m.deep.net", "l.m.deep.net"), ("l.m.deep.net", "m.deep.net"), ("m.deep.net", "deep.net"), (".b.net", "b.net")}
+    assert edges == up | {(b, a) for a, b in up}
+
+
 def check_packing(rows, given):
     tokenizer = op4_packing.ids_of(op4_packing.default_tokenizer()).library
     want = Counter()

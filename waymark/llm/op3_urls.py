@@ -2,7 +2,8 @@
 
 Rules decide the urls they fit.  For the rest, hosts are scored on a graph of
 host edges: links (``href`` of ``a``) found in the pages, plus an edge each way between a host and
-the domain above it in the table (down to two labels).  Trust is a personalised
+the domain above it, between that and the next, and so on down to two labels (a
+string of over 253 characters is no name in DNS, and has no domain above it).  Trust is a personalised
 PageRank from hosts with allowed pages, distrust the same on reversed edges
 from hosts with blocked pages.  A host is blocked if its share of distrust,
 distrust / (trust + distrust), exceeds ``max_distrust``; hosts that no score
@@ -12,12 +13,16 @@ Defined results: a null url, or one without ``://``, has empty host and path,
 fits no rule and is allowed; repeated urls are judged row by row; a null page
 has no links; an empty table gives an empty result; other columns are ignored.
 
-Both scores run in one loop of ``ROUNDS`` rounds.  Hubs are salted: edges are
+Both scores run in one loop.  A round moves on ``DAMPING`` of the weight that the
+last one moved, so after ``ROUNDS`` rounds, which follow from it, at most
+``TOLERANCE`` of all weight has not reached its place.  Hubs are salted: edges are
 dealt over ``SALTS`` parts of their source, scores are copied to each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +31,10 @@ from .common import join_lookup, settle, table
 #: (host, path, verdict), longest rule first wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
-ROUNDS, DAMPING, MAX_DISTRUST, SALTS, SETTLE_EVERY = 10, 0.85, 0.6, 8, 5
+DAMPING, TOLERANCE, MAX_DISTRUST, SALTS, SETTLE_EVERY = 0.85, 0.001, 0.6, 8, 5
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+MAX_HOST = 253
+_DOMAIN = r"^[^.]+\..+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,15 +59,16 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of links between hosts, and of hosts and the domain above them."""
+    """Distinct (src, dst) of links between hosts, and of hosts and the domains above them, step by step."""
     links = (
         pages.select(host_and_path(F.col("url"))[0].alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(LINK), 1))).alias("dst"))
         .select("src", ascii_lower("dst").alias("dst"))
     )
-    above = F.regexp_extract("host", r"^[^.]*\.([^.]+\..+)$", 1)
-    up = hosts.select(F.col("host").alias("src"), above.alias("dst"))
-    further = up.select(F.col("dst").alias("src"), F.regexp_extract("dst", r"^[^.]*\.([^.]+\..+)$", 1).alias("dst"))
-    up = up.unionByName(further)
+    labels = F.split("host", r"\.")
+    deep = hosts.where(F.length("host") <= MAX_HOST).select("host", labels.alias("l")).where(F.size("l") > 2)
+    steps = deep.select("l", F.explode(F.sequence(F.lit(1), F.size("l") - 2)).alias("i"))
+    below = lambda k: F.array_join(F.slice("l", F.col("i") + k, F.size("l")), ".")
+    up = steps.select(below(0).alias("src"), below(1).alias("dst")).where(F.col("dst").rlike(_DOMAIN))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     every = links.unionByName(up).unionByName(down)
     return every.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
@@ -126,8 +135,8 @@ def _sql() -> str:
 u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{url}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{url}', 2) AS path FROM pages),
 r AS (SELECT *, {case(0)} AS rule, {case(1)} AS v FROM u),
 c AS (SELECT host, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM r WHERE host <> '' GROUP BY host),
-up1 AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.([^.]+\\..+)$', 1) AS dst FROM c),
-up AS (SELECT * FROM up1 UNION ALL SELECT dst, regexp_extract(dst, '^[^.]*\\.([^.]+\\..+)$', 1) FROM up1),
+up1 AS (SELECT k, unnest(range(1, len(k) - 1)) AS i FROM (SELECT string_split(host, '.') AS k FROM c WHERE length(host) <= {MAX_HOST})),
+up AS (SELECT src, dst FROM (SELECT array_to_string(k[i:], '.') AS src, array_to_string(k[i + 1:], '.') AS dst FROM up1) WHERE regexp_matches(dst, '{_DOMAIN}')),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM u WHERE html IS NOT NULL),
 e AS (SELECT DISTINCT src, dst FROM (SELECT * FROM l UNION ALL SELECT * FROM up UNION ALL SELECT dst, src FROM up) WHERE src <> '' AND dst <> '' AND src <> dst),
 f0 AS (SELECT 'trust' AS kind, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e),

@@ -13,16 +13,14 @@ Defined results: a null url, or one without ``://``, has empty host and path,
 fits no rule and is allowed; repeated urls are judged row by row; a null page
 has no links; an empty table gives an empty result; other columns are ignored.
 
-Both scores run in one loop.  A round moves on ``DAMPING`` of the weight that the
-last one moved, so after ``ROUNDS`` rounds, which follow from it, at most
-``TOLERANCE`` of all weight has not reached its place.  Hubs are salted: edges are
+Both scores run in one loop of ``ROUNDS`` rounds.  A round moves on ``DAMPING`` of
+the weight that the last one moved, so at most ``DAMPING ** ROUNDS`` of all weight,
+a fifth, has not reached its place (README has why there aren't more).  Hubs are salted: edges are
 dealt over ``SALTS`` parts of their source, scores are copied to each.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +29,7 @@ from .common import join_lookup, settle, table
 #: (host, path, verdict), longest rule first wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
-DAMPING, TOLERANCE, MAX_DISTRUST, SALTS, SETTLE_EVERY = 0.85, 0.001, 0.6, 8, 5
-ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+ROUNDS, DAMPING, MAX_DISTRUST, SALTS, SETTLE_EVERY = 10, 0.85, 0.6, 8, 5
 MAX_HOST = 253
 _DOMAIN = r"^[^.]+\..+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

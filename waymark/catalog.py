@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from waymark.operators import evaluate as ev
 from waymark.operators import matching as mt
 from waymark.operators import metrics as me
 from waymark.operators import quads as qu
+from waymark.operators import quantiles as qt
 from waymark.operators import recordings as rec
 from waymark.operators import sampling as sa
 from waymark.operators import trajectory as tr
-from waymark.plans.clean import clean, clean_cells
-from waymark.schema import CleanParams
+from waymark.operators.lineage import shared_folder
+from waymark.plans.clean import clean, clean_cells, clean_to
+from waymark.schema import VERSION, CleanParams
 from waymark.sources import views
 
 QUERIES: dict = {}
@@ -178,6 +182,31 @@ def max_move_p99(spark, d):
     return _round(tr.max_move(_stamped(spark, d)), "max_move_px")
 
 
+@query(f"""WITH {_GRID}{_interpolated('s0', 'i1')}{_stepped('i1', 'd1')}
+SELECT source, ass_type, round(quantile_cont(distance, 0.001), 6) AS low, round(quantile_cont(distance, 0.5), 6) AS middle, round(quantile_cont(distance, 0.9), 6) AS p90, round(quantile_cont(distance, 0.999), 6) AS high
+FROM d1 WHERE distance IS NOT NULL GROUP BY source, ass_type""")
+def step_quantiles(spark, d):
+    steps = tr.step_distance(_filled(spark, d), "desc")
+    found = qt.quantiles(steps, ["source", "ass_type"], "distance", {"low": 0.001, "middle": 0.5, "p90": 0.9, "high": 0.999})
+    return _round(found, "low", "middle", "p90", "high")
+
+
+_LONG_DET = f"""det AS (
+  SELECT CAST(l_linenumber AS VARCHAR) AS source, CAST(l_orderkey AS INTEGER) AS frame, row_number() OVER (PARTITION BY l_linenumber, l_orderkey ORDER BY {", ".join(views._ORDER)}) AS det_id, CAST(1 AS BIGINT) AS tag_id,
+         CAST(l_quantity + l_orderkey % 7 AS DOUBLE) AS center_x, CAST(round(l_discount * 100) AS DOUBLE) AS center_y, CAST(14 + l_linenumber % 3 AS DOUBLE) AS side FROM lineitem)"""
+_LONG = _CLEAN.replace(_DET, _LONG_DET).replace(f"range({views.N_FRAMES}) f(f)", "range((SELECT max(frame) + 1 FROM det)) f(f)")
+SLAB = 8192
+
+
+@query(f"WITH {_LONG} SELECT source, tag_id, frame, ass_type, round(center_x, 6) AS center_x, round(center_y, 6) AS center_y, round(distance, 6) AS distance FROM fin WHERE center_x IS NOT NULL")
+def long_track_clean(spark, d):
+    found = views.long_tracks(spark, d)
+    last = found.agg(F.max("frame").alias("last")).first()["last"]
+    cells, _ = clean(found, None, CleanParams(**(PARAMS.__dict__ | {"n_frames": last + 1, "slab": SLAB})))
+    known = cells.where("center_x IS NOT NULL").select("source", "tag_id", "frame", "ass_type", "center_x", "center_y", "distance")
+    return _round(known, "center_x", "center_y", "distance")
+
+
 @query(f"""WITH {_DET}, k AS (SELECT source, ceil(5000.0 / count(DISTINCT tag_id))::BIGINT AS k FROM det GROUP BY source),
 q AS (SELECT *, row_number() OVER (PARTITION BY source, tag_id ORDER BY frame, det_id) - 1 AS i, count(*) OVER (PARTITION BY source, tag_id) AS n FROM det JOIN k USING (source)),
 p AS (SELECT q.* FROM q WHERE n <= k OR i IN (SELECT unnest(list_transform(range(q.k), lambda j: floor(j * (q.n - 1) / (q.k - 1))::BIGINT))))
@@ -186,6 +215,28 @@ def pixel_scale(spark, d):
     return _round(me.pixel_scale(views.detections(spark, d)), "mm_per_px")
 
 
+_RUN_ATTRS = f"""SELECT source, key, number, word FROM (
+  SELECT source, unnest([
+    struct_pack(key := 'version', number := TRY_CAST('"{VERSION}"' AS DOUBLE), word := '"{VERSION}"'), struct_pack(key := 'stage', number := NULL, word := '"clean"'), struct_pack(key := 'cleaned_utc', number := NULL, word := 'null'),
+    struct_pack(key := 'tag_size_px', number := 'inf'::DOUBLE, word := NULL), struct_pack(key := 'tag_size_multiplier', number := 2.0, word := NULL), struct_pack(key := 'max_move_px', number := max_move_px, word := NULL),
+    struct_pack(key := 'box_fill_limit', number := 0.0, word := NULL), struct_pack(key := 'max_consecutive_misses', number := 10.0, word := NULL),
+    struct_pack(key := 'box_filled_count', number := 0.0, word := NULL), struct_pack(key := 'box_pruned_count', number := 0.0, word := NULL), struct_pack(key := 'box_rechained_count', number := 0.0, word := NULL),
+    struct_pack(key := 'rechain_affected_only', number := NULL, word := 'false'), struct_pack(key := 'recover_long_gaps', number := NULL, word := 'false'), struct_pack(key := 'min_gap_recovery_frames', number := 10.0, word := NULL),
+    struct_pack(key := 'long_gap_recovered_count', number := 0.0, word := NULL), struct_pack(key := 'final_jump_pass', number := NULL, word := 'false'), struct_pack(key := 'final_jump_deleted_count', number := 0.0, word := NULL),
+    struct_pack(key := 'tag_size_mm', number := 0.4, word := NULL), struct_pack(key := 'median_tag_side_px', number := tag_px, word := NULL), struct_pack(key := 'mm_per_px', number := mm_per_px, word := NULL), struct_pack(key := 'scale_sample_count', number := n_quads::DOUBLE, word := NULL),
+    struct_pack(key := 'original_good_count', number := original_good_count::DOUBLE, word := NULL), struct_pack(key := 'final_count', number := final_count::DOUBLE, word := NULL)
+  ], recursive := true) FROM ({ORACLES["quality_metrics"]}) JOIN ({ORACLES["pixel_scale"]}) USING (source))"""
+
+
+@query(_RUN_ATTRS)
+def run_attrs(spark, d):
+    found = views.detections(spark, d)
+    run = clean_to(f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", found, None, PARAMS)
+    counted = run.metrics.select("source", F.explode(F.create_map(*[x for c in ("original_good_count", "final_count") for x in (F.lit(c), F.col(c).cast("string"))])).alias("key", "value_json"))
+    number = F.round(F.expr("try_cast(value_json AS DOUBLE)"), 6)
+    return run.run_attrs.unionByName(counted).select("source", "key", number.alias("number"), F.when(number.isNull(), F.col("value_json")).alias("word"))
+
+
 @query(f"WITH {_CLEAN} SELECT source, ass_type, count(*) AS n, count(CASE WHEN ass_type = 1 THEN side END) AS n_corners FROM fin GROUP BY source, ass_type")
 def corner_provenance(spark, d):
     return clean_cells(views.detections(spark, d), None, PARAMS).groupBy("source", "ass_type").agg(F.count("*").alias("n"), F.count("c0x").alias("n_corners"))

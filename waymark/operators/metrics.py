@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.trajectory import move_limit
+from waymark.operators import quantiles as q
 from waymark.schema import BOX_INFERRED, CORNERS, INTERPOLATED, NONE, TRACK
 
 
@@ -13,24 +13,39 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)
 
 
+_EXTRA = {"yolo_filled_count": "n_filled", "yolo_pruned_count": "n_pruned", "yolo_rechained_count": "n_rechained", "long_gap_recovered_count": "n_recovered", "final_jump_deleted_count": "n_final_deleted"}
+
+
+def metric_sums(cells: DataFrame) -> dict[str, Column]:
+    """The counts from which :func:`quality_metrics` follows, as aggregates over cells."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return {
+        "total_samples": F.count("*"),
+        "original_good_count": count(F.col("was_original")),
+        "original_bad_count": count(F.col("n_deleted")),
+        "final_count": count(F.col("ass_type") != NONE),
+        "filled_count": count(F.col("ass_type") == INTERPOLATED),
+        "yolo_inferred_count": count(F.col("ass_type") == BOX_INFERRED),
+    } | {k: count(F.col(c)) if c in cells.columns else F.lit(0).cast("long") for k, c in _EXTRA.items()}
+
+
 def quality_metrics(cells: DataFrame) -> DataFrame:
     """One row a source, from final cells with ``was_original`` and the number of deletions ``n_deleted`` each.
 
     ``n_pruned``, ``n_rechained``, ``n_recovered`` and ``n_final_deleted`` are
-    taken if there; without boxes they are 0.  ``max_move_px`` is taken from ``move_px``.
+    taken if there; without boxes they are 0.  ``max_move_px`` is the 99th
+    percentile of ``move_px``, infinite without any.  The counts are made a
+    source and length of move first: sums and the percentile's histograms read
+    this one shuffle, so the plan of ``cells`` runs once.
     """
-    count = lambda c: F.sum(c.cast("long"))
-    extra = {"yolo_pruned_count": "n_pruned", "yolo_rechained_count": "n_rechained", "long_gap_recovered_count": "n_recovered", "final_jump_deleted_count": "n_final_deleted"}
-    a = cells.groupBy("source").agg(
-        F.count("*").alias("total_samples"),
-        count(F.col("was_original")).alias("original_good_count"),
-        F.sum(F.col("n_deleted").cast("long")).alias("original_bad_count"),
-        count(F.col("ass_type") != NONE).alias("final_count"),
-        count(F.col("ass_type") == INTERPOLATED).alias("filled_count"),
-        count(F.col("ass_type") == BOX_INFERRED).alias("yolo_inferred_count"),
-        *[(F.sum(F.col(c).cast("long")) if c in cells.columns else F.lit(0).cast("long")).alias(k) for k, c in extra.items()],
-        (move_limit() if "move_px" in cells.columns else F.lit(float("inf"))).alias("max_move_px"),
-    )
+    sums = metric_sums(cells)
+    bits = q.ordered_bits(F.col("move_px")) if "move_px" in cells.columns else F.lit(None).cast("long")
+    per = cells.groupBy("source", bits.alias("bits")).agg(F.array(*sums.values()).alias("_v"))
+    total = lambda k: F.sum(F.get("_v", F.lit(k)))
+    a = per.groupBy("source").agg(*[total(k).alias(name) for k, name in enumerate(sums)])
+    moves = per.where("bits IS NOT NULL").select("source", "bits", F.get("_v", F.lit(0)).alias("n"))
+    limits = q.of_counts(moves, ["source"], {"max_move_px": 0.99})
+    a = a.join(limits, "source", "left").withColumn("max_move_px", F.coalesce("max_move_px", F.lit(float("inf"))))
     s, g, j = F.col("total_samples"), F.col("original_good_count"), F.col("original_bad_count")
     a = a.withColumn("original_missing_count", s - g).withColumn("total_detections", g + j)
     a = a.withColumn("total_gaps", F.col("original_missing_count") + j)
@@ -69,7 +84,7 @@ def pixel_scale(detections: DataFrame, tag_mm: float = 0.4, max_quads: int = 500
     spread = F.floor(j * (n - 1) / F.greatest(k - 1, F.lit(1))) == i
     picked = q.where((n <= k) | F.when(k == 1, i == 0).otherwise(spread & (j <= k - 1)))
     sides = picked.select("source", F.explode(corner_sides()).alias("side"))
-    scale = sides.groupBy("source").agg(F.percentile("side", F.lit(0.5)).alias("tag_px"), (F.count("*") / 4).cast("long").alias("n_quads"))
+    scale = sides.groupBy("source").agg(F.percentile("side", F.lit(0.5)).alias("tag_px"), (F.count("*") / 4).cast("long").alias("n_quads"))  # a bounded sample
     every = detections.select("source").distinct().join(scale, "source", "left")
     return every.select("source", "tag_px", F.when(F.col("tag_px") > 0, tag_mm / F.col("tag_px")).alias("mm_per_px"), F.coalesce("n_quads", F.lit(0).cast("long")).alias("n_quads"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import functions as g
+from waymark.operators import quantiles as q
 
 RATIO_MIN, DEDUP_PX = 0.6, 10.0
 
@@ -20,14 +21,18 @@ def measured(quads: DataFrame) -> DataFrame:
 
 
 def seed_thresholds(quads: DataFrame) -> DataFrame:
-    """One row of limits: percentiles 1 and 99 of areas and angles, 0.1 and 99.9 of sides."""
-    q = quads.select(g.quad_area().alias("a"), F.arrays_zip(g.quad_angles().alias("angle"), g.quad_sides().alias("side")).alias("z"))
-    each = q.select("a", F.posexplode("z").alias("k", "z"))
-    area = lambda p: F.percentile(F.when(F.col("k") == 0, F.col("a")), F.lit(p))
-    return each.agg(
-        area(0.01).alias("area_min"), area(0.99).alias("area_max"),
-        F.percentile("z.angle", F.lit(0.01)).alias("angle_min"), F.percentile("z.angle", F.lit(0.99)).alias("angle_max"),
-        F.percentile("z.side", F.lit(0.001)).alias("side_min"), F.percentile("z.side", F.lit(0.999)).alias("side_max"),
+    """One row of limits: percentiles 1 and 99 of areas and angles, 0.1 and 99.9 of sides; null without quads."""
+    values = quads.select(F.explode(F.concat(
+        F.array(F.struct(F.lit("area").alias("measure"), g.quad_area().alias("v"))),
+        F.transform(g.quad_angles(), lambda v: F.struct(F.lit("angle").alias("measure"), v.alias("v"))),
+        F.transform(g.quad_sides(), lambda v: F.struct(F.lit("side").alias("measure"), v.alias("v"))),
+    )).alias("m")).select("m.measure", "m.v")
+    found = q.quantiles(values, ["measure"], "v", {"p1": 0.01, "p99": 0.99, "low": 0.001, "high": 0.999})
+    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, F.col(c)))
+    return found.agg(
+        of("area", "p1").alias("area_min"), of("area", "p99").alias("area_max"),
+        of("angle", "p1").alias("angle_min"), of("angle", "p99").alias("angle_max"),
+        of("side", "low").alias("side_min"), of("side", "high").alias("side_max"),
         F.lit(RATIO_MIN).alias("ratio_min"), F.lit(DEDUP_PX).alias("dedup_px"),
     )
 

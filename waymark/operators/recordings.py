@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators import quantiles as q
 from waymark.schema import BOX_INFERRED, TRACK
 
 
@@ -22,8 +23,10 @@ def merge_attributes(attributes: DataFrame) -> DataFrame:
 
 def median_scale(scales: DataFrame) -> DataFrame:
     """Median mm per pixel over the recordings that have one; a NaN makes it NaN."""
-    known = scales.where("mm_per_px IS NOT NULL")
-    return known.agg(F.when(F.max(F.isnan("mm_per_px")), F.lit(float("nan"))).otherwise(F.percentile("mm_per_px", F.lit(0.5))).alias("mm_per_px"))
+    known = scales.where("mm_per_px IS NOT NULL").select(F.lit(1).alias("_all"), "mm_per_px")
+    middle = q.quantiles(known, ["_all"], "mm_per_px", {"mm_per_px": 0.5})
+    odd = known.agg(F.max(F.isnan("mm_per_px")).alias("_nan"))
+    return odd.join(middle, F.lit(True), "left").select(F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("mm_per_px")).alias("mm_per_px"))  # one row each
 
 
 def global_frames(frames: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Per-tag time series: duplicate resolution, grid, interpolation, jumps.
 
-All windows are keyed by (source, tag_id), so a plan that chains them shuffles
-once.  Looking ahead is a running window in descending order: a frame that
-shrinks towards the end is scanned anew for every row.
+All scans are keyed by (source, tag_id) and go through :func:`scan.look`, so a
+plan that chains them shuffles once and sorts once a turn of direction.
+``slab`` cuts tracks of more positions than a task should hold.  Rows without a
+source or a tag have no track and go when duplicates are resolved.
 """
 
 from __future__ import annotations
@@ -10,64 +11,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators import quantiles as q
+from waymark.operators.scan import look
 from waymark.schema import CORNERS, INTERPOLATED, NONE, ORIGINAL, TRACK, EmptyTrackingError
 
+_KEYS = ("source", "frame", "tag_id", "det_id")
 
-def _before(*order: str):
-    return Window.partitionBy(*TRACK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
+def _line(p: Column, n: Column, at: Column, pa: Column, na: Column) -> Column:
+    return p + (n - p) * (at - pa) / (na - pa)
 
-def _after(*order: str):
-    return Window.partitionBy(*TRACK).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
 
+def by_track(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by track to as many tasks as the session shuffles to; a number that is asked for isn't coalesced at run time.
 
-def _line(p: Column, n: Column, at: Column, pa: Column, na: Column) -> Column:
-    return p + (n - p) * (at - pa) / (na - pa)
+    Detections are few bytes, but the grid that grows from them in the same
+    stage has a row a frame.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TRACK)
 
 
-def resolve_duplicates(detections: DataFrame) -> DataFrame:
+def resolve_duplicates(detections: DataFrame, slab: int | None = None) -> DataFrame:
     """One detection a (source, tag, frame): of several, the nearest to the track of unambiguous frames.
 
     The track is linear between single detections and constant beyond them; ties,
     and tags without a single detection, take the lowest ``det_id``.
     """
-    one = F.count("*").over(Window.partitionBy(*TRACK, "frame")) == 1
-    d = detections.repartition(*TRACK).withColumn("_one", one)  # else the count would be planned with an exchange of its own
-    anchor = F.when(F.col("_one"), F.struct("frame", "center_x", "center_y"))
-    d = d.withColumn("_p", F.last(anchor, True).over(_before("frame", "det_id"))).withColumn("_n", F.last(anchor, True).over(_after("frame", "det_id")))
+    columns, order = detections.columns, ("frame", "det_id")
+    d = detections.where("source IS NOT NULL AND tag_id IS NOT NULL")
+    d = by_track(d) if slab is None else d
+    d = d.withColumn("_one", F.count("*").over(Window.partitionBy(*TRACK, "frame")) == 1)
+    known = {c: F.when(F.col("_one"), F.col(c)) for c in ("frame", "center_x", "center_y")}
+    d = look(d, {f"_p_{c}": v for c, v in known.items()}, {f"_n_{c}": v for c, v in known.items()}, order=order, slab=slab)
 
     def expected(c: str) -> Column:
-        p, n = F.col(f"_p.{c}"), F.col(f"_n.{c}")
-        return F.when(F.col("_p").isNotNull() & F.col("_n").isNotNull(), _line(p, n, F.col("frame"), F.col("_p.frame"), F.col("_n.frame"))).otherwise(F.coalesce(p, n))
+        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+        both = F.col("_p_frame").isNotNull() & F.col("_n_frame").isNotNull()
+        return F.when(both, _line(p, n, F.col("frame"), F.col("_p_frame"), F.col("_n_frame"))).otherwise(F.coalesce(p, n))
 
     dx, dy = F.col("center_x") - expected("center_x"), F.col("center_y") - expected("center_y")
     pick = Window.partitionBy(*TRACK, "frame").orderBy(F.col("_d").asc_nulls_last(), "det_id")
     best = d.withColumn("_d", F.when(F.col("_one"), F.lit(0.0)).otherwise(dx * dx + dy * dy)).withColumn("_k", F.row_number().over(pick))
-    return best.where("_k = 1").drop("_one", "_p", "_n", "_d", "_k")
+    return best.where("_k = 1").select(*columns)
 
 
-def dense_grid(detections: DataFrame, n_frames: int | None = None, raw: DataFrame | None = None) -> DataFrame:
+def dense_grid(detections: DataFrame, n_frames: int | None = None, raw: DataFrame | None = None, slab: int | None = None) -> DataFrame:
     """A row for each frame of each tag; ``pos`` is its dense position.
 
-    With ``n_frames`` the grid is 0 .. n_frames - 1 and later frames go;
-    without, it has the frames of the source with any detection.  ``raw``, the
-    detections before duplicates were resolved, has the same tags and frames:
-    read there, the plan of ``detections`` runs once.
+    ``detections`` has one row a (source, tag, frame).  With ``n_frames`` the
+    grid is 0 .. n_frames - 1 and other frames go: each detection then brings
+    the empty frames up to the next one along, without a join.  Without, it has
+    the frames of the source with any detection.  ``raw``, the detections before
+    duplicates were resolved, has the same tags and frames: read there, the plan
+    of ``detections`` runs once.
     """
-    keys = detections if raw is None else raw
-    values = [c for c in detections.columns if c not in ("source", "frame", "tag_id", "det_id")]
+    values = [c for c in detections.columns if c not in _KEYS]
+    if n_frames is not None and slab is None:
+        return _filled_up(detections, n_frames).select("source", "frame", "pos", "tag_id", *values)
+    keys = detections if raw is None else raw.where("source IS NOT NULL AND tag_id IS NOT NULL")
     tags = keys.select(*TRACK).distinct()
     if n_frames is not None:
-        grid = tags.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1)))).withColumn("pos", F.col("frame"))
+        starts = tags.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1), F.lit(slab))))
+        stop = F.least(F.col("_start") + slab, F.lit(n_frames)) - 1
+        grid = starts.repartition(*TRACK, "_start").select(*TRACK, F.explode(F.sequence("_start", stop)).alias("frame")).withColumn("pos", F.col("frame"))
     else:
-        frames = keys.groupBy("source").agg(F.array_sort(F.collect_set("frame")).alias("_f"))
-        grid = tags.join(frames, "source").select(*TRACK, F.posexplode("_f").alias("pos", "frame"))
+        grid = tags.join(frame_positions(keys, slab), "source").select(*TRACK, F.explode("_f").alias("f")).select(*TRACK, "f.pos", "f.frame")
     joined = grid.join(detections.select("source", "tag_id", "frame", *values), [*TRACK, "frame"], "left")
     return joined.select("source", "frame", "pos", "tag_id", *values)
 
 
-def min_detections(cells: DataFrame, least: int) -> DataFrame:
+def _filled_up(detections: DataFrame, n_frames: int) -> DataFrame:
+    """Each detection with the frames up to the next one; a tag's first one also with those before it."""
+    w = Window.partitionBy(*TRACK).orderBy("frame")
+    d = detections.withColumns({"_next": F.lead("frame").over(w), "_nth": F.row_number().over(w)})
+    start = F.when(F.col("_nth") == 1, F.lit(0)).otherwise(F.greatest("frame", F.lit(0)))
+    stop = F.least(F.coalesce("_next", F.lit(n_frames)), F.lit(n_frames)) - 1
+    none = F.array().cast("array<int>")
+    d = d.withColumn("pos", F.explode(F.when(start <= stop, F.sequence(start.cast("int"), stop.cast("int"))).otherwise(none)))
+    own = F.col("pos") == F.col("frame")
+    values = {c: F.when(own, F.col(c)) for c in detections.columns if c not in _KEYS}
+    return d.withColumns(values).withColumn("frame", F.col("pos"))
+
+
+def frame_positions(detections: DataFrame, slab: int | None = None) -> DataFrame:
+    """Per source, in runs of at most ``slab`` frames (65,536 unless given): ``_f``, an array of (pos, frame) of its frames with any detection.
+
+    Frames are numbered within runs of frame numbers; only a count a run is summed up along the recording.
+    """
+    width = slab or 1 << 16
+    frames = detections.where("frame IS NOT NULL").select("source", "frame").distinct().withColumn("_run", F.floor(F.col("frame") / width))
+    runs = frames.groupBy("source", "_run").agg(F.array_sort(F.collect_list("frame")).alias("_frames"))  # a run has at most ``width`` frames
+    before = F.coalesce(F.sum(F.size("_frames")).over(Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    numbered = F.transform("_frames", lambda f, k: F.struct((F.col("_before") + k).alias("pos"), f.alias("frame")))
+    return runs.withColumn("_before", before).select("source", numbered.alias("_f"))
+
+
+def min_detections(cells: DataFrame, least: int, slab: int | None = None) -> DataFrame:
     """Tags with at least ``least`` positions."""
+    if slab is not None:
+        tags = cells.groupBy(*TRACK).agg(F.count("center_x").alias("_n")).where(F.col("_n") >= least)
+        return cells.join(tags.select(*TRACK), [*TRACK], "left_semi")
     n = F.count("center_x").over(Window.partitionBy(*TRACK))
     return cells.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
 
@@ -87,45 +130,42 @@ def stamp_interpolated(cells: DataFrame) -> DataFrame:
     return cells.withColumn("ass_type", F.when(filled, INTERPOLATED).otherwise(F.col("ass_type")))
 
 
-def interpolate(cells: DataFrame, limit: int) -> DataFrame:
+def interpolate(cells: DataFrame, limit: int, way: str = "asc", slab: int | None = None) -> DataFrame:
     """Fill inner gaps linearly, up to ``limit`` cells from each end of a gap."""
-    ends, filled = {}, {}
+    before, after, filled = {}, {}, {}
     for c in ("center_x", "center_y"):
-        known = F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v")))
-        p, n = f"_p_{c}", f"_n_{c}"
-        ends |= {p: F.last(known, True).over(_before("pos")), n: F.last(known, True).over(_after("pos"))}
-        near = (F.col("pos") - F.col(f"{p}.pos") <= limit) | (F.col(f"{n}.pos") - F.col("pos") <= limit)
-        value = _line(F.col(f"{p}.v"), F.col(f"{n}.v"), F.col("pos"), F.col(f"{p}.pos"), F.col(f"{n}.pos"))
-        filled[c] = F.when(F.col(c).isNull() & near, value).otherwise(F.col(c))
-    return cells.withColumns(ends).withColumns(filled).drop(*ends)  # both axes in one window a direction
+        ends = {"at": F.when(F.col(c).isNotNull(), F.col("pos")), "v": F.col(c)}
+        before |= {f"_p_{c}_{k}": v for k, v in ends.items()}
+        after |= {f"_n_{c}_{k}": v for k, v in ends.items()}
+        pa, pv, na, nv = (F.col(f"_{e}_{c}_{k}") for e in "pn" for k in ("at", "v"))
+        near = (F.col("pos") - pa <= limit) | (na - F.col("pos") <= limit)
+        filled[c] = F.when(F.col(c).isNull() & near, _line(pv, nv, F.col("pos"), pa, na)).otherwise(F.col(c))
+    return look(cells, before, after, way=way, slab=slab).withColumns(filled).drop(*before, *after)  # both axes in one window a direction
 
 
-def step_distance(cells: DataFrame) -> DataFrame:
+def step_distance(cells: DataFrame, way: str = "asc", slab: int | None = None) -> DataFrame:
     """Distance to the position before; null if either is unknown."""
-    w = Window.partitionBy(*TRACK).orderBy("pos")
-    dx, dy = (F.col(c) - F.lag(c).over(w) for c in ("center_x", "center_y"))
-    return cells.withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    c = look(cells, prev={"_px": F.col("center_x"), "_py": F.col("center_y")}, way=way, slab=slab)
+    dx, dy = F.col("center_x") - F.col("_px"), F.col("center_y") - F.col("_py")
+    return c.withColumn("distance", F.sqrt(dx * dx + dy * dy)).drop("_px", "_py")
 
 
-def drop_jumps(cells: DataFrame, max_jump: float) -> DataFrame:
+def drop_jumps(cells: DataFrame, max_jump: float, way: str = "desc", slab: int | None = None) -> DataFrame:
     """Clear runs of steps over ``max_jump``, but for the last original cell of each.
 
     An interpolated cell right before a run goes too.  All decisions look at the
-    cells as given.  Column ``jump_deleted`` tells which positions were lost.
+    cells as given: an original cell is the last of its run if a step that isn't
+    over comes before the next original one or is it.  Column ``jump_deleted`` tells
+    which positions were lost.
     """
-    w = Window.partitionBy(*TRACK).orderBy("pos")
-    over = F.coalesce(F.col("distance") > max_jump, F.lit(False))
-    c = cells.withColumn("_over", over)
-    c = c.withColumn("_turn", (F.col("_over") != F.coalesce(F.lag("_over").over(w), F.lit(False))).cast("int"))
-    c = c.withColumn("_run", F.sum("_turn").over(w)).withColumn("_next", F.coalesce(F.lead("_over").over(w), F.lit(False)))
-    last = F.max(F.when(F.col("ass_type") == ORIGINAL, F.col("pos"))).over(Window.partitionBy(*TRACK, "_run"))
-    c = c.withColumn("_last", last)
-    in_run = F.col("_over") & (F.col("_last").isNull() | (F.col("pos") != F.col("_last")))
-    ahead = ~F.col("_over") & F.col("_next") & (F.col("ass_type") == INTERPOLATED)
-    c = c.withColumn("_cut", in_run | ahead).withColumn("jump_deleted", F.col("_cut") & F.col("center_x").isNotNull())
-    for v in ("center_x", "center_y", "distance"):
-        c = c.withColumn(v, F.when(~F.col("_cut"), F.col(v)))
-    return c.withColumn("ass_type", F.when(F.col("_cut"), NONE).otherwise(F.col("ass_type"))).drop("_over", "_turn", "_run", "_next", "_last", "_cut")
+    c = cells.withColumn("_over", F.coalesce(F.col("distance") > max_jump, F.lit(False)))
+    original, calm = F.when(F.col("ass_type") == ORIGINAL, F.col("pos")), F.when(~F.col("_over"), F.col("pos"))
+    c = look(c, after={"_original": original, "_calm": calm}, following={"_next": F.col("_over")}, way=way, slab=slab)
+    last = (F.col("ass_type") == ORIGINAL) & (F.col("_original").isNull() | F.coalesce(F.col("_calm") <= F.col("_original"), F.lit(False)))
+    ahead = ~F.col("_over") & F.coalesce("_next", F.lit(False)) & (F.col("ass_type") == INTERPOLATED)
+    c = c.withColumn("_cut", (F.col("_over") & ~last) | ahead).withColumn("jump_deleted", F.col("_cut") & F.col("center_x").isNotNull())
+    new = {v: F.when(~F.col("_cut"), F.col(v)) for v in ("center_x", "center_y", "distance")}
+    return c.withColumns(new | {"ass_type": F.when(F.col("_cut"), NONE).otherwise(F.col("ass_type"))}).drop("_over", "_original", "_calm", "_next", "_cut")
 
 
 def clear_corners(cells: DataFrame) -> DataFrame:
@@ -134,33 +174,31 @@ def clear_corners(cells: DataFrame) -> DataFrame:
     return cells.withColumns({c: F.when(F.col("ass_type") == ORIGINAL, F.col(c)) for c in have})
 
 
-def with_moves(cells: DataFrame) -> DataFrame:
+def with_moves(cells: DataFrame, way: str = "asc", slab: int | None = None) -> DataFrame:
     """Column ``move_px``: the step between originals of consecutive frames, null elsewhere."""
-    w = Window.partitionBy(*TRACK).orderBy("pos")
-    both = (F.col("ass_type") == ORIGINAL) & (F.lag("ass_type").over(w) == ORIGINAL) & (F.col("frame") - F.lag("frame").over(w) == 1)
-    dx, dy = (F.col(c) - F.lag(c).over(w) for c in ("center_x", "center_y"))
-    return cells.withColumn("move_px", F.when(both, F.sqrt(dx * dx + dy * dy)))
-
-
-def move_limit() -> Column:
-    """Of ``move_px`` the 99th percentile; infinite if there are no moves."""
-    return F.coalesce(F.percentile("move_px", F.lit(0.99)), F.lit(float("inf")))
+    c = look(cells, prev={"_kind": F.col("ass_type"), "_frame": F.col("frame"), "_px": F.col("center_x"), "_py": F.col("center_y")}, way=way, slab=slab)
+    both = (F.col("ass_type") == ORIGINAL) & (F.col("_kind") == ORIGINAL) & (F.col("frame") - F.col("_frame") == 1)
+    dx, dy = F.col("center_x") - F.col("_px"), F.col("center_y") - F.col("_py")
+    return c.withColumn("move_px", F.when(both, F.sqrt(dx * dx + dy * dy))).drop("_kind", "_frame", "_px", "_py")
 
 
 def max_move(cells: DataFrame) -> DataFrame:
-    """:func:`move_limit` of each source."""
-    return with_moves(cells).groupBy("source").agg(move_limit().alias("max_move_px"))
+    """Of each source the 99th percentile of ``move_px``; infinite if there are no moves."""
+    counts = with_moves(cells).groupBy("source", q.ordered_bits(F.col("move_px")).alias("bits")).agg(F.count("*").alias("n"))
+    limits = q.of_counts(counts.where("bits IS NOT NULL"), ["source"], {"max_move_px": 0.99})
+    every = counts.select("source").distinct()
+    return every.join(limits, "source", "left").select("source", F.coalesce("max_move_px", F.lit(float("inf"))).alias("max_move_px"))
 
 
-def enclosing_originals(cells: DataFrame) -> DataFrame:
+def enclosing_originals(cells: DataFrame, slab: int | None = None) -> DataFrame:
     """Cells with the positions of the nearest originals before and after them (``prev_original``, ``next_original``; null if none)."""
     at = F.when(F.col("ass_type") == ORIGINAL, F.col("pos"))
-    return cells.withColumns({"prev_original": F.last(at, True).over(_before("pos")), "next_original": F.last(at, True).over(_after("pos"))})
+    return look(cells, {"prev_original": at}, {"next_original": at}, slab=slab)
 
 
-def gap_runs(cells: DataFrame, longer_than: int) -> DataFrame:
+def gap_runs(cells: DataFrame, longer_than: int, slab: int | None = None) -> DataFrame:
     """Gaps known on both sides and longer than ``longer_than``: first and last position and length."""
     known = F.when(F.col("center_x").isNotNull(), F.col("pos"))
-    c = cells.select(*TRACK, "pos", "center_x", F.last(known, True).over(_before("pos")).alias("_p"), F.last(known, True).over(_after("pos")).alias("_n"))
+    c = look(cells.select(*TRACK, "pos", "center_x"), {"_p": known}, {"_n": known}, slab=slab)
     gaps = c.where("center_x IS NULL AND _p IS NOT NULL AND _n IS NOT NULL").groupBy(*TRACK, "_p", "_n").agg(F.count("*").alias("length"))
     return gaps.where(F.col("length") > longer_than).select(*TRACK, (F.col("_p") + 1).alias("gap_start"), (F.col("_n") - 1).alias("gap_end"), "length")

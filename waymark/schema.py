@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 NONE, ORIGINAL, INTERPOLATED, BOX_INFERRED = 0, 1, 2, 3
 
+#: Written into the records of runs.
+VERSION = "0.3"
+
 CORNERS = ("c0x", "c0y", "c1x", "c1y", "c2x", "c2y", "c3x", "c3y")
 TRACK = ("source", "tag_id")
 
@@ -47,6 +50,7 @@ class CleanParams:
     final_jump_pass: bool = False
     tag_mm: float = 0.4
     fail_if_empty: bool = False
+    slab: int | None = None  # positions of a track that a task holds; None: whole tracks
 
 
 class TrackingError(Exception):

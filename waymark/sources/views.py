@@ -50,3 +50,15 @@ def crop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of single-label crops: experiment, frame, crop_idx, tag_id, ass_type."""
     o = observations(spark, sf_dir)
     return o.select(F.col("year").cast("string").alias("experiment"), "frame", F.col("obs_id").alias("crop_idx"), F.col("tag_id"), (1 + F.col("l_linenumber") % 3).cast("int").alias("ass_type"), "source")
+
+
+def long_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One track a line number along the order keys: few tags with many positions."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    source = F.col("l_linenumber").cast("string")
+    x, y = F.col("l_quantity") + F.col("l_orderkey") % 7, F.round(F.col("l_discount") * 100)
+    d = li.select(
+        source.alias("source"), F.col("l_orderkey").cast("int").alias("frame"), F.row_number().over(Window.partitionBy("l_linenumber", "l_orderkey").orderBy(*_ORDER)).cast("long").alias("det_id"),
+        F.lit(1).cast("long").alias("tag_id"), x.cast("double").alias("center_x"), y.cast("double").alias("center_y"), (14 + F.col("l_linenumber") % 3).cast("double").alias("side"),
+    )
+    return d.select("source", "frame", "det_id", "tag_id", "center_x", "center_y", *_corners())

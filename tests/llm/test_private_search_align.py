@@ -89,6 +89,8 @@ def test_op11_beyond_broadcasts(spark, monkeypatch):
     rows = private_rows()
     frame_of = spark.createDataFrame(rows, "doc_id long, text string")
     want = frame(op11_private.digest(op11_private.find(frame_of)).toPandas())
+    monkeypatch.setattr(op11_private, "PRUNE_PARTS", 2)
+    assert frame(op11_private.digest(op11_private.find(frame_of)).toPandas()) == want
     monkeypatch.setattr(op11_private, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert frame(op11_private.digest(op11_private.find(frame_of)).toPandas()) == want

@@ -51,6 +51,7 @@ IP_FITS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 TERM = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUN = 64
+PRUNE_PARTS = 64
 
 
 def _lower(c: Column) -> Column:
@@ -158,28 +159,41 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(_lower(text), f"[^{TERM}]+")), lambda w: F.length(w) >= LEAST_TERM)
 
 
+def _texts_with(docs: DataFrame, wanted: DataFrame, parts: int = 1) -> DataFrame:
+    """term and ``n_t``, how many distinct texts have it, for terms of ``wanted``; with ``parts`` only one text in so many is looked at."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.md5(text).alias("key"), text.alias("text"))
+    if parts > 1:
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == 0)
+    each = rows.select("key", F.explode(_terms(F.col("text"))).alias("term"))
+    if wanted.count() <= BROADCAST_ROWS:
+        held = each.join(F.broadcast(wanted.select("term")), "term").distinct()
+        return held.groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = each.distinct().groupBy("term").agg(F.count("*").alias("n_t"))  # all terms first, so that no hot term meets the join
+    return counts.join(wanted.select("term"), "term")
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Terms that disclose an entity: term, kind of the entity it discloses most of, and the bits ``left`` to guess.
 
     ``found`` is the settled :func:`texts_of` of ``docs``.  What is counted of
-    the corpus: entities, terms near them, and of those terms the texts.
+    the corpus: entities, terms near them, and of those terms the texts.  A term
+    that already one text in ``PRUNE_PARTS`` shows to be in too many texts isn't
+    counted in the others, so what is shuffled follows the entities and not the
+    frequent words.
     """
     each = found.select("key", F.explode("base").alias("s")).select("key", "s.kind", "s.value", "s.witness", "s.terms")
     near = each.select("key", "kind", "value", "witness", F.explode("terms").alias("term"))
     pairs = near.groupBy("kind", "value", "term").agg(F.countDistinct("key").alias("_texts"), F.countDistinct("witness").alias("_windows"))
     pairs = settle(pairs.select("kind", "value", "term", F.least("_texts", "_windows").alias("n_et")).where(F.col("n_et") >= LEAST_TEXTS))
-    wanted = pairs.select("term").distinct()
-    n_wanted = wanted.count()
-    if not n_wanted:
+    wanted = settle(pairs.groupBy("term").agg((F.max("n_et") * F.lit(2.0**GENERALISE_BITS)).alias("most")))  # in more texts than that, a term discloses nothing
+    if wanted.isEmpty():
         return pairs.select("term", "kind", F.lit(0.0).alias("left"))
+    surely = _texts_with(docs, wanted, PRUNE_PARTS).join(wanted, "term").where(F.col("n_t") > F.col("most")).select("term")
+    wanted = settle(wanted.join(surely, "term", "left_anti"))
     n_texts = found.select("key").distinct().count()
     n_e = each.groupBy("kind", "value").agg(F.countDistinct("key").alias("n_e"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    all_terms = docs.select(F.md5(text).alias("key"), F.explode(_terms(text)).alias("term"))
-    if n_wanted <= BROADCAST_ROWS:
-        n_t = all_terms.join(F.broadcast(wanted), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    else:  # counted for all terms first, so that no hot term meets the join
-        n_t = all_terms.distinct().groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
+    n_t = _texts_with(docs, wanted)
     known = pairs.join(n_e, ["kind", "value"]).join(n_t, "term")
     left = F.log2(F.col("n_t") / F.col("n_et"))
     gain = F.log2(F.lit(float(n_texts)) * F.col("n_et") / F.col("n_e") / F.col("n_t"))

@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .common import settle, settle_table, table
-from .memo import Memo
 from .op4_packing import Ids, default_tokenizer
 from .op8_pieces import SPACE, Codec, default_model
 from .worker import tidy
@@ -42,47 +42,64 @@ BLOCK_PAIRS = 1_000_000
 _NONE = np.zeros(0, np.int64)
 
 
-class PlainIds(Ids):
-    """Byte-level ids; special tokens' strings are plain text."""
+class Vocabularies:
+    """Ids and bytes of both tokenizers; special tokens' strings are plain text to A.
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.special = []
-        n = self.encoding.max_token_value + 1
-        self.bytes_of = [b""] * n
-        for i in range(n):
-            try:
-                self.bytes_of[i] = self.encoding.decode_single_token_bytes(i)
-            except KeyError:  # a number without an entry, like a special token's
-                continue
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.of(text), np.uint32).astype(np.int64)
-
-
-class PieceIds(Codec):
-    """SentencePiece ids as 32-bit bytes a word."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.words = Memo(self._word, limit=100_000)
-        size = self.library.get_piece_size()
-        self.bytes_of = [self.library.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
-        for i, b in self.byte_of.items():
-            self.bytes_of[i] = bytes([b])
-
-    def _word(self, key: str) -> bytes:
-        ids = self._work(key)[1]
-        self.fresh.clear()
-        return np.array(ids.split(",") if ids else [], np.uint32).tobytes()
+    A text whose spaces stand alone is encoded word by word, each with the space
+    before it, as neither tokenizer joins a letter to a following space
+    (``cuts``).  A batch's distinct words that the memo lacks are encoded together.
+    """
 
-    def encode_ids(self, text: str) -> np.ndarray:
-        """Ids of a text without U+2581."""
-        whole = SPACE + text.replace(" ", SPACE)
-        if self.cuts and SPACE * 2 not in whole and whole[-1] != SPACE:
-            words = self.words
-            return np.frombuffer(b"".join([words[k] for k in whole.split(SPACE)[1:]]), np.uint32).astype(np.int64)
-        return np.array(self.encode(text)[1].split(","), np.int64)
+    def __init__(self, path_a: str, path_b: str, limit: int = 150_000, longest: int = 64):
+        coder, pieces = Ids(path_a), Codec(path_b)
+        self.encode_a, self.library, self.cuts = coder.encoding.encode_ordinary, pieces.library, pieces.cuts
+        n = coder.encoding.max_token_value + 1
+        self.bytes_a, self.bytes_b = [b""] * n, [self.library.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.library.get_piece_size())]
+        for token in coder.encoding.token_byte_values():
+            self.bytes_a[coder.encoding.encode_single_token(token)] = token
+        for i, b in pieces.byte_of.items():
+            self.bytes_b[i] = bytes([b])
+        self.limit, self.longest = limit, longest
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    def _whole(self, text: str) -> bool:
+        return not self.cuts or text[0] == " " or text[-1] == " " or "  " in text
+
+    def of_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids A and B of each text; none if the text is empty or one of the two doesn't give it back."""
+        known = [t if SPACE not in t else "" for t in texts]
+        words = [t.split(" ") if t and not self._whole(t) else [] for t in known]
+        ids = self._learn(set().union(*words))
+        for text, mine in zip(known, words, strict=True):
+            if not text:
+                yield _NONE, _NONE
+                continue
+            if mine:
+                both = [ids[w] for w in mine]
+                a, b = (np.frombuffer(b"".join([x[k] for x in both]), np.uint32).astype(np.int64) for k in (0, 1))
+            else:
+                a, b = np.array(self.encode_a(" " + text), np.int64), np.array(self.library.encode(text, num_threads=1), np.int64)
+            raw = b" " + text.encode()
+            spelled_a, spelled_b = (b"".join([of[i] for i in x.tolist()]) for x, of in ((a, self.bytes_a), (b, self.bytes_b)))
+            yield (a, b) if spelled_a == raw == spelled_b else (_NONE, _NONE)
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The ids of all ``words`` as 32-bit bytes; two generations of at most ``limit`` short words stay for later."""
+        found, fresh = {}, []
+        for w in words:
+            ids = self.memo.get(w) or self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                found[w] = ids
+        if fresh:
+            for w, b in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
+                found[w] = array("I", self.encode_a(" " + w)).tobytes(), array("I", b).tobytes()
+        if len(self.memo) + len(found) > self.limit:
+            self.old, self.memo = self.memo, {}
+        self.memo.update((w, ids) for w, ids in found.items() if len(w) <= self.longest)
+        return found
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,45 +122,38 @@ def spelled(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarr
     label, ids = label[order], np.concatenate([a, b])[order]
     last = np.append(label[1:] != label[:-1], True)
     mark = np.where(last, 1 + label % 2, 0)
-    return "".join([str(i) + ",|;"[m] for i, m in zip(ids.tolist(), mark.tolist(), strict=True)])[:-1]
+    codes = 3 * ids + mark
+    while len(_names) <= codes.max(initial=0):
+        _names.extend(f"{len(_names) // 3}{m}" for m in ",|;")
+    return "".join(map(_names.__getitem__, codes.tolist()))[:-1]
 
 
-def _loaded(cache: dict, kind: type, path: str):
-    if (kind, path) not in cache:
-        cache[kind, path] = kind(path)
-    return cache[kind, path]
+#: Decimal ids, each with the three marks that may follow.
+_names: list[str] = []
 
 
-_coders: dict = {}
+_vocabularies: dict[tuple[str, str], Vocabularies] = {}
 
 
 class Aligner:
     """Tokens and links of single texts."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = _loaded(_coders, PlainIds, path_a), _loaded(_coders, PieceIds, path_b)
-        self.len_a, self.len_b = (np.array([len(x) for x in c.bytes_of]) for c in (self.a, self.b))
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids A and B; none if one doesn't give the text back."""
-        if not text or SPACE in text:
-            return _NONE, _NONE
-        a, b = self.a.encode(" " + text), self.b.encode_ids(text)
-        raw = b" " + text.encode()
-        for ids, of in ((a, self.a.bytes_of), (b, self.b.bytes_of)):
-            if b"".join([of[i] for i in ids.tolist()]) != raw:
-                return _NONE, _NONE
-        return a, b
-
-    def row(self, text: str):
-        """n_a, n_b, n_groups, n_links, distinct pairs (A id * 2**32 + B id) with their links, and the digest."""
-        a, b = self.tokens(text)
-        if not len(a):
-            return 0, 0, 0, 0, _NONE, _NONE, ""
-        cuts, group_a, group_b, link_a, link_b = align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
-        pairs, n = np.unique((a[link_a] << 32) + b[link_b], return_counts=True)
-        digest = hashlib.sha256(spelled(a, b, group_a, group_b).encode()).hexdigest()
-        return len(a), len(b), len(cuts), len(link_a), pairs, n, digest
+        if (path_a, path_b) not in _vocabularies:
+            _vocabularies[path_a, path_b] = Vocabularies(path_a, path_b)
+        self.tokens = _vocabularies[path_a, path_b]
+        self.len_a, self.len_b = (np.array([len(x) for x in of]) for of in (self.tokens.bytes_a, self.tokens.bytes_b))
+
+    def rows(self, texts: list[str]) -> Iterator[tuple]:
+        """Of each text n_a, n_b, n_groups, n_links, distinct pairs (A id * 2**32 + B id) with their links, and the digest."""
+        for a, b in self.tokens.of_texts(texts):
+            if not len(a):
+                yield 0, 0, 0, 0, _NONE, _NONE, ""
+                continue
+            cuts, group_a, group_b, link_a, link_b = align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
+            pairs, n = np.unique((a[link_a] << 32) + b[link_b], return_counts=True)
+            digest = hashlib.sha256(spelled(a, b, group_a, group_b).encode()).hexdigest()
+            yield len(a), len(b), len(cuts), len(link_a), pairs, n, digest
 
 
 def _kernel(path_a: str, path_b: str):
@@ -152,7 +162,7 @@ def _kernel(path_a: str, path_b: str):
         aligner = Aligner(path_a, path_b)
         for batch in batches:
             for part in arrays.pieces(batch, "text"):
-                rows = [aligner.row(x.as_py() or "") for x in part.column("text")]
+                rows = aligner.rows([x.as_py() or "" for x in part.column("text")])
                 n_a, n_b, n_groups, n_links, pairs, times, digests = zip(*rows, strict=True)
                 cuts = pa.array(np.append(0, np.cumsum([len(p) for p in pairs])), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, times)]

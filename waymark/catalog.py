@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import functions as g
 from waymark.operators import boxes as bx
+from waymark.operators import chains as ch
 from waymark.operators import evaluate as ev
 from waymark.operators import matching as mt
 from waymark.operators import metrics as me
@@ -17,7 +18,8 @@ from waymark.operators import quantiles as qt
 from waymark.operators import recordings as rec
 from waymark.operators import sampling as sa
 from waymark.operators import trajectory as tr
-from waymark.operators.lineage import shared_folder
+from waymark.operators.lineage import settle, shared_folder
+from waymark.operators.near import near_pairs
 from waymark.plans.clean import clean, clean_cells, clean_to
 from waymark.schema import VERSION, CleanParams
 from waymark.sources import views
@@ -259,6 +261,40 @@ def chain_fill(spark, d):
     return mt.chain_fill(_jumped(spark, d), views.boxes(spark, d))
 
 
+_HOP = """row_number() OVER (PARTITION BY {0} ORDER BY b.pos, sqrt((a.center_x - b.center_x) * (a.center_x - b.center_x) + (a.center_y - b.center_y) * (a.center_y - b.center_y)), b.box_id) AS k
+  FROM {1} a JOIN bx b ON a.source = b.source AND b.pos > a.pos AND b.pos <= a.pos + 10 JOIN sc ON sc.source = a.source WHERE sqrt((a.center_x - b.center_x) * (a.center_x - b.center_x) + (a.center_y - b.center_y) * (a.center_y - b.center_y)) <= 2.0 * sc.tag_px"""
+_FAR = "sqrt((a.center_x - b.center_x) * (a.center_x - b.center_x) + (a.center_y - b.center_y) * (a.center_y - b.center_y))"
+
+
+@query(f"""WITH RECURSIVE {_JUMP}{_BOX[len(_OBS):]}, sc AS ({ORACLES["pixel_scale"]}),
+bx AS (SELECT source, frame AS pos, box_id, center_x, center_y FROM box WHERE frame BETWEEN 0 AND {views.N_FRAMES - 1} AND source IN (SELECT source FROM jump)),
+seen AS (SELECT source, tag_id, pos, center_x, center_y, lead(pos) OVER (PARTITION BY source, tag_id ORDER BY pos) AS stop FROM jump WHERE ass_type = 1),
+hop AS (SELECT * FROM (SELECT a.source, a.box_id, b.box_id AS next_id, b.pos AS next_pos, {_FAR} AS d, {_HOP.format("a.source, a.box_id", "bx")}) WHERE k = 1),
+start AS (SELECT * FROM (SELECT a.source, a.tag_id, a.pos AS gap, a.stop, b.box_id, b.pos, {_FAR} AS d, {_HOP.format("a.source, a.tag_id, a.pos", "seen")} AND (a.stop IS NULL OR b.pos < a.stop)) WHERE k = 1),
+walk AS (SELECT source, tag_id, gap, stop, box_id, pos, d FROM start
+  UNION ALL SELECT w.source, w.tag_id, w.gap, w.stop, hop.next_id, hop.next_pos, hop.d FROM walk w JOIN hop ON hop.source = w.source AND hop.box_id = w.box_id WHERE w.stop IS NULL OR hop.next_pos < w.stop),
+shared AS (SELECT source, pos, box_id FROM walk GROUP BY ALL HAVING count(DISTINCT tag_id) > 1),
+busy AS (SELECT DISTINCT source, tag_id, gap FROM walk SEMI JOIN shared USING (source, pos, box_id))
+SELECT source, tag_id, pos, box_id, round(d, 6) AS distance FROM walk ANTI JOIN busy USING (source, tag_id, gap)""")
+def chain_single(spark, d):
+    alone = ch.single_walks(settle(_jumped(spark, d)), settle(views.boxes(spark, d)), "forward")
+    return _round(alone.select("source", "tag_id", "pos", "box_id", "distance"), "distance")
+
+
+@query()
+def chain_walks(spark, d):
+    return ch.chain_fill(settle(_jumped(spark, d)), settle(views.boxes(spark, d)))
+
+
+@query(f"""WITH {_OBS} SELECT a.source, a.frame, a.obs_id AS det_id, b.obs_id AS box_id, round({_FAR}, 6) AS distance
+FROM obs a JOIN obs b ON a.source = b.source AND a.frame = b.frame WHERE NOT a.is_box AND b.is_box AND {_FAR} <= 60""")
+def near_boxes(spark, d):
+    r = F.lit(60.0).alias("r")
+    found = views.detections(spark, d).select("source", "frame", "det_id", "center_x", "center_y", r)
+    met = near_pairs(found, views.boxes(spark, d).select("source", "frame", "box_id", "center_x", "center_y", r), ["source", "frame"], "r")
+    return _round(met.select("source", "frame", "det_id", F.col("right_box_id").alias("box_id"), "distance"), "distance")
+
+
 @query()
 def ambiguity_prune(spark, d):
     cells, fills = _jumped(spark, d), chain_fill(spark, d).cache()

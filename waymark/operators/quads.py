@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import functions as g
 from waymark.operators import quantiles as q
+from waymark.operators.near import near_pairs
 
 RATIO_MIN, DEDUP_PX = 0.6, 10.0
 
@@ -37,11 +38,11 @@ def seed_thresholds(quads: DataFrame) -> DataFrame:
     )
 
 
-def nearest_valid(quads: DataFrame, valid: DataFrame) -> DataFrame:
-    """Quads with ``nearest``, the distance to the nearest valid centre (source, frame, center_x, center_y)."""
-    v = valid.select("source", "frame", F.col("center_x").alias("_vx"), F.col("center_y").alias("_vy"))
-    d = F.sqrt((F.col("center_x") - F.col("_vx")) * (F.col("center_x") - F.col("_vx")) + (F.col("center_y") - F.col("_vy")) * (F.col("center_y") - F.col("_vy")))
-    near = quads.select("source", "frame", "quad_id", "center_x", "center_y").join(v, ["source", "frame"]).groupBy("source", "frame", "quad_id").agg(F.min(d).alias("nearest"))
+def nearest_valid(quads: DataFrame, valid: DataFrame, radius: float = DEDUP_PX) -> DataFrame:
+    """Quads with ``nearest``, the distance to the nearest valid centre (source, frame, center_x, center_y) within ``radius``; null if there is none."""
+    own = quads.select("source", "frame", "quad_id", "center_x", "center_y").withColumn("_r", F.lit(float(radius)))
+    met = near_pairs(own, valid.select("source", "frame", "center_x", "center_y").withColumn("_r", F.lit(float(radius))), ["source", "frame"], "_r")
+    near = met.groupBy("source", "frame", "quad_id").agg(F.min("distance").alias("nearest"))
     return quads.join(near, ["source", "frame", "quad_id"], "left")
 
 

@@ -60,8 +60,8 @@ class Vocabularies:
         for i, b in pieces.byte_of.items():
             self.bytes_b[i] = bytes([b])
         self.limit, self.longest = limit, longest
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def _whole(self, text: str) -> bool:
         return not self.cuts or text[0] == " " or text[-1] == " " or "  " in text
@@ -77,25 +77,37 @@ class Vocabularies:
                 continue
             if mine:
                 both = [ids[w] for w in mine]
-                a, b = (np.frombuffer(b"".join([x[k] for x in both]), np.uint32).astype(np.int64) for k in (0, 1))
+                if all(both):
+                    a, b = (np.frombuffer(b"".join([x[k] for x in both]), np.uint32).astype(np.int64) for k in (0, 1))
+                    yield a, b
+                else:
+                    yield _NONE, _NONE
             else:
-                a, b = np.array(self.encode_a(" " + text), np.int64), np.array(self.library.encode(text, num_threads=1), np.int64)
-            raw = b" " + text.encode()
-            spelled_a, spelled_b = (b"".join([of[i] for i in x.tolist()]) for x, of in ((a, self.bytes_a), (b, self.bytes_b)))
-            yield (a, b) if spelled_a == raw == spelled_b else (_NONE, _NONE)
+                a, b = self.encode_a(" " + text), self.library.encode(text, num_threads=1)
+                yield (np.array(a, np.int64), np.array(b, np.int64)) if self._spell(a, b, text) else (_NONE, _NONE)
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """The ids of all ``words`` as 32-bit bytes; two generations of at most ``limit`` short words stay for later."""
+    def _spell(self, a: list[int], b: list[int], text: str) -> bool:
+        """Whether both give a space and the text."""
+        raw = b" " + text.encode()
+        return all(b"".join([of[i] for i in ids]) == raw for ids, of in ((a, self.bytes_a), (b, self.bytes_b)))
+
+    def _learn(self, words: set[str]) -> dict[str, tuple]:
+        """The ids of all ``words`` as 32-bit bytes, nothing for a word that isn't given back; two generations of at most ``limit`` short words stay for later."""
         found, fresh = {}, []
         for w in words:
-            ids = self.memo.get(w) or self.old.get(w)
+            ids = self.memo.get(w)
+            if ids is None:
+                ids = self.old.get(w)
             if ids is None:
                 fresh.append(w)
             else:
                 found[w] = ids
         if fresh:
+            of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
             for w, b in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
-                found[w] = array("I", self.encode_a(" " + w)).tobytes(), array("I", b).tobytes()
+                a = self.encode_a(" " + w)
+                same = b"".join(map(of_a, a)) == b"".join(map(of_b, b)) == b" " + w.encode()
+                found[w] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else ()
         if len(self.memo) + len(found) > self.limit:
             self.old, self.memo = self.memo, {}
         self.memo.update((w, ids) for w, ids in found.items() if len(w) <= self.longest)
@@ -104,7 +116,8 @@ class Vocabularies:
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From sorted ends: the common cuts, the group of each token A and B, and of all links the places in A and in B."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    distinct = all((np.diff(e) > 0).all() for e in (ends_a, ends_b))
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=distinct)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     first_a, n_a = np.searchsorted(ends_a, cuts), np.searchsorted(ends_a, cuts, "right")
     first_b, n_b = np.searchsorted(ends_b, cuts), np.searchsorted(ends_b, cuts, "right")

@@ -51,7 +51,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_PARAGRAPH = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_ASIDE = frozenset("nav footer aside form menu dialog select button fieldset".split())
+_ASIDE = frozenset("nav footer aside menu dialog select button".split())
+#: Elements that are asides unless they hold most of the page's sentences, as a form around the whole page does.
+_FORMS = frozenset("form fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*+display\s*+:\s*+none\b", re.I)
@@ -78,6 +80,8 @@ SAME_PARENT, SAME_GRANDPARENT, NEXT, SIBLING = 250, 100, 30, 150
 OTHER_MARKS = 0.2
 SAMPLE_PAGES, PRIOR_BLOCKS, NAME_BUCKETS = 2000, 200, 256
 _HIDE, _ARTICLE, _MAIN, _ASIDES, _HEADER = 1, 2, 4, 8, 16
+#: Letters from which a block counts as sentences that a form is held to wrap, rather than to ask for something.
+LONG = 100
 _TEXT_FEATURES = 5
 
 
@@ -90,6 +94,7 @@ class Block(NamedTuple):
     links: float
     named: int
     names: tuple[int, ...]
+    forms: tuple[int, ...] = ()  # numbers of the forms around it, negative for those within an article
 
 
 class Model(NamedTuple):
@@ -155,7 +160,7 @@ def _marks(tag: str, given: dict[str, str], above: tuple) -> tuple[int, int, tup
         names = f"{given.get('class', '')} {given.get('id', '')}".split()
         if names and tag not in ("body", "html", "main"):
             named = min(named, *map(name_score, names))
-            hashed = tuple({zlib.crc32(n.lower().encode("utf-8", "replace")) % NAME_BUCKETS for n in names[:16]})
+            hashed = tuple({zlib.crc32(n.lower().encode("utf-8", "replace")) % NAME_BUCKETS for n in names})
             if tag != "article" and not named and any(not _CONTENT.isdisjoint(_WORDS.findall(n.lower())) for n in names):
                 flags |= _MAIN
     return flags, named, hashed
@@ -164,7 +169,7 @@ def _marks(tag: str, given: dict[str, str], above: tuple) -> tuple[int, int, tup
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple] = [("", 0, 0, 0, ())]  # tag, flags, number of the element, score and hashes of names
+    stack: list[tuple] = [("", 0, 0, 0, (), ())]  # tag, flags, number of the element, score and hashes of names, forms around it
     open_tags: Counter = Counter()
     parts: list[str] = []
     linked, in_link, number = 0, False, 0
@@ -177,7 +182,7 @@ def blocks(page: str) -> list[Block]:
             top = stack[-1]
             if text and not top[1] & _HIDE:
                 up = [stack[-k][2] if len(stack) >= k else -1 for k in (2, 3)]
-                out.append(Block(text, top[1], *up, top[0], min(linked / len(text), 1.0), top[3], top[4]))
+                out.append(Block(text, top[1], *up, top[0], min(linked / len(text), 1.0), top[3], top[4], top[5]))
             parts.clear()
         linked = 0
 
@@ -256,10 +261,31 @@ def blocks(page: str) -> list[Block]:
         number += 1
         given = _values(attributes) if attributes and not attributes.isspace() else {}
         flags, named, hashed = _marks(tag, given, stack[-1])
-        stack.append((tag, flags, number, named, hashed))
+        stack.append((tag, flags, number, named, hashed, (*stack[-1][5], -number if flags & _ARTICLE else number) if tag in _FORMS else stack[-1][5]))
         open_tags[tag] += 1
     flush()
-    return out
+    return _forms_judged(out)
+
+
+def _forms_judged(found: list[Block]) -> list[Block]:
+    """Blocks with the mark of an aside where a form around them isn't one that wraps the page's article.
+
+    A form wraps it if it has an article element within, or more than half of the
+    page's letters in long blocks (of at least ``LONG`` letters, at most half of
+    them in links, in no aside).
+    """
+    if not any(b.forms for b in found):
+        return found
+    inside: Counter = Counter()
+    wraps, total = set(), 0
+    for b in found:
+        if b.flags & _ARTICLE:
+            wraps.update(form for form in b.forms if form > 0)
+        if len(b.text) >= LONG and b.links <= 0.5 and not b.flags & _ASIDES:
+            total += len(b.text)
+            for form in b.forms:
+                inside[form] += len(b.text)
+    return [b._replace(flags=b.flags | _ASIDES) if any(form not in wraps and 2 * inside[form] <= total for form in b.forms) else b for b in found]
 
 
 def text_features(b: Block) -> tuple[float, ...]:

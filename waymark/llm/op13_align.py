@@ -50,7 +50,7 @@ class Vocabularies:
     (``cuts``).  A batch's distinct words that the memo lacks are encoded together.
     """
 
-    def __init__(self, path_a: str, path_b: str, limit: int = 150_000, longest: int = 64):
+    def __init__(self, path_a: str, path_b: str, limit: int = 20_000, longest: int = 64):
         coder, pieces = Ids(path_a), Codec(path_b)
         self.encode_a, self.library, self.cuts = coder.encoding.encode_ordinary, pieces.library, pieces.cuts
         n = coder.encoding.max_token_value + 1
@@ -63,6 +63,9 @@ class Vocabularies:
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def _whole(self, text: str) -> bool:
         return not self.cuts or text[0] == " " or text[-1] == " " or "  " in text
 
@@ -178,9 +181,10 @@ def _kernel(path_a: str, path_b: str):
                 rows = aligner.rows([x.as_py() or "" for x in part.column("text")])
                 n_a, n_b, n_groups, n_links, pairs, times, digests = zip(*rows, strict=True)
                 cuts = pa.array(np.append(0, np.cumsum([len(p) for p in pairs])), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, times)]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x), kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
                 counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(digests, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+        aligner.tokens.forget()  # the worker stays, later stages need the memory
 
     return run
 
@@ -188,7 +192,7 @@ def _kernel(path_a: str, path_b: str):
 def aligned(docs: DataFrame, tokenizer: str | None = None, model: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and distinct linked ``pairs`` with how many ``times`` each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
     return rows.mapInArrow(_kernel(tokenizer or default_tokenizer(), model or default_model()), schema)
 
 

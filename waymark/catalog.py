@@ -18,8 +18,10 @@ from waymark.operators import quantiles as qt
 from waymark.operators import recordings as rec
 from waymark.operators import sampling as sa
 from waymark.operators import trajectory as tr
+from waymark.functions import tables
 from waymark.operators.lineage import settle, shared_folder
 from waymark.operators.near import near_pairs
+from waymark.plans import render, review
 from waymark.plans.clean import clean, clean_cells, clean_to
 from waymark.schema import VERSION, CleanParams
 from waymark.sources import views
@@ -295,16 +297,21 @@ def near_boxes(spark, d):
     return _round(met.select("source", "frame", "det_id", F.col("right_box_id").alias("box_id"), "distance"), "distance")
 
 
+def _with_fills(spark, d):
+    cells = settle(_jumped(spark, d))
+    return cells, settle(mt.chain_fill(cells, views.boxes(spark, d)))
+
+
 @query()
 def ambiguity_prune(spark, d):
-    cells, fills = _jumped(spark, d), chain_fill(spark, d).cache()
+    cells, fills = _with_fills(spark, d)
     pruned, _ = mt.prune_ambiguous(mt.apply_fills(cells, fills), mt.ambiguous_claims(fills))
     return pruned.where("n_pruned = 1").select("source", "tag_id", "pos", "ass_type")
 
 
 @query()
 def rechain(spark, d):
-    cells, fills, boxes = _jumped(spark, d), chain_fill(spark, d).cache(), views.boxes(spark, d)
+    (cells, fills), boxes = _with_fills(spark, d), views.boxes(spark, d)
     pruned, bans = mt.prune_ambiguous(mt.apply_fills(cells, fills), mt.ambiguous_claims(fills))
     return mt.rechain(pruned.drop("allowed"), mt.ban_boxes(boxes, bans))
 
@@ -481,6 +488,45 @@ def obb_export(spark, d):
     return _quads(spark, d).select("source", "quad_id", g.obb_line(F.lit(0), g.CORNERS, F.lit(float(FRAME_W)), F.lit(float(FRAME_H))).alias("line"))
 
 
+@query(f"""WITH {_QUAD}, fr AS (SELECT DISTINCT frame FROM quad WHERE frame >= 0 AND frame % 3 <> 0),
+pic AS (SELECT source, frame, source || '_' || lpad(frame::VARCHAR, 6, '0') AS name, CASE WHEN frame % 5 = 0 THEN 'val' ELSE 'train' END AS part FROM (SELECT DISTINCT source FROM quad) s, fr),
+kq AS (SELECT quad.*, format('0' || repeat(' {{:.6f}}', 8), c0x/{FRAME_W}.0, c0y/{FRAME_H}.0, c1x/{FRAME_W}.0, c1y/{FRAME_H}.0, c2x/{FRAME_W}.0, c2y/{FRAME_H}.0, c3x/{FRAME_W}.0, c3y/{FRAME_H}.0) AS line
+  FROM quad JOIN ms USING (source, frame, quad_id)
+  WHERE CASE WHEN quad_id % 11 = 0 THEN false WHEN quad_id % 7 = 0 THEN true ELSE area BETWEEN {_LIMITS["area_min"]} AND {_LIMITS["area_max"]} AND angle_min >= {_LIMITS["angle_min"]} AND angle_max <= {_LIMITS["angle_max"]}
+    AND side_min >= {_LIMITS["side_min"]} AND side_max <= {_LIMITS["side_max"]} AND ratio >= {_LIMITS["ratio_min"]} END)
+SELECT part || '/labels/' || name || '.txt' AS file, coalesce(string_agg(line, chr(10) ORDER BY quad_id), '') || chr(10) AS content FROM pic LEFT JOIN kq USING (source, frame) GROUP BY ALL""")
+def review_labels(spark, d):
+    quads, i = _quads(spark, d), F.col("quad_id")
+    choice = F.when(i % 11 == 0, "exclude").when(i % 7 == 0, "include")
+    seen = quads.where("frame >= 0").select("frame", F.when(choice.isNotNull(), F.struct(i.cast("string").alias("k"), choice.alias("v"))).alias("o")).distinct()
+    per = seen.groupBy("frame").agg(F.map_from_entries(F.collect_list("o")).alias("overrides"))
+    frame = F.struct(F.col("frame").cast("string").alias("k"), F.struct(F.when(F.col("frame") % 3 == 0, "rejected").otherwise("accepted").alias("status"), "overrides").alias("v"))
+    sessions = per.groupBy(F.expr("frame DIV 500")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(frame)).alias("frames"))).alias("value")).select("value")
+    candidates = quads.withColumnRenamed("source", "experiment")
+    experiments = candidates.select("experiment", F.lit(FRAME_W).alias("width"), F.lit(FRAME_H).alias("height")).distinct()
+    by_frame = lambda pictures: pictures.withColumn("part", F.when(F.col("frame") % 5 == 0, "val").otherwise("train"))
+    files = review.review_export(candidates, experiments, review.decisions(sessions), _LIMITS, by_frame)
+    return files.select("file", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT DISTINCT s_suppkey, unnest(list_append(range(s_suppkey % 10, s_suppkey % 10 + s_nationkey % 4 + 1), 20 + s_nationkey))::INT AS idx FROM supplier WHERE s_suppkey % 9 <> 0")
+def index_specs(spark, d):
+    tables.register(spark)
+    low, n = F.col("s_suppkey") % 10, F.col("s_nationkey")
+    spec = F.when(F.col("s_suppkey") % 9 != 0, F.concat_ws("", low.cast("string"), F.lit("-"), (low + n % 4).cast("string"), F.lit(", "), (20 + n).cast("string")))
+    specs = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", spec.alias("spec"))
+    return spark.sql("SELECT s_suppkey, idx FROM {specs} s, LATERAL index_spec(s.spec) i", specs=specs)
+
+
+@query("""SELECT p_partkey, unnest(['brand', 'size', 'nested.price', 'nested.small']) AS key, unnest([NULL, p_size::DOUBLE, p_retailprice::DOUBLE, NULL]) AS number,
+       unnest([p_brand, NULL, NULL, CASE WHEN p_size < 20 THEN 'true' ELSE 'false' END]) AS word FROM part""")
+def preset_entries(spark, d):
+    tables.register(spark)
+    nested = F.struct(F.col("p_retailprice").cast("double").alias("price"), (F.col("p_size") < 20).alias("small"))
+    presets = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), nested.alias("nested"))).alias("preset"))
+    return spark.sql("SELECT p_partkey, key, number, word FROM {presets} p, LATERAL preset_entries(p.preset) e", presets=presets)
+
+
 _VISIBLE = _GRID + """,
 vis AS (SELECT source, frame, count(center_x) AS n_visible FROM s0 GROUP BY source, frame), nt AS (SELECT source, count(DISTINCT tag_id) AS n_tags FROM s0 GROUP BY source)"""
 
@@ -679,6 +725,21 @@ def trail_points(spark, d):
     return t.select("source", "tag_id", "pos", F.size("trail").cast("long").alias("n_points"), F.round(total, 6).alias("sum_x"))
 
 
+_TRAIL = "count(center_x) OVER (PARTITION BY source, tag_id ORDER BY pos ROWS BETWEEN {0} PRECEDING AND {1} PRECEDING)"
+
+
+@query(f"""WITH {_GRID}{_BOX[len(_OBS):]}, t AS (SELECT source, frame, tag_id, pos, {_TRAIL.format(50, 41)} AS n1, {_TRAIL.format(40, 31)} AS n2, {_TRAIL.format(30, 4)} AS n3 FROM s0),
+lines AS (SELECT source, frame, unnest([1, 2, 3]) AS thickness, unnest([n1, n2, n3]) AS n FROM t WHERE pos > 54),
+items AS (SELECT source, frame, 'label' AS kind, CASE WHEN tag_id = 7 THEN 19 ELSE 12 END AS thickness, 1 AS n, CAST(trunc(center_x) AS BIGINT) + 40 AS x FROM s0 WHERE center_x IS NOT NULL
+  UNION ALL SELECT source, frame, 'trail', thickness, n, 0 FROM lines WHERE n > 0
+  UNION ALL SELECT source, frame, 'box', 1, 4, CAST(trunc(box_x1) AS BIGINT) FROM box)
+SELECT source, frame, kind, CAST(thickness AS INTEGER) AS thickness, count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_points, CAST(sum(x) AS BIGINT) AS sum_x FROM items GROUP BY ALL""")
+def render_items(spark, d):
+    items = render.render_plan(_stamped(spark, d), views.boxes(spark, d), None, render.RenderParams(highlight=(7,)))
+    x = F.when(F.col("kind") != "trail", F.get("points", F.lit(0))["x"]).otherwise(0).cast("long")
+    return items.groupBy("source", "frame", "kind", "thickness").agg(F.count("*").alias("n_items"), F.sum(F.size("points")).alias("n_points"), F.sum(x).alias("sum_x"))
+
+
 @query(f"""WITH {_BOX}, u AS (SELECT DISTINCT source, frame, round_even(center_x, 1) AS x, round_even(center_y, 1) AS y FROM obs WHERE NOT is_box)
 SELECT source, frame, box_id, CASE WHEN u.x IS NOT NULL THEN 'inferred' ELSE 'open' END AS state FROM box LEFT JOIN u USING (source, frame) WHERE false
 UNION ALL SELECT b.source, b.frame, b.box_id, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.source = b.source AND u.frame = b.frame AND u.x = round_even(b.center_x, 1) AND u.y = round_even(b.center_y, 1)) THEN 'inferred' ELSE 'open' END FROM box b""")

@@ -165,11 +165,13 @@ def manifest_totals(crops: DataFrame) -> DataFrame:
 
 def manifest_info(crops: DataFrame) -> DataFrame:
     """One row for test sets: whether they have no truth (yield mode), the tag family if there is just one, and the valid ids."""
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("gt_ids", F.array().cast("array<bigint>"))))))
+    each = crops.select(F.explode("gt_ids").alias("id")).distinct()  # one row an id before they meet
+    ids = each.agg(F.array_sort(F.collect_list("id")).alias("valid_ids"))
     a = crops.agg(
         F.count("*").alias("n_crops"), F.count_if(F.size("gt_ids") > 0).alias("n_with_gt"), F.coalesce(F.bool_or(F.col("gt_mode") == "yolo"), F.lit(False)).alias("_flag"),
-        F.countDistinct("tag_family").alias("_n"), F.max("tag_family").alias("_family"), ids.alias("valid_ids"),
+        F.countDistinct("tag_family").alias("_n"), F.max("tag_family").alias("_family"),
     )
+    a = a.join(ids, F.lit(True))  # one row each
     bare = (F.col("n_crops") > 0) & (F.col("n_with_gt") == 0)
     return a.select((F.col("_flag") | bare).alias("yield_mode"), F.when(F.col("_n") == 1, F.col("_family")).alias("tag_family"), "valid_ids", "n_crops", "n_with_gt")
 

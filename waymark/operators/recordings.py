@@ -46,11 +46,24 @@ def to_mm(value: Column, mm_per_px: Column) -> Column:
     return value * mm_per_px
 
 
+#: Thickness of a trail by how many of its oldest frames lie before: ten thin ones, ten middle ones, then thick.
+RAMP = ((10, 1), (20, 2))
+THICKEST = 3
+
+
+def ramp(place: Column) -> Column:
+    """Thickness of a trail at its ``place``-th frame, counted from the oldest, whether the tag is known there or not."""
+    return F.when(place < RAMP[0][0], RAMP[0][1]).when(place < RAMP[1][0], RAMP[1][1]).otherwise(THICKEST)
+
+
 def trails(cells: DataFrame, length: int = 50, skip: int = 4) -> DataFrame:
-    """Positions that a renderer draws behind a tag: ``length`` to ``skip`` frames back, oldest first."""
+    """Positions that a renderer draws behind a tag: ``length`` to ``skip`` frames back, oldest first, each with its ``thickness``."""
     w = Window.partitionBy(*TRACK).orderBy("pos").rowsBetween(-length, -skip)
-    points = F.collect_list(F.when(F.col("center_x").isNotNull(), F.struct("center_x", "center_y"))).over(w)
-    return cells.withColumn("trail", F.when(F.col("pos") > length + skip, points))
+    known = F.col("center_x").isNotNull() & F.col("center_y").isNotNull()
+    points = F.collect_list(F.when(known, F.struct("center_x", "center_y", "pos"))).over(w)
+    c = cells.withColumn("_t", F.when(F.col("pos") > length + skip, points))
+    placed = F.transform("_t", lambda p: F.struct(p["center_x"].alias("center_x"), p["center_y"].alias("center_y"), ramp(p["pos"] - (F.col("pos") - length)).alias("thickness")))
+    return c.withColumn("trail", placed).drop("_t")
 
 
 def box_states(boxes: DataFrame, cells: DataFrame) -> DataFrame:

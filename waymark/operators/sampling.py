@@ -10,6 +10,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.lineage import settle
+
 
 def _stride(n: Column, sample: int) -> Column:
     return F.greatest(F.lit(1), F.floor(n / sample))
@@ -149,7 +151,7 @@ def crop_dataset(crops: DataFrame, min_count: int, share: float, train_types=(1,
     records = records.withColumn("_n", F.count("*").over(Window.partitionBy("tag_id"))).where(F.col("_n") >= min_count).drop("_n")
     parted = experiment_split(records, share)
     sides = F.size(F.collect_set("part").over(Window.partitionBy("tag_id")))
-    parted = parted.withColumn("_sides", sides).cache()
+    parted = settle(parted.withColumn("_sides", sides))
     both = parted.where("_sides = 2").drop("_sides")
     alone = tail_split(parted.where("_sides < 2").drop("_sides", "part"), share)
     every = both.unionByName(alone)

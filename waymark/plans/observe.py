@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import images
 from waymark.operators import boxes as bx
+from waymark.operators.lineage import settle
 from waymark.schema import CORNERS
 
 
@@ -80,13 +81,13 @@ def decode_strips(frames: DataFrame, layout: DataFrame, decoder: Callable, param
 def observe(frames: DataFrame, detector: Callable, decoder: Callable, params: ObserveParams = ObserveParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Detections, boxes (with ``decoded``) and lone quads of undecoded boxes."""
     size = frames.select("source", "frame", "width", "height")
-    boxes = detect_boxes(frames, detector, params).cache()
+    boxes = settle(detect_boxes(frames, detector, params))
     sized = boxes.join(size.withColumnsRenamed({"width": "_width", "height": "_height"}), ["source", "frame"])
-    layout = bx.crop_layout(sized, F.col("_width"), F.col("_height"), params.pad_ratio).drop("_width", "_height").cache()
+    layout = settle(bx.crop_layout(sized, F.col("_width"), F.col("_height"), params.pad_ratio).drop("_width", "_height"))
     found = bx.decodes_to_boxes(decode_strips(frames, layout, decoder, params), layout)
     x, y = F.col("crop_x1") - F.col("strip_x"), F.col("crop_y1")
     placed = found.join(layout.select("source", "frame", "box_id", "crop_x1", "crop_y1", "strip_x"), ["source", "frame", "box_id"])
-    placed = placed.withColumns({c: (F.col(c) + (x if c.endswith("x") else y)).cast("float") for c in CORNERS}).cache()
+    placed = settle(placed.withColumns({c: (F.col(c) + (x if c.endswith("x") else y)).cast("float") for c in CORNERS}))
     tags = bx.near_box_center(bx.valid_ids(placed.where("tag_id >= 0"), params.max_tag_id, params.silenced), params.max_offset_ratio)
     marked = bx.all_boxes(boxes, tags)
     detections = tags.select("source", "frame", F.col("decode_idx").alias("det_id"), "tag_id", "center_x", "center_y", *CORNERS)

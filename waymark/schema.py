@@ -51,6 +51,7 @@ class CleanParams:
     tag_mm: float = 0.4
     fail_if_empty: bool = False
     slab: int | None = None  # positions of a track that a task holds; None: whole tracks
+    snapshots: str | None = None  # folder for the state after each step with boxes, for debugging
 
 
 class TrackingError(Exception):

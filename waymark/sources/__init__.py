@@ -274,6 +274,27 @@ def first_existing(spark: SparkSession, candidates: list[str], given: str | None
     return candidates[min(1, len(candidates) - 1)]
 
 
+#: Blue, green and red of the colours that have names.
+COLORS = {
+    "red": (0, 0, 255), "green": (0, 255, 0), "blue": (255, 0, 0), "yellow": (0, 255, 255),
+    "cyan": (255, 255, 0), "magenta": (255, 0, 255), "white": (255, 255, 255), "black": (0, 0, 0),
+}
+
+
+def parse_color(text: str) -> tuple[int, int, int]:
+    """Blue, green and red of a named colour or of ``R,G,B`` from 0 to 255."""
+    word = text.strip().lower()
+    if word in COLORS:
+        return COLORS[word]
+    m = re.fullmatch(r"\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*", text)
+    if not m:
+        raise ValueError(f"neither a named colour nor R,G,B: {text!r}")
+    channels = tuple(int(x) for x in reversed(m.groups()))
+    if not all(0 <= c <= 255 for c in channels):
+        raise ValueError(f"channels go from 0 to 255: {text!r}")
+    return channels
+
+
 def tag_colors(tags: list[int], seed: int = 42) -> dict[int, tuple[int, int, int]]:
     """A colour for each tag in the order given, the same at each run."""
     rng = np.random.default_rng(seed)

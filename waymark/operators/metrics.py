@@ -40,12 +40,14 @@ def quality_metrics(cells: DataFrame) -> DataFrame:
     """
     sums = metric_sums(cells)
     bits = q.ordered_bits(F.col("move_px")) if "move_px" in cells.columns else F.lit(None).cast("long")
-    per = cells.groupBy("source", bits.alias("bits")).agg(F.array(*sums.values()).alias("_v"))
-    total = lambda k: F.sum(F.get("_v", F.lit(k)))
-    a = per.groupBy("source").agg(*[total(k).alias(name) for k, name in enumerate(sums)])
-    moves = per.where("bits IS NOT NULL").select("source", "bits", F.get("_v", F.lit(0)).alias("n"))
+    # as one text, of which no reader can drop a part: all read the same shuffle
+    per = cells.groupBy("source", bits.alias("bits")).agg(F.concat_ws(",", *[c.cast("string") for c in sums.values()]).alias("_v"))
+    per = per.withColumn("_v", F.split("_v", ",").cast("array<bigint>"))
+    a = per.groupBy("source").agg(*[F.sum(F.get("_v", F.lit(k))).alias(name) for k, name in enumerate(sums)])
+    moves = per.select("source", "bits", F.when(F.col("bits").isNull(), F.lit(0).cast("long")).otherwise(F.get("_v", F.lit(0))).alias("n"))
     limits = q.of_counts(moves, ["source"], {"max_move_px": 0.99})
-    a = a.join(limits, "source", "left").withColumn("max_move_px", F.coalesce("max_move_px", F.lit(float("inf"))))
+    a = a.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    a = a.withColumn("max_move_px", F.coalesce("max_move_px", F.lit(float("inf"))))
     s, g, j = F.col("total_samples"), F.col("original_good_count"), F.col("original_bad_count")
     a = a.withColumn("original_missing_count", s - g).withColumn("total_detections", g + j)
     a = a.withColumn("total_gaps", F.col("original_missing_count") + j)

@@ -45,7 +45,7 @@ def from_bits(bits: Column) -> Column:
 
 
 def of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float], bits: str = "bits", n: str = "n") -> DataFrame:
-    """One row a key with a column for each name of ``probabilities``, from counted values (keys, ``bits``, ``n``)."""
+    """One row a key with a column for each name of ``probabilities``, from counted values (keys, ``bits``, ``n``; null bits count as often as ``n`` says, 0 for not at all)."""
     rows = counts.select(*keys, F.col(bits).alias("_bits"), F.col(n).alias("_n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probabilities.items()])
     by = Window.partitionBy(*keys)
@@ -58,7 +58,7 @@ def of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float
     found = first.withColumns({"_before": before, "_total": total}).withColumn("_rank", F.explode(ranks))
     picks = _pick(found).select(*keys, "_total", "_rank", "_b", (F.col("_rank") - F.col("_before")).alias("_left"))
     for shift, wider in zip(_STEPS[1:], _STEPS, strict=False):
-        inside = rows.withColumn("_b", prefix(wider)).join(picks, [*keys, "_b"])
+        inside = _same(rows.withColumn("_b", prefix(wider)), picks, [*keys, "_b"])
         level = inside.groupBy(*keys, "_total", "_rank", "_left", prefix(shift).alias("_c")).agg(F.sum("_n").alias("_m"))
         own = Window.partitionBy(*keys, "_rank")
         before = F.coalesce(F.sum("_m").over(own.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -75,6 +75,13 @@ def of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float
     return each.select(*keys, *[quantile(p).alias(name) for name, p in probabilities.items()])
 
 
+def _same(rows: DataFrame, picks: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join that takes nulls as equal; the optimizer then adds no filter to ``rows``, so all steps read one shuffle of them."""
+    named = picks.withColumnsRenamed({c: f"_p_{c}" for c in on})
+    met = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in on]
+    return rows.join(named, met, "inner").drop(*[f"_p_{c}" for c in on])
+
+
 def _pick(found: DataFrame) -> DataFrame:
     return found.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_m")))
 

@@ -184,10 +184,12 @@ def with_moves(cells: DataFrame, way: str = "asc", slab: int | None = None) -> D
 
 def max_move(cells: DataFrame) -> DataFrame:
     """Of each source the 99th percentile of ``move_px``; infinite if there are no moves."""
-    counts = with_moves(cells).groupBy("source", q.ordered_bits(F.col("move_px")).alias("bits")).agg(F.count("*").alias("n"))
-    limits = q.of_counts(counts.where("bits IS NOT NULL"), ["source"], {"max_move_px": 0.99})
-    every = counts.select("source").distinct()
-    return every.join(limits, "source", "left").select("source", F.coalesce("max_move_px", F.lit(float("inf"))).alias("max_move_px"))
+    bits = q.ordered_bits(F.col("move_px"))
+    counts = with_moves(cells).groupBy("source", bits.alias("bits")).agg(F.count("*").alias("_n"))
+    moves = counts.select("source", "bits", F.when(F.col("bits").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n")).alias("n"))
+    limits = q.of_counts(moves, ["source"], {"max_move_px": 0.99}).withColumnRenamed("source", "_s")
+    every = counts.groupBy("source").agg(F.sum("_n").alias("_n"))  # reads the same shuffle
+    return every.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("max_move_px", F.lit(float("inf"))).alias("max_move_px"))
 
 
 def enclosing_originals(cells: DataFrame, slab: int | None = None) -> DataFrame:

@@ -179,7 +179,7 @@ def test_op3_distrust_flows_back(spark):
 
 
 def test_op3_climbs_all_domains(spark):
-    long = ".".join(["a"] * 200)  # no name in DNS
+    long = ".".join(f"a{k}" for k in range(200))  # more labels than a name in DNS has
     rows = [(1, "http://k.l.m.deep.net/1", ""), (2, "http://deep.net/2", ""), (3, f"http://{long}.other.net/", ""), (4, "http://other.net/", ""), (5, "http://a..b.net/", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in op3_urls.filter_urls(pages, [("k.l.m.deep.net", "/", "block")]).collect()}
@@ -187,9 +187,21 @@ def test_op3_climbs_all_domains(spark):
     hosts = spark.createDataFrame([("k.l.m.deep.net",), ("a..b.net",), (f"{long}.net",)], "host string")
     edges = {(r["src"], r["dst"]) for r in op3_urls.host_edges(pages.where("false"), hosts).collect()}
     up = {("k.l.m.deep.net", "l.m.deep.net"), ("l.m.deep.net", "m.deep.net"), ("m.deep.net", "deep.net"), (".b.net", "b.net")}
+    labels = f"{long}.net".split(".")
+    suffix = lambda n: ".".join(labels[-n:])
+    up |= {(suffix(201), suffix(127))} | {(suffix(n), suffix(n - 1)) for n in range(127, 2, -1)}
     assert edges == up | {(b, a) for a, b in up}
 
 
+def test_op3_hubs_are_dealt_over_parts(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 60}.net/en/{k}", f"<a href='http://hub.com/de/'>x</a><a href='//h{(k * 7) % 60}.net'>y</a>") for k in range(200)] + [(900, "http://hub.com/de/1", "".join(f"<a href='http://h{k}.net/'>z</a>" for k in range(60)))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = frame(op3_urls.filter_urls(pages).drop("trust", "distrust").toPandas())
+    monkeypatch.setattr(op3_urls, "HUB_EDGES", 5)
+    got = op3_urls.filter_urls(pages)
+    assert frame(got.drop("trust", "distrust").toPandas()) == want == by_sql(op3_urls.SQL, pages=pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+
+
 def check_packing(rows, given):
     tokenizer = op4_packing.ids_of(op4_packing.default_tokenizer()).library
     want = Counter()

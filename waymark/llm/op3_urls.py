@@ -3,7 +3,8 @@
 Rules decide the urls they fit.  For the rest, hosts are scored on a graph of
 host edges: links (``href`` of ``a``) found in the pages, plus an edge each way between a host and
 the domain above it, between that and the next, and so on down to two labels (a
-string of over 253 characters is no name in DNS, and has no domain above it).  Trust is a personalised
+host of over ``MAX_LABELS`` labels, more than a name in DNS can have, goes to its
+last ``MAX_LABELS`` in one step).  Trust is a personalised
 PageRank from hosts with allowed pages, distrust the same on reversed edges
 from hosts with blocked pages.  A host is blocked if its share of distrust,
 distrust / (trust + distrust), exceeds ``max_distrust``; hosts that no score
@@ -15,8 +16,10 @@ has no links; an empty table gives an empty result; other columns are ignored.
 
 Both scores run in one loop of ``ROUNDS`` rounds.  A round moves on ``DAMPING`` of
 the weight that the last one moved, so at most ``DAMPING ** ROUNDS`` of all weight,
-a fifth, has not reached its place (README has why there aren't more).  Hubs are salted: edges are
-dealt over ``SALTS`` parts of their source, scores are copied to each.
+a fifth, has not reached its place (README has why there aren't more).  The edges
+of a hub are dealt over as many parts as it needs, and its score is copied to
+each; which hosts are hubs follows from their counted edges (at most
+``BROADCAST_ROWS`` hosts can be).  Edges never meet by host without that.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_lookup, settle, table
+from .common import BROADCAST_ROWS, join_lookup, settle, table
 
 #: (host, path, verdict), longest rule first wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
-ROUNDS, DAMPING, MAX_DISTRUST, SALTS, SETTLE_EVERY = 10, 0.85, 0.6, 8, 5
-MAX_HOST = 253
+ROUNDS, DAMPING, MAX_DISTRUST, SETTLE_EVERY = 10, 0.85, 0.6, 5
+MAX_LABELS = 127
+#: Edges of one host that a task may get, unless there are so many edges that more hosts than can be broadcast have them.
+HUB_EDGES = 4096
 _DOMAIN = r"^[^.]+\..+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,10 +67,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
         .select("src", ascii_lower("dst").alias("dst"))
     )
     labels = F.split("host", r"\.")
-    deep = hosts.where(F.length("host") <= MAX_HOST).select("host", labels.alias("l")).where(F.size("l") > 2)
+    last = F.slice(labels, F.greatest(F.size(labels) - (MAX_LABELS - 1), F.lit(1)), MAX_LABELS)
+    deep = hosts.select("host", last.alias("l")).where(F.size("l") > 2)
     steps = deep.select("l", F.explode(F.sequence(F.lit(1), F.size("l") - 2)).alias("i"))
     below = lambda k: F.array_join(F.slice("l", F.col("i") + k, F.size("l")), ".")
     up = steps.select(below(0).alias("src"), below(1).alias("dst")).where(F.col("dst").rlike(_DOMAIN))
+    up = up.unionByName(hosts.where(F.size(labels) > MAX_LABELS).select(F.col("host").alias("src"), F.array_join(last, ".").alias("dst")))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     every = links.unionByName(up).unionByName(down)
     return every.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
@@ -76,14 +83,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 
     ``seeds`` has (kind, host, share), shares of a kind adding up to 1.
     """
-    flow = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    flow = settle(edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))))
     out = flow.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    flow = settle(flow.join(out, ["kind", "src"]).withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")))
+    out = settle(out)
+    many = max(HUB_EDGES, -(-flow.count() // BROADCAST_ROWS))  # no more than BROADCAST_ROWS hosts have that many edges
+    parts = F.ceil(F.col("degree") / many).cast("int")
+    hubs = out.where(F.col("degree") > many).select("kind", "src", parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")), F.lit(0)).cast("int")
+    flow = settle(flow.join(F.broadcast(hubs), ["kind", "src"], "left").select("kind", "src", "dst", salt.alias("salt")))
     start = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("score"))
     scores = start
     for k in range(1, rounds + 1):
-        dealt = scores.select("kind", F.col("host").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        moved = flow.join(dealt, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("score") * damping / F.col("degree")).alias("score"))
+        per = scores.withColumnRenamed("host", "src").join(out, ["kind", "src"])
+        dealt = per.select("kind", "src", (F.col("score") * damping / F.col("degree")).alias("score"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        moved = flow.join(dealt, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), "score")
         scores = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if k % SETTLE_EVERY == 0 and k < rounds:
             scores = settle(scores)
@@ -132,8 +145,9 @@ def _sql() -> str:
 u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{url}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{url}', 2) AS path FROM pages),
 r AS (SELECT *, {case(0)} AS rule, {case(1)} AS v FROM u),
 c AS (SELECT host, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM r WHERE host <> '' GROUP BY host),
-up1 AS (SELECT k, unnest(range(1, len(k) - 1)) AS i FROM (SELECT string_split(host, '.') AS k FROM c WHERE length(host) <= {MAX_HOST})),
-up AS (SELECT src, dst FROM (SELECT array_to_string(k[i:], '.') AS src, array_to_string(k[i + 1:], '.') AS dst FROM up1) WHERE regexp_matches(dst, '{_DOMAIN}')),
+up0 AS (SELECT host, len(ks) AS n, ks[greatest(len(ks) - {MAX_LABELS - 1}, 1):] AS k FROM (SELECT host, string_split(host, '.') AS ks FROM c)),
+up1 AS (SELECT k, unnest(range(1, len(k) - 1)) AS i FROM up0),
+up AS (SELECT host AS src, array_to_string(k, '.') AS dst FROM up0 WHERE n > {MAX_LABELS} UNION ALL SELECT src, dst FROM (SELECT array_to_string(k[i:], '.') AS src, array_to_string(k[i + 1:], '.') AS dst FROM up1) WHERE regexp_matches(dst, '{_DOMAIN}')),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM u WHERE html IS NOT NULL),
 e AS (SELECT DISTINCT src, dst FROM (SELECT * FROM l UNION ALL SELECT * FROM up UNION ALL SELECT dst, src FROM up) WHERE src <> '' AND dst <> '' AND src <> dst),
 f0 AS (SELECT 'trust' AS kind, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e),

@@ -78,7 +78,7 @@ FULL = 200  # letters from which length says no more
 SAME_PARENT, SAME_GRANDPARENT, NEXT, SIBLING = 250, 100, 30, 150
 #: The part of an edge that is left between blocks of different marks.
 OTHER_MARKS = 0.2
-SAMPLE_PAGES, PRIOR_BLOCKS, NAME_BUCKETS = 2000, 200, 256
+SAMPLE_PAGES, PRIOR_BLOCKS, NAME_BUCKETS, FIT_ROWS = 2000, 200, 256, 10_000
 _HIDE, _ARTICLE, _MAIN, _ASIDES, _HEADER = 1, 2, 4, 8, 16
 #: Letters from which a block counts as sentences that a form is held to wrap, rather than to ask for something.
 LONG = 100
@@ -418,21 +418,33 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
         return Model()
     kinds = kinds.iloc[np.lexsort((kinds["features"].map(str), kinds["label"]))]
     y = kinds["label"].to_numpy(float)
-    x = np.zeros((len(kinds), _TEXT_FEATURES + NAME_BUCKETS))
-    x[:, :_TEXT_FEATURES] = np.stack(kinds["features"].tolist())
-    for i, names in enumerate(kinds["names"]):
-        x[i, _TEXT_FEATURES + np.array(names, int)] = 1
+    text = np.stack(kinds["features"].tolist())
+    names = kinds["names"].tolist()
     times = kinds["count"].to_numpy(float)
     for label in (0.0, 1.0):
         times[y == label] *= PRIOR_BLOCKS / 2 / times[y == label].sum()
-    given = np.zeros(x.shape[1])
+    size = _TEXT_FEATURES + NAME_BUCKETS
+    given = np.zeros(size)
     given[:_TEXT_FEATURES] = np.array([BIAS, LENGTH, SENTENCE, HEADING, LINKS]) / 100
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss, from ``FIT_ROWS`` rows at a time."""
+        slope, bend = np.zeros(size), np.zeros((size, size))
+        for at in range(0, len(y), FIT_ROWS):
+            part = slice(at, at + FIT_ROWS)
+            x = np.zeros((len(y[part]), size))
+            x[:, :_TEXT_FEATURES] = text[part]
+            for row, own in zip(x, names[part], strict=True):
+                row[_TEXT_FEATURES + np.array(own, int)] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (times[part] * (p - y[part]))
+            bend += (x * (times[part] * p * (1 - p))[:, None]).T @ x
+        return slope, bend
+
     w = given.copy()
     for _ in range(25):  # Newton's method; the penalty makes the problem strongly convex
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (times * (p - y)) + (w - given)
-        bend = (x * (times * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        slope, bend = sums(w)
+        step = np.linalg.solve(bend + np.eye(size), slope + (w - given))
         w -= step
         if np.abs(step).max() < 1e-6:
             break

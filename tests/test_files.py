@@ -62,6 +62,29 @@ def test_frames_of_many_videos(spark, video, tmp_path):
     assert got == [("a", 1, 1), ("a", 2, 1), ("a", 90, 1), ("b", 9, 1)]
 
 
+def test_videos_are_observed_where_they_are_read(spark, tmp_path):
+    from waymark.plans.observe import ObserveParams, observe_videos
+
+    image = np.zeros((60, 100), np.uint8)
+    image[10:20, 10:20], image[30:40, 60:70] = 200, 90
+    path = str(tmp_path / "v.raw")
+    files.write_raw_video(path, np.repeat(image[None, :, :, None], 40, 0).repeat(3, 3))
+
+    def detector(frame):
+        assert frame.shape == (60, 100)
+        return [(10, 10, 20, 20, 0.9), (11, 10, 20, 20, 0.5), (60, 30, 70, 40, 0.8), (0, 0, 5, 5, 0.01)]
+
+    def decoder(strip):
+        square = lambda y, x: [(x.min(), y.min()), (x.max(), y.min()), (x.max(), y.max()), (x.min(), y.max())]
+        return [(7, square(*np.nonzero(strip == 200)))], [square(*np.nonzero(strip == 90))]
+
+    wanted = spark.createDataFrame([("v", f) for f in (0, 3, 39, 70)], "source string, frame int")
+    d, b, q = observe_videos(spark.createDataFrame([("v", path)], "source string, path string"), wanted, detector, decoder, ObserveParams())
+    assert {(r["frame"], r["tag_id"], r["center_x"], r["center_y"], r["c0x"]) for r in d.collect()} == {(f, 7, 14.5, 14.5, 10.0) for f in (0, 3, 39)}
+    assert sorted((r["frame"], r["decoded"], r["tag_id"]) for r in b.collect()) == [(f, x, t) for f in (0, 3, 39) for x, t in ((False, -1), (True, 7))]
+    assert {(r["center_x"], r["center_y"]) for r in q.collect()} == {(64.5, 34.5)}
+
+
 def tree(path):
     return {os.path.relpath(os.path.join(d, f), path): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(path) for f in names}
 

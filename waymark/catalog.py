@@ -783,8 +783,8 @@ s AS (SELECT source, count(*) FILTER (nt > 0) AS total_with_gt, coalesce(sum(nt)
 SELECT *, CASE WHEN total_with_gt > 0 THEN round(correct_detections / total_with_gt, 6) ELSE 0.0 END AS detection_rate, CASE WHEN total_with_gt > 0 THEN round(all_gt_found / total_with_gt, 6) ELSE 0.0 END AS all_gt_rate,
  CASE WHEN total_gt_ids > 0 THEN round(individual_found / total_gt_ids, 6) ELSE 0.0 END AS individual_recall, CASE WHEN total_with_gt > 0 THEN round(false_positives / total_with_gt, 6) ELSE 0.0 END AS false_positive_rate FROM s""")
 def eval_counters(spark, d):
-    truth = _truth(spark, d)
-    t = ev.testset_counters(_crops(spark, d), truth, _scored(spark, d), truth.where("ass_type = 1"))
+    crops, truth, decodes = (settle(f(spark, d)) for f in (_crops, _truth, _scored))  # each is read several times
+    t = ev.testset_counters(crops, truth, decodes, truth.where("ass_type = 1"))
     return _round(t, "detection_rate", "all_gt_rate", "individual_recall", "false_positive_rate")
 
 

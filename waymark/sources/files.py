@@ -169,25 +169,46 @@ def read_frames(spark: SparkSession, path: str, decoder: str | None = None, seek
     return (reader.option("decoder", decoder) if decoder else reader).load(path)
 
 
-def frames_of(wanted: DataFrame, videos: DataFrame, decoder: str | None = None, seek_gap: int = 30, run_frames: int = 256) -> DataFrame:
-    """Frames of many videos: ``wanted`` (source, frame) of ``videos`` (source, path); each run of a video is decoded in a task of its own."""
+def frame_runs(wanted: DataFrame, seek_gap: int = 30, run_frames: int = 256) -> DataFrame:
+    """``wanted`` (source, frame and more) with the run of its video that it belongs to: ``run`` and ``part``, as :func:`runs` has them."""
     w = Window.partitionBy("source").orderBy("frame")
-    p = read_plan(wanted, seek_gap).withColumn("_run", F.sum(F.col("seek").cast("int")).over(w))
-    p = p.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("source", "_run").orderBy("frame")) - 1) / run_frames))
-    of_run = p.groupBy("source", "_run", "_part").agg(F.array_sort(F.collect_list("frame")).alias("frames")).join(videos, "source")
+    p = read_plan(wanted, seek_gap).withColumn("run", F.sum(F.col("seek").cast("int")).over(w))
+    p = p.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("source", "run").orderBy("frame")) - 1) / run_frames))
+    return wanted.join(p.select("source", "frame", "run", "part"), ["source", "frame"])
+
+
+def map_frames(wanted: DataFrame, videos: DataFrame, work: Callable, schema: str, decoder: str | None = None, seek_gap: int = 30, run_frames: int = 256) -> DataFrame:
+    """Rows that ``work`` makes of frames, each read by the task that needs it, so that no pixels are shuffled.
+
+    ``wanted`` has source, frame and what else ``work(source, row, more)`` gets as
+    ``more``: ``row`` is a row of ``FRAMES``, ``more`` the list of the other
+    columns' values, one tuple a row of that frame.  ``videos`` has source and
+    path.  A run of a video is decoded in one task.
+    """
+    rest = [c for c in wanted.columns if c not in ("source", "frame")]
+    of_frame = wanted.groupBy("source", "frame").agg(F.collect_list(F.struct(F.lit(0).alias("_"), *rest)).alias("more"))
+    of_run = frame_runs(of_frame, seek_gap, run_frames).groupBy("source", "run", "part").agg(F.collect_list(F.struct("frame", "more")).alias("frames")).join(videos, "source")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["source", *[c.split()[0] for c in FRAMES.split(", ")]]
         for batch in batches:
             for source, path, frames in batch[["source", "path", "frames"]].itertuples(index=False):
+                more = {int(f["frame"]): [tuple(m[c] for c in rest) for m in f["more"]] for f in frames}
                 video = opener(decoder)(path)
                 try:
-                    for row in decode_run(video, [int(f) for f in frames]):
-                        yield pd.DataFrame([(source, *row)], columns=columns)
+                    for row in decode_run(video, sorted(more)):
+                        made = list(work(source, row, more[row[0]]))
+                        if made:
+                            yield pd.DataFrame(made, columns=names)
                 finally:
                     video.close()
 
-    return of_run.select("source", "path", "frames").repartition("source", F.hash("frames")).mapInPandas(decode, "source string, " + FRAMES)
+    return of_run.select("source", "path", "frames").repartition("source", F.hash("frames.frame")).mapInPandas(decode, schema)
+
+
+def frames_of(wanted: DataFrame, videos: DataFrame, decoder: str | None = None, seek_gap: int = 30, run_frames: int = 256) -> DataFrame:
+    """Frames of many videos: ``wanted`` (source, frame) of ``videos`` (source, path)."""
+    return map_frames(wanted.select("source", "frame").distinct(), videos, lambda source, row, _: [(source, *row)], "source string, " + FRAMES, decoder, seek_gap, run_frames)
 
 
 @dataclass

@@ -284,3 +284,19 @@ def test_counters_without_rows(spark):
     r = ev.testset_counters(crops, ids.where("false"), ids, ids.where("false")).first()
     assert (r["no_gt_discoveries"], r["no_gt_hallucinations"]) == (0, 1)
     assert ev.cover(ids.withColumn("ass_type", F.lit(1)).where("false"), 3, 2) == []
+
+
+def test_sources_are_named_by_their_folders(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    rows = [(name, 0, 1, 1.0) for name in ("b c", "a:1", "z")]
+    sources.save(spark.createDataFrame(rows, "source string, frame int, tag_id long, center_x double"), path)
+    assert sources._source_names(spark.read.parquet(path), path) == ["a:1", "b c", "z"]
+    assert [r["source"] for r in sources.load(spark, path, 1).collect()] == ["b c"] and [r["source"] for r in sources.load(spark, path, -1).collect()] == ["z"]
+    numbered = str(tmp_path / "numbers")
+    sources.save(spark.createDataFrame([(n, 0, 1, 1.0) for n in ("10", "9")], "source string, frame int, tag_id long, center_x double"), numbered)
+    assert [str(r["source"]) for r in sources.load(spark, numbered, 0).collect()] == ["9"]
+    plain = str(tmp_path / "plain")
+    spark.createDataFrame(rows, "source string, frame int, tag_id long, center_x double").write.parquet(plain)
+    assert [r["source"] for r in sources.load(spark, plain, 0).collect()] == ["a:1"]
+    with pytest.raises(IndexError):
+        sources.load(spark, path, 3)

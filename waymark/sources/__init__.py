@@ -11,6 +11,7 @@ import json
 import re
 from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +95,22 @@ def nulls_for_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})
 
 
+def _source_names(df: DataFrame, path: str) -> list:
+    """The sources of a table in order: from the names of its folders if it is partitioned by source, else by reading that column."""
+    folders = [n.removeprefix("source=") for n in list_folder(df.sparkSession, path) if n.startswith("source=") and not n.endswith("__HIVE_DEFAULT_PARTITION__")]
+    if not folders:
+        return sorted(r["source"] for r in df.select("source").where("source IS NOT NULL").distinct().collect())
+    numbers = dict(df.dtypes)["source"] in ("int", "bigint")
+    return sorted(int(n) if numbers else unquote(n) for n in folders)
+
+
 def load(spark: SparkSession, path: str, index: int | None = None, corners: bool = True) -> DataFrame:
     """A table, of all sources or the one at a (also negative) place in name order; without corners if so asked."""
     df = spark.read.parquet(path)
     if not corners:
         df = df.drop(*CORNERS)
     if index is not None:
-        names = sorted(r["source"] for r in df.select("source").distinct().collect())
+        names = _source_names(df, path)
         if not -len(names) <= index < len(names):
             raise IndexError(f"there are {len(names)} sources, not one at {index}")
         df = df.where(F.col("source") == names[index])

@@ -10,6 +10,7 @@ from tests.test_tracking import CELL, boxes_of
 from waymark import catalog
 from waymark.operators import chains, near
 from waymark.operators import matching as mt
+from waymark.operators import trajectory as tr
 from waymark.operators.lineage import settle
 from waymark.plans.clean import clean_cells
 from waymark.schema import CleanParams
@@ -63,10 +64,27 @@ def test_the_plan_by_slabs_with_boxes(spark):
 
     d = detections(spark, n=150)
     boxes = settle(boxes_of(spark, [(f, 10 * t + 2, 5 * t) for f in range(0, 150, 2) for t in range(4)]))
-    whole = CleanParams(min_detections=20, max_jump=60.0, n_frames=150)
+    whole = CleanParams(min_detections=20, max_jump=60.0, n_frames=150, recover_long_gaps=True, min_gap=3, final_jump_pass=True)
     assert rows_of(clean_cells(d, boxes, whole)) == rows_of(clean_cells(d, boxes, CleanParams(**(whole.__dict__ | {"slab": 40}))))
 
 
+def test_rechain_and_recovery_by_stretches(spark):
+    cells, boxes = (settle(x) for x in scene(spark, 11, n=150))
+    cells = settle(tr.step_distance(cells))
+    fills = settle(mt.chain_fill(cells, boxes))
+    pruned, bans = mt.prune_ambiguous(mt.apply_fills(cells, fills), mt.ambiguous_claims(fills))
+    pruned, bans = settle(pruned), settle(bans)
+    assert bans.count() > 5
+    for given in (pruned, pruned.drop("allowed")):
+        want = rows_of(mt.rechain(given, mt.ban_boxes(boxes, bans)))
+        assert rows_of(chains.rechain(given, boxes, bans)) == want and want
+    sparse = settle(cells.withColumns({c: F.when((F.col("pos") + F.col("tag_id") * 7) % 40 < 6, F.col(c)) for c in ("center_x", "center_y")}).withColumn("ass_type", F.when(F.col("center_x").isNotNull(), F.col("ass_type")).otherwise(0)))
+    want = rows_of(mt.recover_long_gaps(sparse, boxes, 5))
+    assert rows_of(chains.recover_long_gaps(sparse, boxes, 5)) == want and len(want) > 20
+    later = settle(mt.apply_fills(sparse, settle(mt.chain_fill(sparse, boxes, 2))))  # with boxes in use
+    assert rows_of(chains.recover_long_gaps(later, boxes, 5)) == rows_of(mt.recover_long_gaps(later, boxes, 5))
+
+
 def test_a_chain_of_boxes_is_walked_to_its_end(spark):
     cells = spark.createDataFrame([("s", i, i, 1, 0.0 if i == 0 else None, 0.0 if i == 0 else None, int(i == 0)) for i in range(70)], CELL).withColumn("reach", F.lit(5.0))
     boxes = settle(boxes_of(spark, [(i, 3.0 * i, 0) for i in range(1, 70) if i % 3]))

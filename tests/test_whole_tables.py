@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from waymark import catalog
+from waymark.operators import chains
 from waymark.operators import matching as mt
 from waymark.operators import metrics as me
 from waymark.operators import trajectory as tr
@@ -187,6 +188,7 @@ def test_chain_prune_and_rechain(spark, tables):
         taken = r.in_use()
         want += [(s, *f) for way in ("forward", "backward") for f in r.chain(way, taken, cut[s][1])]
     assert fills_of(again) == sorted(want)
+    assert fills_of(chains.rechain(pruned.drop("allowed"), boxes, settle(bans))) == sorted(want)
 
 
 def test_rechain_of_affected_tags_only(spark, tables):
@@ -206,6 +208,7 @@ def test_long_gap_recovery(spark, tables):
     cells, boxes, _ = tables
     want = sorted((s, *f) for s, r in loops(tables).items() for f in r.recover())
     assert fills_of(mt.recover_long_gaps(cells, boxes)) == want and len(want) > 40
+    assert fills_of(chains.recover_long_gaps(cells, boxes)) == want
 
 
 @pytest.mark.parametrize("recover", [True, False])

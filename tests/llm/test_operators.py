@@ -451,5 +451,5 @@ def test_pipeline_run(spark, docs, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14)) and set(registry.ORACLES) <= set(registry.QUERIES)
     assert json.dumps(sorted(registry.ORACLES))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,8 @@ class Ids:
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in plain}
         self.encoding = tiktoken.Encoding("of_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.marks = {m: np.array(self.encoding.encode_ordinary(m), np.uint32).tobytes() for m in ".,"}
-        self.memo = Memo(self._work, limit=100_000)
+        self.encode = self.encoding.encode_ordinary
+        self.memo = Memo(self._work, limit=200_000)
 
     @property
     def library(self):
@@ -77,7 +79,7 @@ class Ids:
     def _work(self, word: str) -> bytes:
         if word[-1:] in (".", ",") and word[:-1].isalpha():  # the file's pattern parts letters from marks
             return self.memo[word[:-1]] + self.marks[word[-1]]
-        return np.array(self.encoding.encode_ordinary(" " + word), np.uint32).tobytes()
+        return array("I", self.encode(" " + word)).tobytes()
 
     def of(self, text: str) -> bytes:
         """A word with the space before it is encoded apart from its neighbours, unless spaces adjoin."""
@@ -86,10 +88,9 @@ class Ids:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         if "  " in text:
-            return np.array(self.encoding.encode_ordinary(text), np.uint32).tobytes()
+            return array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")
-        memo = self.memo
-        return np.array(self.encoding.encode_ordinary(first), np.uint32).tobytes() + b"".join([memo[w] for w in rest])
+        return array("I", self.encode(first)).tobytes() + b"".join(map(self.memo.__getitem__, rest))
 
 
 def _byte_letters() -> dict[str, int]:

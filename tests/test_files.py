@@ -161,6 +161,14 @@ def reviewed(spark):
     return candidates, experiments, spark.createDataFrame([(json.dumps(session),), ("no json",), (None,)], "value string")
 
 
+def test_decisions_are_not_copied_to_experiments(spark):
+    candidates, experiments, sessions = reviewed(spark)
+    decided = review.decisions(sessions)
+    kept = review.kept_quads(candidates, review.accepted_pictures(experiments, decided, review.by_names(0.34)), decided, LIMITS)
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 3  # experiments with frames, quads with pictures, quads with decisions
+
+
 def test_review_export(spark, tmp_path):
     candidates, experiments, sessions = reviewed(spark)
     decided = review.decisions(sessions)

@@ -57,11 +57,12 @@ def accepted_pictures(experiments: DataFrame, decided: DataFrame, split: Callabl
 
 
 def kept_quads(candidates: DataFrame, pictures: DataFrame, decided: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Quads (experiment, frame, quad_id, corners) of the pictures that the limits and the reviewer keep, with the picture's columns."""
-    quads = candidates.join(pictures, ["experiment", "frame"]).withColumn("source", F.col("experiment"))
-    choices = override_rows(decided).join(pictures.select("experiment", "frame"), "frame").withColumn("source", F.col("experiment"))
-    judged = qu.decided(qu.classify(qu.measured(quads), limits), choices.select("source", "frame", "quad_id", "choice"))
-    return judged.where("kept").drop("source")
+    """Quads (experiment, frame, quad_id, corners) of the pictures that the limits and the reviewer keep, with the picture's columns.
+
+    Decisions meet the quads by frame and number, so they aren't copied to the experiments.
+    """
+    quads = candidates.join(pictures, ["experiment", "frame"])
+    return qu.decided(qu.classify(qu.measured(quads), limits), override_rows(decided), ("frame", "quad_id")).where("kept")
 
 
 def label_lines(quads: DataFrame, oriented: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,24 +87,40 @@ def lone_quads(quads: DataFrame, decoded: DataFrame) -> DataFrame:
     return lone.join(decoded.where("decoded").select(*FRAME, "box_id"), [*FRAME, "box_id"], "left_anti")
 
 
+#: Frames that a call of the suppression kernel takes together.
+FRAMES_A_CALL = 64
+
+
 def suppress(boxes: DataFrame, iou: float, most: int = 300) -> DataFrame:
     """Greedy non-maximum suppression by frame and class, best first, at most ``most`` a frame.
 
-    Ties go to the lower ``box_id``.
+    Ties go to the lower ``box_id``.  A kernel takes the frames of up to
+    ``FRAMES_A_CALL`` numbers; in a round the best box left of every frame and
+    class is kept and suppresses others, in all of them at once.
     """
     columns = boxes.columns
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["confidence", "box_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        frame, kind = rows["frame"], rows["class_id"]
+        odd = kind.isna()  # an unknown class is like no other
+        rows = rows.assign(_kind=pd.factorize(kind)[0], _odd=np.where(odd, np.arange(len(rows)) + 1, 0), _frame=pd.factorize(frame)[0])
+        rows = rows.sort_values(["_frame", "_kind", "_odd", "confidence", "box_id"], ascending=[True, True, True, False, True], kind="stable").reset_index(drop=True)
+        group = np.cumsum((rows[["_frame", "_kind", "_odd"]].diff().fillna(0) != 0).any(axis=1).to_numpy())
         x1, y1, x2, y2 = (rows[c].to_numpy(float) for c in ("box_x1", "box_y1", "box_x2", "box_y2"))
-        area, kind, alive, kept = (x2 - x1) * (y2 - y1), rows["class_id"].to_numpy(), rows["box_id"].notna().to_numpy(), []
-        for k in range(len(rows)):
-            if alive[k]:
-                kept.append(k)
-                wide = (x2.clip(max=x2[k]) - x1.clip(min=x1[k])).clip(min=0)
-                high = (y2.clip(max=y2[k]) - y1.clip(min=y1[k])).clip(min=0)
-                both = wide * high
-                alive &= ~((both > iou * (area + area[k] - both)) & (kind == kind[k]))
-        return rows.iloc[kept[:most]][columns]
-
-    return boxes.groupBy(*FRAME).applyInPandas(kernel, boxes.schema)
+        area = (x2 - x1) * (y2 - y1)
+        left, kept = np.flatnonzero(rows["box_id"].notna().to_numpy()), []
+        while len(left):
+            lead = np.diff(group[left], prepend=-1) != 0
+            leaders = left[lead]
+            kept.append(leaders)
+            k = leaders[np.cumsum(lead) - 1][~lead]
+            left = left[~lead]
+            wide = (np.minimum(x2[left], x2[k]) - np.maximum(x1[left], x1[k])).clip(min=0)
+            high = (np.minimum(y2[left], y2[k]) - np.maximum(y1[left], y1[k])).clip(min=0)
+            both = wide * high
+            left = left[~(both > iou * (area[left] + area[k] - both))]
+        found = rows.iloc[np.concatenate(kept) if kept else []].sort_values(["_frame", "confidence", "box_id"], ascending=[True, False, True], kind="stable")
+        return found[found.groupby("_frame").cumcount() < most][columns]
+
+    some = F.floor(F.col("frame") / FRAMES_A_CALL).alias("_some")
+    return boxes.groupBy("source", some).applyInPandas(kernel, boxes.schema)

@@ -71,3 +71,13 @@ def test_settled_rows_are_stored_by_columns(spark):
 
     plan = settle(spark.range(10).withColumn("x", F.lit(None).cast("double"))).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_every_round_of_propagation_is_settled(spark):
+    from waymark.llm import op3_urls
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 1.0)], "kind string, host string, share double")
+    scores = op3_urls.propagate(edges, seeds)
+    assert scores._jdf.queryExecution().analyzed().toString().count("Join ") == 2  # the last round's; the driver holds no more broadcasts than these
+    assert scores.count() > 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import quantiles as q
+from waymark.operators.trajectory import by_track
 from waymark.schema import BOX_INFERRED, TRACK
 
 
@@ -46,24 +47,48 @@ def to_mm(value: Column, mm_per_px: Column) -> Column:
     return value * mm_per_px
 
 
-#: Thickness of a trail by how many of its oldest frames lie before: ten thin ones, ten middle ones, then thick.
+#: Thickness of a trail's positions, known or not, by how many of its oldest frames lie before: ten thin ones, ten middle ones, then thick.
 RAMP = ((10, 1), (20, 2))
 THICKEST = 3
 
 
-def ramp(place: Column) -> Column:
-    """Thickness of a trail at its ``place``-th frame, counted from the oldest, whether the tag is known there or not."""
-    return F.when(place < RAMP[0][0], RAMP[0][1]).when(place < RAMP[1][0], RAMP[1][1]).otherwise(THICKEST)
+def _with_points(cells: DataFrame, point: Column, length: int, skip: int) -> tuple[DataFrame, list[tuple[int, Column, Column]]]:
+    """``cells`` with the known points of a block of ``length`` rows and of the block before it (``_near``, in order), and for each
+    thickness, of the oldest first, where in ``_near`` its points begin and how many they are.
+
+    A list is made once a block and not once a row; running counts tell each row its part of it.
+    """
+    known = F.when(F.col("center_x").isNotNull() & F.col("center_y").isNotNull(), point)
+    size = max(length, 1)
+    rows = by_track(cells).withColumns({"_block": F.floor(F.col("pos") / size), "_point": known})  # no further shuffle if cells come by track
+    block, track = Window.partitionBy(*TRACK, "_block").orderBy("pos"), Window.partitionBy(*TRACK).orderBy("_block", "pos")  # one sort for both
+    rows = rows.withColumns({
+        "_own": F.collect_list("_point").over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_in_own": F.count("_point").over(block.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    upto = lambda back: F.count("_point").over(track.rowsBetween(Window.unboundedPreceding, -back))
+    edges = [min(e, length - skip + 1) for e in (0, RAMP[0][0], RAMP[1][0], length - skip + 1)]
+    rows = rows.withColumns({"_older": F.lag("_own", size).over(track), "_upto": upto(0)} | {f"_e{k}": upto(length - e + 1) for k, e in enumerate(edges)})
+    none = F.col("_older").isNull()  # in the first block
+    before = F.col("_upto") - F.col("_in_own")
+    rows = rows.withColumns({"_first": F.when(none, before).otherwise(before - F.size("_older")), "_near": F.when(none, F.col("_own")).otherwise(F.concat("_older", "_own"))})
+    parts = [(t, (F.col(f"_e{k}") - F.col("_first") + 1).cast("int"), (F.col(f"_e{k + 1}") - F.col(f"_e{k}")).cast("int")) for k, t in enumerate((RAMP[0][1], RAMP[1][1], THICKEST))]
+    return rows.drop("_block", "_point", "_own", "_in_own", "_older", "_upto"), parts
 
 
 def trails(cells: DataFrame, length: int = 50, skip: int = 4) -> DataFrame:
-    """Positions that a renderer draws behind a tag: ``length`` to ``skip`` frames back, oldest first, each with its ``thickness``."""
-    w = Window.partitionBy(*TRACK).orderBy("pos").rowsBetween(-length, -skip)
-    known = F.col("center_x").isNotNull() & F.col("center_y").isNotNull()
-    points = F.collect_list(F.when(known, F.struct("center_x", "center_y", "pos"))).over(w)
-    c = cells.withColumn("_t", F.when(F.col("pos") > length + skip, points))
-    placed = F.transform("_t", lambda p: F.struct(p["center_x"].alias("center_x"), p["center_y"].alias("center_y"), ramp(p["pos"] - (F.col("pos") - length)).alias("thickness")))
-    return c.withColumn("trail", placed).drop("_t")
+    """Positions that a renderer draws behind a tag: ``length`` to ``skip`` frames back, oldest first, each with its ``thickness``; ``pos`` is dense."""
+    rows, parts = _with_points(cells, F.struct("center_x", "center_y"), length, skip)
+    (thin, start, n1), (middle, _, n2), (thick, _, n3) = parts
+    thickness = lambda k: F.when(k < n1, thin).when(k < n1 + n2, middle).otherwise(thick)
+    placed = F.transform(F.slice("_near", start, n1 + n2 + n3), lambda q, k: F.struct(q["center_x"].alias("center_x"), q["center_y"].alias("center_y"), thickness(k).alias("thickness")))
+    return rows.select(*cells.columns, F.when(F.col("pos") > length + skip, placed).alias("trail"))
+
+
+def with_trail_lines(cells: DataFrame, point: Column, length: int = 50, skip: int = 4) -> tuple[DataFrame, dict[int, Column]]:
+    """``cells``, and for each thickness the ``point`` of the trail's positions that are drawn with it; null if there are none."""
+    rows, parts = _with_points(cells, point, length, skip)
+    return rows, {t: F.when((F.col("pos") > length + skip) & (n > 0), F.slice("_near", start, n)) for t, start, n in parts}
 
 
 def box_states(boxes: DataFrame, cells: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import recordings as rec
+from waymark.operators.lineage import settle
 from waymark.schema import CORNERS, ORIGINAL
 from waymark.sources import COLORS, tag_colors
 
@@ -44,7 +45,7 @@ def _point(x: Column, y: Column) -> Column:
 
 def tag_palette(cells: DataFrame) -> DataFrame:
     """``color`` of every tag (source, tag_id): the n-th tag of each recording has the n-th colour."""
-    tags = cells.select("source", "tag_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("tag_id")) - 1)
+    tags = settle(cells.select("source", "tag_id").distinct()).withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("tag_id")) - 1)
     most = tags.agg(F.max("_n")).first()[0]
     colors = [(n, *bgr) for n, bgr in tag_colors(list(range((most if most is not None else -1) + 1))).items()]  # one row a tag of a recording
     named = cells.sparkSession.createDataFrame(colors, "_n int, b int, g int, r int")
@@ -75,14 +76,20 @@ def render_plan(cells: DataFrame, boxes: DataFrame | None = None, quads: DataFra
         "source", "frame", F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), tag.alias("tag_id"), word.alias("text"), points.alias("points"), F.lit(closed).alias("closed"), color.alias("color"), thickness.cast("int").alias("thickness"),
     )
     at = F.array(F.struct((x.cast("int") + aside).alias("x"), (y.cast("int") + aside).alias("y")))
-    shown = cells.where("center_x IS NOT NULL")
     color = F.when(own, _color(p.highlight_color)).otherwise(_color(COLORS["black"]))
-    out = item(shown, LABEL, "label", at, False, color, F.when(own, bold).otherwise(text), F.col("tag_id"), F.col("tag_id").cast("string"))
+    entry = lambda layer, kind, word, points, color, thickness: F.struct(
+        F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), word.alias("text"), points.alias("points"), color.alias("color"), thickness.cast("int").alias("thickness"),
+    )
+    drawn = [F.when(F.col("center_x").isNotNull(), entry(LABEL, "label", F.col("tag_id").cast("string"), at, color, F.when(own, bold).otherwise(text)))]
+    rows = cells
     if p.trails:
-        behind = rec.trails(cells, p.length, p.skip).where("size(trail) > 0").join(tag_palette(cells), ["source", "tag_id"])
-        lines = behind.select("source", "frame", "tag_id", "color", "trail", F.explode(F.array_distinct(F.transform("trail", lambda q: q["thickness"]))).alias("_t"))
-        of_line = F.transform(F.filter("trail", lambda q: q["thickness"] == F.col("_t")), lambda q: _point(q["center_x"] * p.scale, q["center_y"] * p.scale))
-        out = out.unionByName(item(lines, TRAIL, "trail", of_line, False, F.col("color"), F.col("_t"), F.col("tag_id")))
+        colors = tag_palette(cells).withColumnRenamed("color", "_color")
+        rows, lines = rec.with_trail_lines(cells, _point(x, y), p.length, p.skip)
+        rows = rows.join(colors, ["source", "tag_id"], "left")
+        drawn += [F.when(F.col("_color").isNotNull() & line.isNotNull(), entry(TRAIL, "trail", F.lit(None).cast("string"), line, F.col("_color"), F.lit(t))) for t, line in lines.items()]
+    # labels and lines in one go over the cells
+    found = rows.select("source", "frame", "tag_id", F.explode(F.array(*drawn)).alias("i")).where("i IS NOT NULL")
+    out = found.select("source", "frame", "i.layer", "i.kind", "tag_id", "i.text", "i.points", F.lit(False).alias("closed"), "i.color", "i.thickness")
     if quads is not None:
         out = out.unionByName(item(quads, QUAD, "quad", _polygons(p.scale), True, _color(COLORS["white"]), F.lit(1)))
     if boxes is not None and not p.debug:

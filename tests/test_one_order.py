@@ -38,3 +38,13 @@ def test_of_several_detections_one_stays(spark):
     at = lambda t, f: (got[t, f]["center_x"], got[t, f]["center_y"])
     assert at(1, 1) == (2.0, 0.0) and at(1, 3) == (9.0, 9.0) and at(2, 0) == (7.0, 7.0)
     assert got[1, 1]["det_id"] == min(r["det_id"] for r in d.where(F.col("center_x") == 2).where("frame = 1").collect())
+
+
+def test_scans_carry_few_columns(spark):
+    d = detections_of(spark, [(f, t, f, 0) for f in range(30) for t in (1, 2)])
+    cells = clean_cells(d, None, CleanParams(min_detections=1, n_frames=40))
+    grid = plan_of(cells).split("Generate explode")[0]
+    assert "c0x#" not in grid.split("Window [", 1)[1] and "n_pruned" not in grid.split("Window [", 1)[1]  # nothing of them in the scans of the grid
+    kept = cells.where("ass_type = 1")
+    assert kept.count() == kept.where("c0x IS NOT NULL AND c3y IS NOT NULL").count() == 60 and cells.where("ass_type <> 1 AND c0x IS NOT NULL").count() == 0
+    assert {c: cells.agg(F.sum(c)).first()[0] for c in ("n_deleted", "n_filled", "n_final_deleted")} == {"n_deleted": 0, "n_filled": 0, "n_final_deleted": 0}
